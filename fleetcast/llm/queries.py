@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetcast.llm.exact_topk import exact_topk
 from fleetcast.llm.hamming_index import nearest_by_codes
+from fleetcast.llm.parity_join import jaccard_groups
 from fleetcast.llm.url_filters import judge_urls
 
 #: The fixed rules of the URL filter query: host, path, verdict.
@@ -26,10 +27,15 @@ def op7_hamming_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_by_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
 
+def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4, num=85, den=100)
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op4_url_filters": op4_url_filters,
     "op7_hamming_index": op7_hamming_index,
+    "op9_parity_join": op9_parity_join,
 }
 
 ORACLES = {
@@ -53,4 +59,16 @@ ORACLES = {
                 when (host = 'net' or host like '%.net') and path like '/%' then 'net/' end as rule from u)
         select *, case when rule in ('net/', 'example.com/de/') then 'block' else 'allow' end as verdict from r
     """,
+    "op9_parity_join": r"""
+        with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        s as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+                else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s from w),
+        n as (select doc_id, len(s) as n from s),
+        e as (select doc_id, unnest(s) as t from s),
+        p as (select x.doc_id as a, y.doc_id as b, count(*) as c from e x join e y on x.t = y.t and x.doc_id < y.doc_id group by 1, 2),
+        l as (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where 100 * c >= 85 * (x.n + y.n - c)),
+        u as (select a, b from l union select b, a from l),
+        r(doc_id, c) as (select doc_id, doc_id from n union select u.b, r.c from r join u on u.a = r.doc_id)
+        select n.doc_id, cast(n.n as bigint) as n_shingles, min(r.c) as component_id from n join r on r.doc_id = n.doc_id group by n.doc_id, n.n
+    """,
 }
