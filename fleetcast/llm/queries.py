@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetcast.llm.exact_topk import exact_topk
 from fleetcast.llm.hamming_index import nearest_by_codes
 from fleetcast.llm.parity_join import jaccard_groups
+from fleetcast.llm.toxicity import learn_toxicity, score_toxicity
 from fleetcast.llm.url_filters import judge_urls
 
 #: The fixed rules of the URL filter query: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
+#: Scores from here on count as toxic.
+TOXIC_FROM = 0.3
+
+
+def held_out(id_col: str) -> Column:
+    """Rows from which no label is learned."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
@@ -23,6 +32,13 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string")).drop("url")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    machine = learn_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out("doc_id"))
+    scored = score_toxicity(docs, machine)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op7_hamming_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_by_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
@@ -34,6 +50,7 @@ def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op4_url_filters": op4_url_filters,
+    "op6_toxicity": op6_toxicity,
     "op7_hamming_index": op7_hamming_index,
     "op9_parity_join": op9_parity_join,
 }
