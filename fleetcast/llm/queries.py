@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetcast.llm.exact_topk import exact_topk
 from fleetcast.llm.hamming_index import nearest_by_codes
+from fleetcast.llm.line_dedup import dedup_lines
 from fleetcast.llm.parity_join import jaccard_groups
 from fleetcast.llm.toxicity import learn_toxicity, score_toxicity
 from fleetcast.llm.url_filters import judge_urls
@@ -27,6 +28,11 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "text", F.array_join("deleted_lines", ",").alias("deleted_lines"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return judge_urls(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string")).drop("url")
@@ -49,6 +55,7 @@ def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
+    "op2_line_dedup": op2_line_dedup,
     "op4_url_filters": op4_url_filters,
     "op6_toxicity": op6_toxicity,
     "op7_hamming_index": op7_hamming_index,
@@ -64,6 +71,21 @@ ORACLES = {
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from s)
         select query_id, cast(n as integer) as rank, vec_id, score from r where n <= 10
     """,
+    "op2_line_dedup": r"""
+        with l as (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents),
+        t as (select doc_id, line, raw, trim(raw, ' ' || chr(9) || chr(13)) as t from l),
+        n as (select *, row_number() over (partition by doc_id order by line) as idx, len(string_split_regex(t, '[ \t\r]+')) as words from t where t <> ''),
+        c as (select *, sum(words) over (partition by doc_id order by idx) as after from n),
+        r as (select x.doc_id, x.idx as lo, min(y.idx) as hi from c x join c y on x.doc_id = y.doc_id and y.idx >= x.idx and y.after - x.after + x.words >= 50 and y.idx < x.idx + 50 group by 1, 2
+              union select x.doc_id, max(y.idx), x.idx from c x join c y on x.doc_id = y.doc_id and y.idx <= x.idx and x.after - y.after + y.words >= 50 and y.idx > x.idx - 50 group by 1, x.idx),
+        k as (select r.doc_id, lo, hi, string_agg(n.t, chr(10) order by n.idx) as run from r join n on n.doc_id = r.doc_id and n.idx between lo and hi group by 1, 2, 3),
+        d as (select *, row_number() over (partition by run order by doc_id, lo) as copy from k),
+        g as (select distinct n.doc_id, n.line from d join n on d.doc_id = n.doc_id and n.idx between lo and hi where copy > 1),
+        a as (select t.doc_id, string_agg(t.raw, chr(10) order by t.line) filter (where g.line is null) as text, string_agg(cast(g.line as varchar), ',' order by t.line) as deleted_lines
+              from t left join g on t.doc_id = g.doc_id and t.line = g.line group by 1)
+        select x.doc_id, case when x.text is null then null else coalesce(a.text, '') end as text, coalesce(a.deleted_lines, '') as deleted_lines
+        from documents x left join a on a.doc_id = x.doc_id
+    """,
     "op4_url_filters": """
         with u as (select page_id,
                      case when strpos(url, '://') > 0 then translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end as host,
