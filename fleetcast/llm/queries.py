@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetcast.llm.exact_topk import exact_topk
 from fleetcast.llm.hamming_index import nearest_by_codes
 from fleetcast.llm.line_dedup import dedup_lines
+from fleetcast.llm.packing import pack_documents
 from fleetcast.llm.parity_join import jaccard_groups
 from fleetcast.llm.toxicity import learn_toxicity, score_toxicity
 from fleetcast.llm.url_filters import judge_urls
@@ -38,6 +40,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string")).drop("url")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     machine = learn_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out("doc_id"))
@@ -57,6 +63,7 @@ QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_line_dedup": op2_line_dedup,
     "op4_url_filters": op4_url_filters,
+    "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_hamming_index": op7_hamming_index,
     "op9_parity_join": op9_parity_join,
