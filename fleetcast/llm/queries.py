@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fleetcast.llm.exact_topk import exact_topk
 from fleetcast.llm.hamming_index import nearest_by_codes
 from fleetcast.llm.line_dedup import dedup_lines
+from fleetcast.llm.mixing import mix_sources
 from fleetcast.llm.packing import pack_documents
 from fleetcast.llm.parity_join import jaccard_groups
 from fleetcast.llm.toxicity import learn_toxicity, score_toxicity
@@ -17,6 +18,8 @@ from fleetcast.llm.url_filters import judge_urls
 #: The fixed rules of the URL filter query: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
+#: Target weights of the mixture; sources not named here share the smallest.
+SOURCE_WEIGHTS = {"src0": 0.2, "src1": 0.1, "src2": 0.1, "src3": 0.05, "src4": 0.05}
 #: Scores from here on count as toxic.
 TOXIC_FROM = 0.3
 
@@ -55,6 +58,11 @@ def op7_hamming_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_by_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+    return mix_sources(docs, SOURCE_WEIGHTS)
+
+
 def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4, num=85, den=100)
 
@@ -66,6 +74,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_hamming_index": op7_hamming_index,
+    "op8_mixing": op8_mixing,
     "op9_parity_join": op9_parity_join,
 }
 
