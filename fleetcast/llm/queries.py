@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fleetcast.llm.exact_topk import exact_topk
 from fleetcast.llm.hamming_index import nearest_by_codes
+from fleetcast.llm.licenses import TEMPLATES, scan_licenses
 from fleetcast.llm.line_dedup import dedup_lines
 from fleetcast.llm.mixing import mix_sources
 from fleetcast.llm.packing import pack_documents
@@ -67,6 +68,17 @@ def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4, num=85, den=100)
 
 
+#: Documents as files of a tree: sources hold directories of three depths, and every fifth document is named as a license file.
+FILE_PATH = """concat(coalesce(source, 'none'), case when doc_id % 3 >= 1 then concat('/m', doc_id % 50) else '' end, case when doc_id % 3 = 2 then concat('/s', doc_id % 7) else '' end,
+    case when doc_id % 5 = 0 then '/LICENSE-' else '/f' end, doc_id, '.txt')"""
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.expr(FILE_PATH).alias("path"))
+    # The scan reads the texts; what it is joined to needs none.
+    return scan_licenses(files).drop("text")
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_line_dedup": op2_line_dedup,
@@ -76,6 +88,7 @@ QUERIES = {
     "op7_hamming_index": op7_hamming_index,
     "op8_mixing": op8_mixing,
     "op9_parity_join": op9_parity_join,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLES = {
@@ -126,4 +139,32 @@ ORACLES = {
         r(doc_id, c) as (select doc_id, doc_id from n union select u.b, r.c from r join u on u.a = r.doc_id)
         select n.doc_id, cast(n.n as bigint) as n_shingles, min(r.c) as component_id from n join r on r.doc_id = n.doc_id group by n.doc_id, n.n
     """,
+    "op10_licenses": rf"""
+        with f as (select doc_id, text, {FILE_PATH} as path from documents),
+        t(license, text) as (values {", ".join(f"('{n}', '{t}')" for n, t in TEMPLATES.items())}),
+        tw as (select license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from t),
+        v as (select license, word, count(*) as n from tw group by 1, 2),
+        fw as (select distinct path, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from f where text is not null),
+        dfs as (select word, count(*) as c from fw where word in (select word from v) group by 1),
+        size as (select count(*) as total from f where text is not null),
+        idf as (select distinct v.word, ln((total + 1) / (coalesce(c, 0) + 1)) + 1 as idf from v cross join size left join dfs on dfs.word = v.word),
+        tv as (select license, v.word, n * idf as weight from v join idf on idf.word = v.word),
+        norms as (select license, sqrt(sum(weight * weight)) as norm from tv group by 1),
+        u as (select distinct path, unnest(list_concat([text], string_split(text, chr(10)))) as unit from f where text is not null),
+        ut as (select path, unit, unnest(regexp_extract_all(lower(unit), '[a-z0-9]+')) as word from u where regexp_matches(lower(unit), '(licen|cc|mozilla)')),
+        tf as (select path, unit, case when idf is not null then ut.word end as word, idf, count(*) as n from ut left join idf on idf.word = ut.word group by 1, 2, 3, 4),
+        lengths as (select path, unit, sqrt(sum(case when word is null then n * pow(ln(total + 1) + 1, 2) else pow(n * idf, 2) end)) as length from tf cross join size group by 1, 2),
+        s as (select tf.path, tf.unit, tv.license, round(sum(tf.n * tf.idf * tv.weight) / any_value(length) / any_value(norm), 6) as score
+              from tf join tv on tv.word = tf.word join lengths l on l.path = tf.path and l.unit = tf.unit join norms on norms.license = tv.license group by 1, 2, 3),
+        b as (select *, row_number() over (partition by path order by score desc, license) as k from s where score >= 0.7),
+        own as (select path, license, score, case when strpos(path, '/') > 0 then regexp_replace(path, '/[^/]*$', '') else '' end as dir from b where k = 1),
+        d as (select dir, license, row_number() over (partition by dir order by score desc, path) as k from own where regexp_matches(path, '/LICENSE-')),
+        g as (select *, regexp_replace(path, '/[^/]*$', '') as dir from f),
+        a as (select g.doc_id, d.dir, d.license, row_number() over (partition by g.doc_id order by length(d.dir) desc) as k
+              from g join d on d.k = 1 and (g.dir = d.dir or starts_with(g.dir, concat(d.dir, '/'))))
+        select g.doc_id, g.path, coalesce(own.license, a.license) as license, own.score as license_score,
+               case when own.license is not null then 'own' when a.license is not null then 'inherited' else 'none' end as license_from,
+               case when own.license is null then a.dir end as license_dir
+        from g left join own on own.path = g.path left join a on a.doc_id = g.doc_id and a.k = 1
+    """,
 }
