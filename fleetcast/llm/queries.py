@@ -13,6 +13,7 @@ from fleetcast.llm.line_dedup import dedup_lines
 from fleetcast.llm.mixing import mix_sources
 from fleetcast.llm.packing import pack_documents
 from fleetcast.llm.parity_join import jaccard_groups
+from fleetcast.llm.revisits import resolve_revisits
 from fleetcast.llm.toxicity import learn_toxicity, score_toxicity
 from fleetcast.llm.url_filters import judge_urls
 
@@ -39,6 +40,38 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "text", F.array_join("deleted_lines", ",").alias("deleted_lines"))
 
 
+def capture_records(pages: DataFrame) -> DataFrame:
+    """Pages as WARC records: each is fetched three times, a day and some minutes apart, and later fetches may be revisits.
+
+    The second fetch of two pages in three, and the third of every page, is a revisit; every fifth page changed before the
+    third, so that its validators differ. Entity tags and dates go missing for some pages.
+    """
+    visits = pages.select("page_id", "url", F.md5("html").alias("digest"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("visit"))
+    seconds = F.lit(1_700_000_000) + F.col("page_id") * 60 + F.col("visit") * 90_000
+    again = ((F.col("visit") == 1) & (F.col("page_id") % 3 != 0)) | (F.col("visit") == 2)
+    changed = (F.col("visit") == 2) & (F.col("page_id") % 5 == 0)
+    tag = F.when(F.col("page_id") % 7 != 0, F.concat(F.when(again, F.lit('W/"')).otherwise('"'), F.substring("digest", 1, 8), F.when(changed, "x").otherwise(""), F.lit('"')))
+    date = F.when(F.col("page_id") % 11 != 0, F.concat(F.lit("d"), F.when(changed, F.col("page_id") + 1).otherwise(F.col("page_id"))))
+    pairs = [("etag", tag), ("last-modified", date), ("content-type", F.lit("text/html")), ("date", F.concat(F.lit("t"), "visit")), ("content-length", F.when(again, "0").otherwise("9"))]
+    headers = F.map_filter(F.map_from_arrays(F.array(*[F.lit(k) for k, _ in pairs]), F.array(*[v for _, v in pairs])), lambda k, v: v.isNotNull())
+    return visits.select(
+        (F.col("page_id") * 3 + F.col("visit")).alias("record_id"),
+        "url",
+        F.timestamp_seconds(seconds).alias("time"),
+        F.when(again, "revisit").otherwise("response").alias("type"),
+        F.when(again, 304).otherwise(200).alias("status"),
+        headers.alias("headers"),
+        F.when(~again, F.col("digest")).alias("payload_digest"),
+    )
+
+
+def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve_revisits(capture_records(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")))
+    names = ["etag", "last-modified", "content-type", "date", "content-length"]
+    merged = [F.col("headers")[n].alias(n.replace("-", "_")) for n in names]
+    return found.select("record_id", "canonical_url", F.unix_seconds("time").alias("seconds"), "refers_to", "outcome", *merged)
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return judge_urls(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string")).drop("url")
@@ -82,6 +115,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_line_dedup": op2_line_dedup,
+    "op3_revisits": op3_revisits,
     "op4_url_filters": op4_url_filters,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
@@ -115,6 +149,28 @@ ORACLES = {
         select x.doc_id, case when x.text is null then null else coalesce(a.text, '') end as text, coalesce(a.deleted_lines, '') as deleted_lines
         from documents x left join a on a.doc_id = x.doc_id
     """,
+    "op3_revisits": r"""
+        with v as (select page_id, url, md5(html) as digest, unnest([0, 1, 2]) as visit from pages),
+        p as (select *, (visit = 1 and page_id % 3 <> 0) or visit = 2 as again, visit = 2 and page_id % 5 = 0 as changed,
+                regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#]*)([^?#]*)(?:\?([^#]*))?', ['s', 'h', 'p', 'q']) as u from v),
+        c as (select *, regexp_replace(regexp_replace(concat('&', u.q), '&(utm_[^=&]*|gclid|fbclid|ref)(=[^&]*)?(&|$)', '\3', 'g'), '^&+', '') as query from p),
+        r as (select page_id * 3 + visit as record_id, 1700000000 + page_id * 60 + visit * 90000 as seconds, again, digest,
+                concat(lower(u.s), '://', regexp_replace(lower(u.h), '\.?(:(80|443)?)?$', ''), case when u.p = '' then '/' else u.p end, case when query = '' then '' else concat('?', query) end) as canonical_url,
+                case when page_id % 7 <> 0 then concat('"', substr(digest, 1, 8), case when changed then 'x' else '' end, '"') end as tag,
+                case when page_id % 11 <> 0 then concat('d', case when changed then page_id + 1 else page_id end) end as modified, visit from c),
+        j as (select x.record_id, x.canonical_url, x.seconds, x.tag, x.modified, x.visit, y.record_id as refers_to, y.tag as old_tag, y.modified as old_modified,
+                row_number() over (partition by x.record_id order by y.seconds desc, y.record_id desc) as k
+              from r x left join r y on x.canonical_url = y.canonical_url and not y.again and y.seconds < x.seconds where x.again),
+        o as (select *, case when refers_to is null then 'unresolved' when coalesce(tag = old_tag, modified = old_modified) is null then 'unchecked'
+                when coalesce(tag = old_tag, modified = old_modified) then 'matched' else 'mismatch' end as outcome from j where k = 1)
+        select record_id, canonical_url, seconds, refers_to, outcome,
+               case when outcome in ('matched', 'unchecked') then coalesce('W/' || tag, old_tag) end as etag,
+               case when outcome in ('matched', 'unchecked') then coalesce(modified, old_modified) end as last_modified,
+               case when outcome in ('matched', 'unchecked') then 'text/html' end as content_type,
+               case when outcome in ('matched', 'unchecked') then concat('t', visit) end as date,
+               case when outcome in ('matched', 'unchecked') then '9' end as content_length
+        from o
+    """,
     "op4_url_filters": """
         with u as (select page_id,
                      case when strpos(url, '://') > 0 then translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end as host,
