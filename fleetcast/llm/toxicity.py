@@ -147,19 +147,16 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, sample
     return fit_machine([values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], got.column("y").to_numpy().astype("int64"))
 
 
-def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (the id, if not given) with ``score`` (0 to 1) of each whole text.
+def score_toxicity(docs: DataFrame, machine: Machine, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with ``score_col`` (0 to 1), the score of each whole text.
 
     Null and empty texts get the score of a text without terms. Repeated rows each stay, as do null ids; no rows, no
-    scores. A kept column named ``score`` is replaced.
+    scores. A column named ``score_col`` is replaced.
     """
-    keep = [c for c in (keep or [id_col]) if c != "score"]
-    slim = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    schema = slim.select(*keep).schema.add("score", "double")
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(shared.value.score(b.column("_text")))], names=[*keep, "score"])
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(shared.value.score(texts))
 
-    return slim.mapInArrow(of, schema)
+    return docs.withColumn(score_col, score(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
