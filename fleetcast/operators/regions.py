@@ -42,7 +42,7 @@ def regions_df(spark: SparkSession, mapping: dict[str, list[str]]) -> DataFrame:
 
 def regions_from_rows(df: DataFrame, region: str, counties: str) -> DataFrame:
     """(region, county) from rows that list counties in one text."""
-    return df.select(F.trim(region).alias("region"), F.upper(F.explode(split_rows(F.col(counties)))).alias("county")).distinct()
+    return df.select(F.trim(region).alias("region"), F.explode(split_rows(F.upper(counties))).alias("county")).distinct()
 
 
 def zip_regions(xwalk: DataFrame, spec: DataFrame, override: DataFrame | None = None, restrict_to_spec: bool = False) -> DataFrame:
