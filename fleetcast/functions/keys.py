@@ -96,7 +96,7 @@ def standardize(x: Column, mean: Column, std: Column) -> Column:
 
 def split_rows(text: Column, sep: str = ",") -> Column:
     """The trimmed, non-empty parts of a delimited text, to be exploded."""
-    return F.filter(F.transform(F.split(text, sep), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, sep), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def bracket_bounds(label: Column) -> Column:

@@ -12,8 +12,15 @@ BROADCAST_ROWS = 2_000_000
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` with a broadcast hint if it has few rows; otherwise the join shuffles."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+    """``df`` with a broadcast hint if it has few rows; otherwise the join shuffles.
+
+    Counting keeps the rows for the broadcast that follows, so a lookup is read once.
+    """
+    kept = df if rows is not None else df.persist()
+    if (kept.count() if rows is None else rows) <= BROADCAST_ROWS:
+        return F.broadcast(kept)
+    df.unpersist()
+    return df
 
 
 def parse_regions(spec: str) -> dict[str, list[str]]:
@@ -47,7 +54,7 @@ def regions_from_rows(df: DataFrame, region: str, counties: str) -> DataFrame:
 
 def zip_regions(xwalk: DataFrame, spec: DataFrame, override: DataFrame | None = None, restrict_to_spec: bool = False) -> DataFrame:
     """(zip, region): regions of the ZIP's county and overrides, without duplicates. One join stands for three lookups."""
-    both = xwalk.join(F.broadcast(spec) if spec.count() <= BROADCAST_ROWS else spec, "county").select("zip", "region")
+    both = xwalk.join(small(spec), "county").select("zip", "region")
     if override is not None:
         extra = override.select("zip", "region")
         both = both.union(extra.join(spec.select("region").distinct(), "region", "left_semi").select("zip", "region") if restrict_to_spec else extra)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetcast.operators.policy import cost_advantage
 from fleetcast.operators.series import asof_join, bfill, ffill, filter_series, positive_stock, since
 from fleetcast.operators.stock import pivot_metrics
+from fleetcast.plans.staging import materialize
 
 
 def attach_dates(stock: DataFrame, calendar: DataFrame, key: str = "group") -> DataFrame:
@@ -38,5 +39,6 @@ def build_panel(counts: DataFrame, flow: DataFrame, calendar: DataFrame, prices:
     stock = pivot_metrics(counts if regions is None else filter_series(counts, regions))
     panel = positive_stock(cost_advantage(attach_price(join_flow(attach_dates(stock, calendar), flow), prices)), "stock_ev_t")
     if min_date:
-        panel = since(panel, "date", min_date)
+        # The check for rows reads the panel, and so does the caller.
+        panel = since(materialize(panel), "date", min_date)
     return attach_policy(panel, policy) if policy is not None else panel

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fleetcast.operators.flow import new_registrations
 from fleetcast.operators.regions import enrich, zip_regions
+from fleetcast.plans.staging import materialize
 from fleetcast.sources.readers import clean_vehicles, clean_zip_county, clean_zip_region
 
 EV_TYPES = ("ECONOMY", "SMALL")
@@ -69,7 +70,8 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     flow = new_registrations(enriched(spark, sf_dir)).select("region", "snapshot_id", F.col("new_ev").cast("double").alias("flow"))
     date = F.expr("add_months(date '1995-01-01', snapshot_id - 1)")
     stock = F.sum("flow").over(W.partitionBy("region").orderBy("snapshot_id").rowsBetween(W.unboundedPreceding, 0))
-    return flow.withColumn("date", date).withColumn("stock", stock).withColumn("is_train", (F.col("date") < F.to_date(F.lit("2000-01-01"))).cast("int"))
+    # A few rows for each region, made by two shuffles of all registrations: written once for all that reads it.
+    return materialize(flow.withColumn("date", date).withColumn("stock", stock).withColumn("is_train", (F.col("date") < F.to_date(F.lit("2000-01-01"))).cast("int")))
 
 
 def parameters(panel: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from fleetcast.operators import flow, metrics, policy, regions, stock
 from fleetcast.operators import series as S
 from fleetcast.plans import panel as P
 from fleetcast.plans import standin as D
-from fleetcast.plans.staging import shared_dir
+from fleetcast.plans.staging import materialize, shared_dir
 from fleetcast.streaming import incremental as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,7 +142,7 @@ for _period in ("snapshot", "month"):
 
     @query(f"stock_approx_{_period}", f"with {_enr(_period)}, f as (select *, unnest(case when is_ev then ['ALL', 'EV'] else ['ALL'] end) as metric from enr) select region, period as \"group\", metric, count(distinct vin) as exact, true as within from f group by 1, 2, 3")
     def stock_approx(spark, d, period=_period):
-        rows = D.enriched(spark, d, period)
+        rows = materialize(D.enriched(spark, d, period))
         exact = stock.stock_counts(rows, exact=True).withColumnRenamed("approx_unique_vins", "exact")
         both = stock.stock_counts(rows).join(exact, stock.KEYS)
         return both.select(*stock.KEYS, "exact", (F.abs(F.col("approx_unique_vins") - F.col("exact")) <= F.greatest(F.lit(3.0), F.col("exact") * 0.02)).alias("within"))
@@ -175,7 +175,7 @@ def rows_per_file(spark, d):
 
 @query("stock_sketch_by_region", f"with {_enr()}, f as (select *, unnest(case when is_ev then ['ALL', 'EV'] else ['ALL'] end) as metric from enr) select region, metric, count(distinct vin) as exact, true as within from f group by 1, 2")
 def stock_sketch_by_region(spark, d):
-    rows = D.enriched(spark, d)
+    rows = materialize(D.enriched(spark, d))
     merged = stock.merge_sketches(stock.stock_sketches(rows), ["region", "metric"])
     exact = regions.fan_out_metrics(rows).groupBy("region", "metric").agg(F.count_distinct("vin").alias("exact"))
     return merged.join(exact, ["region", "metric"]).select("region", "metric", "exact", (F.abs(F.col("approx_unique_vins") - F.col("exact")) <= F.greatest(F.lit(3.0), F.col("exact") * 0.02)).alias("within"))
@@ -366,7 +366,7 @@ def price_coverage(spark, d):
     from j left join nr on nr.region = j.region and nr.snapshot_id = j.snapshot_id where stock_ev_t > 0 and j.date >= date '1996-01-01'""".replace("(select cast(date '1995-01-01' + to_months(st.snapshot_id) as date) - 1)", "cast(date '1995-01-01' + to_months(st.snapshot_id) as date) - 1"),
 )
 def panel(spark, d):
-    rows = D.enriched(spark, d)
+    rows = materialize(D.enriched(spark, d))
     counts = stock.stock_counts(rows, exact=True)
     calendar = counts.select(F.col("group").alias("snapshot_id")).distinct().withColumn("snapshot_date", F.expr("date_sub(add_months(date '1995-01-01', snapshot_id), 1)"))
     built = P.build_panel(counts, flow.new_registrations(rows), calendar, D.prices(spark, d), min_date="1996-01-01")
