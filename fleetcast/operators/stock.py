@@ -23,8 +23,8 @@ def stock_counts(enriched: DataFrame, rsd: float = RSD_16, exact: bool = False)
 
 
 def stock_sketches(enriched: DataFrame, lg_k: int = 16) -> DataFrame:
-    """One mergeable sketch of VINs for each (region, group, metric)."""
-    return _keyed(enriched).groupBy(*KEYS).agg(F.hll_sketch_agg("vin", lg_k).alias("sketch"))
+    """One mergeable sketch of VINs for each (region, group, metric); the prefix keeps the empty VIN, which sketches skip."""
+    return _keyed(enriched).groupBy(*KEYS).agg(F.hll_sketch_agg(F.concat(F.lit("v"), F.col("vin")), lg_k).alias("sketch"))
 
 
 def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:

@@ -23,8 +23,12 @@ def require(df: DataFrame, columns: list[str], what: str) -> dict[str, str]:
 
 
 def read_registrations(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Headerless registration CSVs as text columns; ``raw`` holds the text of rows with another number of fields."""
-    df = spark.read.schema(REGISTRATIONS).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "raw").csv(paths)
+    """Headerless registration CSVs as text columns; ``raw`` holds the text of rows with another number of fields.
+
+    A row's fields are only counted while all columns are parsed, hence no column pruning here; stage the table to Parquet
+    for jobs that read it often.
+    """
+    df = spark.read.schema(REGISTRATIONS).option("columnPruning", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "raw").csv(paths)
     if not df.inputFiles():
         raise FileNotFoundError(f"no registration files at {paths}")
     return df.withColumn("file", F.col("_metadata.file_path"))
