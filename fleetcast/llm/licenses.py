@@ -15,6 +15,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetcast.plans.staging import materialize
+
 #: Fixed notices: name and text.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
@@ -71,7 +73,7 @@ def detect_licenses(files: DataFrame, templates: dict[str, str] = TEMPLATES, thr
     idf = {w: _idf(total, counts.get(w, 0)) for w in vocabulary}
     other = _idf(total, 0)
     vectors = _vectors({n: t for n, t in templates.items() if words(t)}, idf)
-    keys = "(" + "|".join(sorted({w for v in vectors.values() for w in heaviest(v, threshold)})) + ")"
+    keys = "(?<![a-z0-9])(?:" + "|".join(sorted({w for v in vectors.values() for w in heaviest(v, threshold)})) + ")(?![a-z0-9])"
     has_key = lambda c: F.lower(c).rlike(keys)
     spark = files.sparkSession
     weights = spark.createDataFrame([(w, n, idf[w], x) for n, v in vectors.items() for w, x in v.items()], "word string, license string, idf double, weight double")
@@ -108,7 +110,8 @@ def scan_licenses(files: DataFrame, templates: dict[str, str] = TEMPLATES, thres
     """
     made = ["license", "license_score", "license_from", "license_dir"]
     names = [c for c in files.columns if c not in made]
-    own = detect_licenses(files, templates, threshold, path_col, text_col)
+    # A row for each file with a license of its own; it is read three times below.
+    own = materialize(detect_licenses(files, templates, threshold, path_col, text_col))
     named = own.where(F.regexp_extract("path", "([^/]*)$", 1).rlike(LICENSE_FILE)).withColumn("dir", directory(F.col("path")))
     by_dir = named.groupBy("dir").agg(F.min_by("license", F.struct(-F.col("score"), F.col("path"))).alias("dir_license"))
     depth = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/", -1)))
