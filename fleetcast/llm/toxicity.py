@@ -80,7 +80,7 @@ def fit_machine(term_lists: list[np.ndarray], labels: np.ndarray, rank: int = 4,
     share = float(labels.mean()) if len(labels) else 0.05
     prior = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
     none = Machine(np.zeros(0, "int64"), prior, np.zeros(0), np.zeros((0, rank)))
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         return none
     every = np.concatenate(term_lists)
     terms, n = np.unique(every, return_counts=True)
@@ -100,12 +100,15 @@ def fit_machine(term_lists: list[np.ndarray], labels: np.ndarray, rank: int = 4,
     x = np.zeros((total, len(kept)), "float32")
     x[row[seen], at[seen]] = 1
     rng = np.random.default_rng(seed)
-    p = {"b": np.array([prior]), "w": np.zeros(len(kept)), "v": rng.normal(0, 0.02, (len(kept), rank))}
+    # The bias stays where a text without terms has half the prior: learned, it would sink with the many clear texts, and a
+    # single insult would no longer reach the threshold.
+    p = {"b": np.array([np.log(share / (2 - share))]), "w": np.zeros(len(kept)), "v": rng.normal(0, 0.02, (len(kept), rank))}
     m, s = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
     y = labels.astype("float64")
     # Rows of label 1 count more, so that 0.3 lies well between the labels.
     weight = np.where(y > 0, min(4.0, (1 - share) / share), 1.0)
     weight /= weight.sum()
+    # Steps of the pair part shrink with its gradient: where the linear part suffices, pairs must not drift.
     for step in range(1, linear_steps + pair_steps + 1):
         pairs = step > linear_steps
         z = p["b"] + x @ p["w"].astype("float32")
@@ -115,17 +118,17 @@ def fit_machine(term_lists: list[np.ndarray], labels: np.ndarray, rank: int = 4,
             z += ((xv**2).sum(1) - x @ (v**2).sum(1)) / 2
         err = (weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)).astype("float32")
         by_term = x.T @ err
-        g = {"b": np.array([err.sum()]), "w": by_term + 1e-6 * p["w"]}
+        g = {"w": by_term + 1e-6 * p["w"]}
         if pairs:
             g["v"] = x.T @ (err[:, None] * xv) - by_term[:, None] * v + 1e-3 * v
         for k in g:
             t = step - linear_steps if k == "v" else step
             m[k], s[k] = 0.9 * m[k] + 0.1 * g[k], 0.99 * s[k] + 0.01 * g[k] ** 2
-            p[k] -= (0.02 if k == "v" else 0.05) * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)
+            p[k] -= (0.02 if k == "v" else 0.05) * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + (1e-3 if k == "v" else 1e-8))
     return Machine(terms[kept], float(p["b"][0]), p["w"], p["v"])
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, sample_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, sample_rows: int = 5_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     """Fit on at most ``sample_rows`` labelled texts whose id meets ``may_learn``, those with the smallest hash of the id.
 
     Labels other than 0 and 1, null ids and labels without a text are passed over. Of several labels of an id the largest
