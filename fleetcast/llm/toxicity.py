@@ -71,7 +71,7 @@ class Machine:
         return out
 
 
-def fit_machine(term_lists: list[np.ndarray], labels: np.ndarray, rank: int = 4, least_texts: int = 4, chi_square: float = 10.8, most: int = 600, linear_steps: int = 300, pair_steps: int = 60, seed: int = 5) -> Machine:
+def fit_machine(term_lists: list[np.ndarray], labels: np.ndarray, rank: int = 4, least_texts: int = 4, most: int = 600, linear_steps: int = 300, pair_steps: int = 60, seed: int = 5) -> Machine:
     """At most ``most`` terms in ``least_texts`` texts that go with the label (chi-square), then gradient steps on the log loss.
 
     The linear weights come first; the pair part then learns what they miss.
@@ -90,7 +90,9 @@ def fit_machine(term_lists: list[np.ndarray], labels: np.ndarray, rank: int = 4,
     total, bad = len(labels), labels.sum()
     gap = hits * (total - bad) - (n - hits) * bad
     chi = total * gap**2 / (bad * (total - bad) * n * np.maximum(1, total - n))
-    kept = np.nonzero((n >= least_texts) & (n < total) & (chi >= chi_square))[0]
+    able = (n >= least_texts) & (n < total)
+    # So high that of many terms that don't go with the label hardly one gets past.
+    kept = np.nonzero(able & (chi >= 2 * np.log(10 * max(1, able.sum()))))[0]
     kept = np.sort(kept[np.argsort(-chi[kept], kind="stable")[:most]])
     if not len(kept):
         return none
