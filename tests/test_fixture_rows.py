@@ -28,7 +28,7 @@ I,,
 J,,,11501-1234,,1,,K1,2020-01-01
 K,,,11501,,07,,K5,
 """
-SPEC = {"LIPA": ["NASSAU", "SUFFOLK"], "CHGE": ["DUTCHESS", "ULSTER"]}
+SPEC = {"NORTH": ["NASSAU", "SUFFOLK"], "SOUTH": ["DUTCHESS", "ULSTER"]}
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +37,7 @@ def data(spark, tmp_path_factory):
     (d / "reg.csv").write_text(ROWS)
     (d / "veh.csv").write_text("﻿VIN_Key,Drivetrain_Type,Other\r\nK1,BEV,1\r\n K2 ,PHEV,1\r\nK3,GAS,1\r\nK4, ,1\r\nK5,GAS,1\r\nK5,BEV,1\r\n ,BEV,1\r\n")
     (d / "zip.csv").write_text("ZIP,County_Name\r\n11501,Nassau\r\n11701,Suffolk\r\n6390,Suffolk\r\n12508,Dutchess\r\n10001,New York\r\n11501,Again\r\n,Blank\r\n")
-    (d / "over.csv").write_text("zip,region\r\n11501,LIPA\r\n11701,CHGE\r\n10516,CHGE\r\n10516,CHGE\r\n")
+    (d / "over.csv").write_text("zip,region\r\n11501,NORTH\r\n11701,SOUTH\r\n10516,SOUTH\r\n10516,SOUTH\r\n")
     reg = R.flag_short_rows(R.read_registrations(spark, str(d / "reg.csv")))
     xwalk = R.read_zip_county(spark, str(d / "zip.csv"))
     zips = regions.zip_regions(xwalk, regions.regions_df(spark, SPEC), R.read_zip_region(spark, str(d / "over.csv")))
@@ -48,28 +48,28 @@ def enriched(data, period):
     return regions.enrich(data["reg"], data["veh"], data["zips"], period)
 
 
-def rows(df, *order):
+def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
 def test_new_registrations(data):
     got = flow.new_registrations(enriched(data, "snapshot")).select("region", "snapshot_id", "new_all", "new_ev", K.fixed4(F.col("ev_share_pct")))
-    assert rows(got) == [("CHGE", 1, 1, 1, "100.0000"), ("CHGE", 2, 1, 0, "0.0000"), ("CHGE", 3, 1, 1, "100.0000"), ("LIPA", 1, 3, 2, "66.6667"), ("LIPA", 2, 1, 0, "0.0000"), ("LIPA", 7, 1, 1, "100.0000")]
+    assert rows(got) == [("NORTH", 1, 3, 2, "66.6667"), ("NORTH", 2, 1, 0, "0.0000"), ("NORTH", 7, 1, 1, "100.0000"), ("SOUTH", 1, 1, 1, "100.0000"), ("SOUTH", 2, 1, 0, "0.0000"), ("SOUTH", 3, 1, 1, "100.0000")]
 
 
 def test_exact_stock(data):
     got = {(r.region, r.group, r.metric): r.approx_unique_vins for r in stock.stock_counts(enriched(data, "snapshot"), exact=True).collect()}
-    assert got == {("LIPA", 1, "ALL"): 3, ("LIPA", 1, "EV"): 2, ("LIPA", 2, "ALL"): 2, ("LIPA", 2, "EV"): 1, ("LIPA", 3, "ALL"): 1, ("LIPA", 3, "EV"): 1, ("LIPA", 7, "ALL"): 1, ("LIPA", 7, "EV"): 1,
-                   ("CHGE", 1, "ALL"): 1, ("CHGE", 1, "EV"): 1, ("CHGE", 2, "ALL"): 1, ("CHGE", 3, "ALL"): 2, ("CHGE", 3, "EV"): 2}
+    assert got == {("NORTH", 1, "ALL"): 3, ("NORTH", 1, "EV"): 2, ("NORTH", 2, "ALL"): 2, ("NORTH", 2, "EV"): 1, ("NORTH", 3, "ALL"): 1, ("NORTH", 3, "EV"): 1, ("NORTH", 7, "ALL"): 1, ("NORTH", 7, "EV"): 1,
+                   ("SOUTH", 1, "ALL"): 1, ("SOUTH", 1, "EV"): 1, ("SOUTH", 2, "ALL"): 1, ("SOUTH", 3, "ALL"): 2, ("SOUTH", 3, "EV"): 2}
     months = {(r.region, r.group, r.metric): r.approx_unique_vins for r in stock.stock_counts(enriched(data, "month"), exact=True).collect()}
-    assert months[("LIPA", "2020-01-01", "ALL")] == 4 and months[("LIPA", "2020-01-01", "EV")] == 2 and months[("CHGE", "2020-03-01", "EV")] == 2
+    assert months[("NORTH", "2020-01-01", "ALL")] == 4 and months[("NORTH", "2020-01-01", "EV")] == 2 and months[("SOUTH", "2020-03-01", "EV")] == 2
     approx = {(r.region, r.group, r.metric): r.approx_unique_vins for r in stock.stock_counts(enriched(data, "snapshot")).collect()}
     assert approx == got
 
 
 def test_sketches_merge_over_periods(data):
     merged = {(r.region, r.metric): r.approx_unique_vins for r in stock.merge_sketches(stock.stock_sketches(enriched(data, "snapshot"), 12), ["region", "metric"]).collect()}
-    assert merged == {("LIPA", "ALL"): 5, ("LIPA", "EV"): 3, ("CHGE", "ALL"): 3, ("CHGE", "EV"): 2}
+    assert merged == {("NORTH", "ALL"): 5, ("NORTH", "EV"): 3, ("SOUTH", "ALL"): 3, ("SOUTH", "EV"): 2}
 
 
 @pytest.mark.parametrize("period,bad", [("snapshot", 1), ("month", 1)])
@@ -79,8 +79,8 @@ def test_counters(data, period, bad):
 
 
 def test_restricted_to_spec(spark, data):
-    only = regions.zip_regions(data["xwalk"], regions.regions_df(spark, {"LIPA": ["Nassau"]}), R.read_zip_region(spark, str(data["dir"] / "over.csv")), restrict_to_spec=True)
-    assert rows(only) == [("11501", "LIPA")]
+    only = regions.zip_regions(data["xwalk"], regions.regions_df(spark, {"NORTH": ["Nassau"]}), R.read_zip_region(spark, str(data["dir"] / "over.csv")), restrict_to_spec=True)
+    assert rows(only) == [("11501", "NORTH")]
 
 
 def test_duplicates_of_a_zip(spark, data):
@@ -200,7 +200,7 @@ def test_sinks(spark, data, tmp_path):
     Wr.write_counts(counts, f"{tmp_path}/c")
     assert spark.read.option("header", True).csv(f"{tmp_path}/c").count() == counts.count()
     Wr.write_flow(flow.new_registrations(enriched(data, "snapshot")), f"{tmp_path}/f")
-    assert ("LIPA", "1", "3", "2", "66.6667") in rows(spark.read.option("header", True).csv(f"{tmp_path}/f"))
+    assert ("NORTH", "1", "3", "2", "66.6667") in rows(spark.read.option("header", True).csv(f"{tmp_path}/f"))
     for tag in ("a", "b", "a"):
         Wr.write_table(counts, f"{tmp_path}/t", tag)
     assert spark.read.parquet(f"{tmp_path}/t").count() == 2 * counts.count()
