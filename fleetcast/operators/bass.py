@@ -130,13 +130,14 @@ def score_candidates(panel: DataFrame, grid: DataFrame, by: list[str], date: str
     """The least mean squared error of each (series, candidate) over box-bounded (A, q), with A = p or exp(alpha).
 
     Given M and beta the model is linear in (A, q): five sums per candidate and a closed form. Stocks are scaled by max(y).
-    ``grid`` is a bounded set of candidates (with by columns in refined rounds), joined to the rows by broadcast.
+    ``grid`` is a bounded set of candidates, joined to the rows by broadcast; in refined rounds each series has its own,
+    which join by its key.
     """
     top = panel.groupBy(*by).agg(F.max(stock).cast("double").alias("top"))
     rows = panel.withColumn("_y", F.lag(stock, 1, 0.0).over(W.partitionBy(*by).orderBy(date))).join(top, by).where("top > 0")
     rows = rows.select(*by, (F.col("_y") / F.col("top")).alias("u"), (F.col(flow).cast("double") / F.col("top")).alias("n"), "top", *features).where("u is not null and n is not null")
     shared = [c for c in by if c in grid.columns]
-    pairs = rows.join(F.broadcast(grid), shared) if shared else rows.crossJoin(F.broadcast(grid))
+    pairs = rows.join(grid, shared) if shared else rows.crossJoin(F.broadcast(grid))
     drive = F.lit(0.0)
     for j, c in enumerate(features):
         drive = drive + F.col(c) * F.col(f"b{j + 1}")

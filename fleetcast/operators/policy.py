@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetcast.operators.regions import small
 from fleetcast.operators.series import asof_join, bfill, ffill
 
 # Fixed values: (first day of the step, value). The first step has no start; each holds up to the next.
@@ -50,7 +51,7 @@ def apply_schedule(df: DataFrame, schedule: DataFrame, date: str = "date") -> Da
     names = sorted(r[0] for r in schedule.select("name").distinct().collect())
     days = df.select(F.col(date).alias("_d")).distinct()
     open_ = (F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("_d"))) & (F.col("valid_to").isNull() | (F.col("_d") < F.col("valid_to")))
-    wide = days.join(F.broadcast(schedule), open_).groupBy("_d").pivot("name", names).agg(F.max("value"))
+    wide = days.join(small(schedule), open_).groupBy("_d").pivot("name", names).agg(F.max("value"))
     return df.join(wide, df[date] == wide["_d"], "left").drop("_d")
 
 

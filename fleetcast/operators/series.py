@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Rows of a right side that is looked up as an array.
+SMALL_RIGHT = 100_000
+
 
 def _w(by: list[str], order: str):
     return (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy(order)
@@ -26,18 +29,22 @@ def bfill(df: DataFrame, cols: list[str], by: list[str], order: str) -> DataFram
 def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str] | None = None, small_right: bool = False) -> DataFrame:
     """``left`` with the columns of the latest ``right`` row at or before it; null where there is none.
 
+    Of several right rows at one time the one with the greatest values counts.
+
     With ``by`` keys both sides are merged and the last right row is carried forward, as a struct, so that a null inside
     the latest row stays null. Without keys the merged order would be one partition: then, or with ``small_right``, each
-    distinct left time is looked up in the sorted right rows, which must be few (one array in a task).
+    left row is looked up in the sorted right rows of its key, which must be few (``SMALL_RIGHT`` in all, else an error).
     """
     by = by or []
     values = [c for c in right.columns if c not in (right_on, *by)]
     if by and not small_right:
         l = left.select(*by, F.col(left_on).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_r"))
         r = right.select(*by, F.col(right_on).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_l"), F.struct(*values).alias("_r"))
-        w = W.partitionBy(*by).orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
+        w = W.partitionBy(*by).orderBy("_t", "_side", "_r").rowsBetween(W.unboundedPreceding, 0)
         both = l.unionByName(r).withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
         return both.select("_l.*", *[F.col(f"_r.{v}").alias(v) for v in values])
+    if right.limit(SMALL_RIGHT + 1).count() > SMALL_RIGHT:
+        raise ValueError(f"more than {SMALL_RIGHT} right rows: give by keys")
     keyed = right.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(right_on).alias("_t"), *values))).alias("_rows"))
     joined = left.join(F.broadcast(keyed), by, "left") if by else left.crossJoin(F.broadcast(keyed))
     hit = F.try_element_at(F.filter("_rows", lambda x: x["_t"] <= F.col(left_on)), F.lit(-1))

@@ -14,7 +14,7 @@ from fleetcast.plans.staging import materialize
 def attach_dates(stock: DataFrame, calendar: DataFrame, key: str = "group") -> DataFrame:
     """``stock`` with ``date``; snapshots without a date go."""
     cal = calendar.select(F.col("snapshot_id").alias(key), F.col("snapshot_date").alias("date"))
-    return stock.join(F.broadcast(cal), key, "left").where("date is not null")
+    return stock.join(cal, key, "left").where("date is not null")
 
 
 def join_flow(stock: DataFrame, flow: DataFrame, key: str = "group") -> DataFrame:
