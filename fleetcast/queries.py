@@ -245,7 +245,7 @@ def daily_density(spark, d):
 @query("lag_and_split", f"with {_SERIES} select region, max(date) filter (where date < date '2000-01-01') as last_train_date, arg_max(stock, date) filter (where date < date '2000-01-01') as last_train_stock, min(date) filter (where date >= date '2000-01-01') as first_test_date, arg_min(stock, date) filter (where date >= date '2000-01-01') as first_test_stock, sum(prev) as lagged from num where stock > 0 and date >= date '1995-02-01' group by 1".replace("sum(prev)", "sum(case when i = j then 0 else prev end)").replace("from num where", "from (select *, min(i) over (partition by region) as j from num where stock > 0 and date >= date '1995-02-01') num where"))
 def lag_and_split(spark, d):
     rows = S.lag_stock(S.positive_stock(S.since(D.series(spark, d), "date", "1995-02-01"), "stock"), "stock", ["region"], "date")
-    rows = S.check_split(S.train_flag(rows, "date", "2000-01-01"), ["region"])
+    rows = S.train_flag(rows, "date", "2000-01-01")
     return S.split_points(rows, ["region"], "date", "stock").join(rows.groupBy("region").agg(F.sum("y_prev").alias("lagged")), "region")
 
 
