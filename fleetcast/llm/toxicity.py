@@ -82,8 +82,12 @@ def fit_machine(term_lists: list[np.ndarray], labels: np.ndarray, rank: int = 4,
     none = Machine(np.zeros(0, "int64"), prior, np.zeros(0), np.zeros((0, rank)))
     if not len(labels) or not 0 < share < 1:
         return none
+    # Sorted in place and dropped at once: the driver holds the sample's terms and one copy.
     every = np.concatenate(term_lists)
-    terms, n = np.unique(every, return_counts=True)
+    every.sort()
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))[: len(every)]
+    terms, n = every[first], np.diff(np.append(first, len(every)))
+    del every
     hits = np.zeros(len(terms), "int64")
     found, times = np.unique(np.concatenate([t for t, y in zip(term_lists, labels, strict=True) if y]), return_counts=True)
     hits[np.searchsorted(terms, found)] = times
@@ -97,10 +101,10 @@ def fit_machine(term_lists: list[np.ndarray], labels: np.ndarray, rank: int = 4,
     if not len(kept):
         return none
     chosen = terms[kept]
-    row, at = np.repeat(np.arange(total), [len(t) for t in term_lists]), np.minimum(np.searchsorted(chosen, every), len(kept) - 1)
-    seen = chosen[at] == every
     x = np.zeros((total, len(kept)), "float32")
-    x[row[seen], at[seen]] = 1
+    for row, own in enumerate(term_lists):
+        at = np.minimum(np.searchsorted(chosen, own), len(kept) - 1)
+        x[row, at[chosen[at] == own]] = 1
     rng = np.random.default_rng(seed)
     # The bias stays where a text without terms has half the prior: learned, it would sink with the many clear texts, and a
     # single insult would no longer reach the threshold.
