@@ -60,9 +60,13 @@ def _positions(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def _grouped(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` whose ``keys`` occur at two positions at least, with ``name``: the first of these."""
+    """``rows`` (a written table) whose ``keys`` occur at two positions at least, with ``name``: the first of these.
+
+    The groups are written before the join: then both its sides are plain shuffles, and the rows of a very common line are
+    split over tasks instead of following the aggregation's partitioning.
+    """
     groups = rows.groupBy(*keys).agg(F.min("pos").alias("name"), F.max("pos").alias("last")).where("name <> last").drop("last")
-    return rows.join(groups, keys)
+    return rows.join(materialize(groups), keys)
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
@@ -77,7 +81,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     while 2 * depth <= deepest:
         there = W.partitionBy("doc", "tie").orderBy("idx").rangeBetween(depth, depth)
         pairs = level.select("doc", "tie", "idx", "pos", F.col("name").alias("here"), F.max("name").over(there).alias("next")).where("next is not null")
-        level = materialize(_grouped(pairs, ["here", "next"]).select("doc", "tie", "idx", "pos", "name"))
+        level = materialize(_grouped(materialize(pairs), ["here", "next"]).select("doc", "tie", "idx", "pos", "name"))
         if level.isEmpty():
             break
         levels.append(level)
@@ -95,7 +99,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     plain = started.where(whole & (F.col("here") != F.col("pos")))
     ends = names.select("doc", "tie", "k", F.col("idx").alias("tail"), F.col("name").alias("there"))
     tailed = started.where(~whole).withColumn("tail", F.col("start") + F.col("lines") - F.expr("shiftleft(1, k)")).join(ends, ["doc", "tie", "k", "tail"])
-    tailed = _grouped(tailed, ["lines", "here", "there"]).where("name <> pos")
+    tailed = _grouped(materialize(tailed), ["lines", "here", "there"]).where("name <> pos")
     return plain.select("doc", "tie", "start", "lines").union(tailed.select("doc", "tie", "start", "lines"))
 
 
