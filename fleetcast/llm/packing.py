@@ -2,9 +2,9 @@
 
 A configuration is a multiset of lengths that fits one sequence. The covering program "fewest configurations that hold every
 length as often as it occurs" is solved by multiplicative weights: each length has a price, a knapsack over the prices
-(dynamic programming) finds the dearest configuration, it is used as far as its scarcest length allows, and the prices of
-what it covers fall. The fractional solution is rounded down, configuration by configuration, and what stays over goes by
-best fit into the room left, then into new sequences.
+(dynamic programming) finds the dearest configuration, it is used as often as its scarcest length allows, and the prices of
+what it covers fall. So every use is whole, every round all but uses up a length, and the program goes on until every length
+is covered. Only where ``rounds`` stops it before that, the rest goes by best fit into the room left, then into new sequences.
 
 Planning sees only the histogram (as many counts as a sequence has tokens). Pieces get a rank among those of their length,
 and the plan maps (length, rank) to a sequence and an offset.
@@ -70,21 +70,30 @@ def _pieces(batches: Iterator[pa.RecordBatch], file: str, capacity: int) -> Iter
 
 def best_configuration(prices: np.ndarray, lengths: np.ndarray, supply: np.ndarray, capacity: int) -> np.ndarray:
     """How often the dearest configuration takes each length: a knapsack bounded by ``supply``, by dynamic programming."""
+    # Of lengths above half the capacity one piece fits at most, so they need no table: the best of them is added at the end.
+    long = 2 * lengths > capacity
     items = []
-    for at, (n, most) in enumerate(zip(lengths.tolist(), np.minimum(supply, capacity // lengths).tolist(), strict=True)):
+    for at, (n, most) in enumerate(zip(lengths.tolist(), np.where(long, 0, np.minimum(supply, capacity // lengths)).tolist(), strict=True)):
         times = 1
         while most > 0:
             take = min(times, most)
             items.append((at, take, n * take))
             most, times = most - take, times * 2
-    value = np.zeros(capacity + 1)
+    value, buffer = np.zeros(capacity + 1), np.empty(capacity + 1)
     taken = np.zeros((len(items), capacity + 1), bool)
     for i, (at, take, size) in enumerate(items):
-        new = value[: capacity + 1 - size] + prices[at] * take
-        better = new > value[size:]
-        taken[i, size:] = better
-        value[size:][better] = new[better]
+        rest, new = value[size:], buffer[size:]
+        np.add(value[: capacity + 1 - size], prices[at] * take, out=new)
+        np.greater(new, rest, out=taken[i, size:])
+        np.maximum(new, rest, out=rest)
     room, config = capacity, np.zeros(len(lengths), "int64")
+    one = np.nonzero(long & (supply > 0))[0]
+    if len(one):
+        total = value[capacity - lengths[one]] + prices[one]
+        best = one[total.argmax()]
+        if total.max() > value[capacity]:
+            config[best] = 1
+            room -= int(lengths[best])
     for i in range(len(items) - 1, -1, -1):
         if taken[i, room]:
             at, take, size = items[i]
@@ -93,29 +102,26 @@ def best_configuration(prices: np.ndarray, lengths: np.ndarray, supply: np.ndarr
     return config
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, step: float = 0.5) -> list[tuple[np.ndarray, float]]:
-    """A fractional cover by multiplicative weights: (configuration, how often), in the order in which they were found.
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int | None = None, step: float = 0.5) -> list[tuple[np.ndarray, int]]:
+    """A cover by multiplicative weights: (configuration, how often), in the order in which they were found.
 
     A price starts a little above the length's size, so that long pieces, which fit worst, go first. It falls by
-    exp(-step * share covered); a length leaves when it is covered.
+    exp(-step * share covered); a length leaves when it is covered. Without ``rounds`` all lengths are covered exactly.
     """
-    left, prices, found = counts.astype("float64"), lengths.astype("float64") ** 1.2, []
-    for _ in range(rounds):
-        open_ = left >= 1
-        if not open_.any():
-            break
-        at = np.nonzero(open_)[0]
+    left, prices, found = counts.astype("int64"), lengths.astype("float64") ** 1.2, []
+    while left.any() and (rounds is None or len(found) < rounds):
+        at = np.nonzero(left)[0]
         config = np.zeros(len(lengths), "int64")
-        config[at] = best_configuration(prices[at], lengths[at], np.floor(left[at]).astype("int64"), capacity)
+        config[at] = best_configuration(prices[at], lengths[at], left[at], capacity)
         used = config > 0
-        often = float(max(1.0, np.floor((left[used] / config[used]).min() * step)))
+        often = int((left[used] // config[used]).min())
         left[used] -= often * config[used]
         prices[used] *= np.exp(-step * often * config[used] / counts[used])
         found.append((config, often))
     return found
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 300) -> list[tuple[dict[int, int], int]]:
+def plan(histogram: dict[int, int], capacity: int, rounds: int | None = None) -> list[tuple[dict[int, int], int]]:
     """(configuration, number of sequences) that hold every length exactly as often as ``histogram`` says."""
     full = histogram.get(capacity, 0)
     lengths = np.array(sorted(n for n, c in histogram.items() if c > 0 and n < capacity), "int64")
@@ -124,12 +130,10 @@ def plan(histogram: dict[int, int], capacity: int, rounds: int = 300) -> list[tu
     if full:
         bins[((capacity, 1),)] = full
     if len(lengths):
-        for config, often in sorted(solve(lengths, left, capacity, rounds), key=lambda x: (-(x[0] @ lengths), -x[1])):
+        for config, often in solve(lengths, left, capacity, rounds):
             used = config > 0
-            times = int(min(np.floor(often), (left[used] // config[used]).min()))
-            if times > 0:
-                left -= times * config
-                bins[tuple((int(n), int(c)) for n, c in zip(lengths[used], config[used], strict=True))] += times
+            left -= often * config
+            bins[tuple((int(n), int(c)) for n, c in zip(lengths[used], config[used], strict=True))] += often
         best_fit(bins, {int(n): int(c) for n, c in zip(lengths, left, strict=True) if c}, capacity)
     return [(dict(config), times) for config, times in sorted(bins.items())]
 
@@ -163,14 +167,15 @@ def best_fit(bins: Counter, rest: dict[int, int], capacity: int) -> None:
             count -= times * each
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, rounds: int = 300, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its token ids and then id 0. One longer than ``capacity`` is cut into pieces of ``capacity``, of which
     the first may be shorter; others stay whole. Offsets within a sequence have no gaps and start at 0.
 
     Null and empty texts are the single id 0. Repeated rows and null ids are each packed. An empty table gives an empty
-    result. Other columns are ignored. ``tokenizer_path`` is read on the driver. ``rounds`` bounds the configurations tried; what they leave goes by best fit.
+    result. Other columns are ignored. ``tokenizer_path`` is read on the driver. Configurations are
+    tried until they hold every piece, or ``rounds`` of them at most; what those leave goes by best fit.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"

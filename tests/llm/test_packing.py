@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from fleetcast.llm.packing import Tokens, best_configuration, cut, pack_documents, plan
+from fleetcast.llm.packing import Tokens, best_configuration, cut, pack_documents, plan, solve
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -53,6 +53,20 @@ def test_plan_holds_every_length_and_is_near_the_bound():
     assert bins <= 1.02 * math.ceil(sum(n * c for n, c in h.items()) / 2048) + 1
 
 
+def test_configurations_hold_every_length_without_best_fit():
+    rng = np.random.default_rng(5)
+    lengths = np.arange(1, 2048, 4)
+    counts = rng.integers(1, 2000, len(lengths))
+    found = solve(lengths, counts, 2048)
+    assert (sum(config * often for config, often in found) == counts).all()
+    assert all(config @ lengths <= 2048 for config, _ in found)
+    assert sum(often for _, often in found) <= 1.01 * math.ceil(lengths @ counts / 2048) + 1
+    with_bound = Counter()
+    for config, times in plan({int(n): int(c) for n, c in zip(lengths, counts, strict=True)}, 2048, rounds=5):
+        with_bound.update({n: c * times for n, c in config.items()})
+    assert with_bound == {int(n): int(c) for n, c in zip(lengths, counts, strict=True)}
+
+
 def test_round_trip(spark, reference):
     rows = [(i, t) for i, t in enumerate(texts(spark)[:200])] + [(900, None), (901, ""), (900, None), (None, "no id"), (902, "word " * 5000)]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, length int, rank int")
