@@ -31,24 +31,28 @@ RANK_BUCKETS = 512
 
 
 class Tokens:
-    """Ids of byte-level BPE from a tokenizer file, as ``tokenizers`` gives them without special tokens.
+    """Ids of byte-level BPE from a tokenizer file, as ``tokenizers`` gives them with ``add_special_tokens=False``.
+
+    With ``special``, as for a tokenizer loaded from the file and left as it is, the file's added tokens that stand in a text
+    become their ids. Without, as with ``encode_special_tokens``, they are read like any other text.
 
     The ids come from ``tiktoken`` fed with the same file's vocabulary, whose merge order is its id order. It is three
     times as fast; ``tests/llm`` holds the two against each other.
     """
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, special: bool = False):
         """``file``: the content of the tokenizer file."""
         model = json.loads(file)
-        special = {t["id"] for t in model["added_tokens"]}
+        added = {t["content"]: t["id"] for t in model["added_tokens"]}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
-        ranks = {bytes(byte_of[c] for c in word): i for word, i in model["model"]["vocab"].items() if i not in special}
+        ranks = {bytes(byte_of[c] for c in word): i for word, i in model["model"]["vocab"].items() if i not in added.values()}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.coder = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.coder = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added if special else {})
+        self.allowed = set(added) if special else set()
 
     def ids(self, text: str | None) -> np.ndarray:
-        return self.coder.encode_to_numpy(text or "", disallowed_special=())
+        return self.coder.encode_to_numpy(text or "", allowed_special=self.allowed, disallowed_special=())
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -58,7 +62,7 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], file: str, capacity: int) -> Iterator[pa.RecordBatch]:
-    tokens = Tokens(file)
+    tokens = Tokens(file, special=True)
     for b in batches:
         out: list[tuple] = []
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
@@ -173,7 +177,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, r
     A document is its token ids and then id 0. One longer than ``capacity`` is cut into pieces of ``capacity``, of which
     the first may be shorter; others stay whole. Offsets within a sequence have no gaps and start at 0.
 
-    Null and empty texts are the single id 0. Repeated rows and null ids are each packed. An empty table gives an empty
+    Added tokens of the tokenizer file that stand in a text are one id each. Null and empty texts are the single id 0. Repeated rows and null ids are each packed. An empty table gives an empty
     result. Other columns are ignored. ``tokenizer_path`` is read on the driver. Configurations are
     tried until they hold every piece, or ``rounds`` of them at most; what those leave goes by best fit.
     """

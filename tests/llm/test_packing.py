@@ -29,6 +29,18 @@ def test_ids_are_those_of_the_tokenizer_file(spark, reference):
         assert tokens.ids(text).tolist() == reference(text)
 
 
+def test_added_tokens_in_a_text_are_ids(spark):
+    plain = Tokenizer.from_file(PATH)
+    ids = lambda text: plain.encode(text, add_special_tokens=False).ids
+    tokens = Tokens(open(PATH, encoding="utf-8").read(), special=True)
+    odd = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> \n<|endoftext|>  y", "<|endoftext", "<|endoftext|>|>", *texts(spark)[:100]]
+    for text in odd:
+        assert tokens.ids(text).tolist() == ids(text)
+    df = spark.createDataFrame(list(enumerate(odd[:5])), "doc_id long, text string")
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in pack_documents(df, PATH).collect()}
+    assert got == {i: (len(ids(t)) + 1, zlib.crc32(np.array([*ids(t), 0], "<u4").tobytes())) for i, t in enumerate(odd[:5])}
+
+
 def test_knapsack_is_the_dearest():
     rng = np.random.default_rng(3)
     for _ in range(30):
