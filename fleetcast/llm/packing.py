@@ -28,6 +28,8 @@ from fleetcast.plans.staging import materialize
 
 #: A length's pieces are numbered in so many parts at once.
 RANK_BUCKETS = 512
+#: With an order, the plan is dealt out in turns, as many as make so many entries.
+TURN_ENTRIES = 200_000
 
 
 class Tokens:
@@ -65,11 +67,11 @@ def _pieces(batches: Iterator[pa.RecordBatch], file: str, capacity: int) -> Iter
     tokens = Tokens(file, special=True)
     for b in batches:
         out: list[tuple] = []
-        for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+        for doc, text, at in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("order").to_pylist(), strict=True):
             ids = np.append(tokens.ids(text.as_py()), 0).astype("<u4")
-            out += [(doc, i, s, n, zlib.crc32(ids[s : s + n].tobytes())) for i, (s, n) in enumerate(cut(len(ids), capacity))]
-        columns = zip(*out, strict=True) if out else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, ("int64", "int32", "int64", "int64", "int64"), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            out += [(doc, i, s, n, zlib.crc32(ids[s : s + n].tobytes()), at) for i, (s, n) in enumerate(cut(len(ids), capacity))]
+        columns = zip(*out, strict=True) if out else [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, ("int64", "int32", "int64", "int64", "int64", "int64"), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "order"])
 
 
 def best_configuration(prices: np.ndarray, lengths: np.ndarray, supply: np.ndarray, capacity: int) -> np.ndarray:
@@ -171,25 +173,40 @@ def best_fit(bins: Counter, rest: dict[int, int], capacity: int) -> None:
             count -= times * each
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def in_turns(planned: list[tuple[dict[int, int], int]], entries: int = TURN_ENTRIES) -> list[tuple[dict[int, int], int]]:
+    """``planned`` dealt out evenly over turns: each turn has every configuration's share, single sequences spread by golden ratio."""
+    turns = max(1, min(sum(times for _, times in planned), entries // max(1, sum(len(config) for config, _ in planned))))
+    phase = [int(i * 0.6180339887498949 % 1 * turns) for i in range(len(planned))]
+    dealt = [(turn, config, (times * (turn + 1) + at) // turns - (times * turn + at) // turns) for turn in range(turns) for (config, times), at in zip(planned, phase, strict=True)]
+    return [(config, times) for _, config, times in dealt if times]
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its token ids and then id 0. One longer than ``capacity`` is cut into pieces of ``capacity``, of which
     the first may be shorter; others stay whole. Offsets within a sequence have no gaps and start at 0.
 
+    With ``order_col``, a whole number from 0, sequences follow that order: pieces of one length fill the plan in that order, each
+    stretch of it has about the same mix of configurations, and sequences are numbered by the mean place of their pieces. Null
+    counts as 0.
+    Without it, pieces of one length go in random order.
+
     Added tokens of the tokenizer file that stand in a text are one id each. Null and empty texts are the single id 0. Repeated rows and null ids are each packed. An empty table gives an empty
     result. Other columns are ignored. ``tokenizer_path`` is read on the driver. Configurations are
     tried until they hold every piece, or ``rounds`` of them at most; what those leave goes by best fit.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(order_col).cast("long"), F.lit(0)).alias("order") if order_col else F.lit(0).cast("long").alias("order"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     with open(tokenizer_path, encoding="utf-8") as f:
         file = docs.sparkSession.sparkContext.broadcast(f.read())
-    pieces = materialize(base.mapInArrow(lambda it: _pieces(it, file.value, capacity), schema))
-    histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
+    pieces = materialize(base.mapInArrow(lambda it: _pieces(it, file.value, capacity), f"{schema}, order long"))
+    found = pieces.groupBy("length").agg(F.count(F.lit(1)), F.max("order")).collect()
+    histogram, last = {r[0]: r[1] for r in found}, max((r[2] for r in found), default=0)
+    planned = plan(histogram, capacity, rounds)
     slots, first = {"length": [], "from": [], "each": [], "sequence": [], "offset": []}, 0
     taken: Counter[int] = Counter()
-    for config, times in plan(histogram, capacity, rounds):
+    for config, times in in_turns(planned) if order_col else planned:
         offset = 0
         for n, each in config.items():
             for name, x in zip(slots, (n, taken[n], each, first, offset), strict=True):
@@ -212,6 +229,18 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, r
             offset = table["offset"][at] + inside % table["each"][at] * n
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in schema_names), pa.array(sequence), pa.array(offset)], names=[*schema_names, "sequence_id", "offset"])
 
-    schema_names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    ranked = salted_rank(pieces, ["length"], [F.col("doc_id"), F.col("piece"), F.col("start"), F.col("ids_crc32")], F.struct("doc_id", "piece"), RANK_BUCKETS, "rank")
-    return ranked.select(*schema_names, "rank").mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    schema_names = ["doc_id", "piece", "start", "length", "ids_crc32", "order"]
+    # With an order, parts are its stretches, so that ranks follow it.
+    part = F.floor(F.col("order") / (last + 1) * RANK_BUCKETS).cast("int") if order_col else None
+    order = [F.col(c) for c in ("order", "doc_id", "piece", "start", "ids_crc32")]
+    ranked = salted_rank(pieces, ["length"], order, F.struct("doc_id", "piece"), RANK_BUCKETS, "rank", part)
+    placed = ranked.select(*schema_names, "rank").mapInArrow(place, f"{schema}, order long, sequence_id long, offset long")
+    if not order_col:
+        return placed.drop("order")
+    # Where few pieces share a length, the plan leaves no choice; so sequences are numbered by the mean place of their pieces.
+    placed = materialize(placed)
+    means = placed.groupBy("sequence_id").agg(F.avg("order").alias("mean"))
+    part = F.floor(F.col("mean") / (last + 1) * RANK_BUCKETS).cast("int")
+    numbers = salted_rank(means, [], [F.col("mean"), F.col("sequence_id")], F.col("sequence_id"), RANK_BUCKETS, "number", part)
+    numbered = placed.join(numbers.select("sequence_id", "number"), "sequence_id")
+    return numbered.select(*[c for c in schema_names if c != "order"], F.col("number").alias("sequence_id"), "offset")

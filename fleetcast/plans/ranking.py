@@ -7,14 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def salted_rank(df: DataFrame, group: list[str], order: list[Column], salt: Column, buckets: int, name: str) -> DataFrame:
+def salted_rank(df: DataFrame, group: list[str], order: list[Column], salt: Column, buckets: int, name: str, bucket: Column | None = None) -> DataFrame:
     """``name``: a gapless rank from 0 of each row within ``group``, ordered by (bucket of ``salt``, ``order``).
 
     A group is split into ``buckets`` parts that are numbered apart, so that one group with a third of all rows is
     still spread over the cluster; only the counts per (group, bucket) meet in one place.
+    ``bucket`` replaces the hash of ``salt``; where it never falls along ``order``, ranks follow ``order`` alone.
     ``order`` must be total, or equal rows get their numbers in any order.
     """
-    df = df.withColumn("_b", F.pmod(F.xxhash64(salt), F.lit(buckets)).cast("int"))
+    df = df.withColumn("_b", F.pmod(F.xxhash64(salt), F.lit(buckets)).cast("int") if bucket is None else bucket)
     counts = df.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
