@@ -343,12 +343,25 @@ def policy_table(spark, d):
     f"with {_BINS}, {_CAL} select county, date, round(cast(case when date >= date '2023-01-01' then 0.30 * 7500 + 0.60 * 7500 * share + 0.10 * 4000 * 0.65 end as double), 6) as credit from e, cal where date >= date '2022-11-01' and date < date '2023-03-01'",
 )
 def policy_scenarios(spark, d):
+    return _policy_scenarios(spark, d, "2022-11-01", "2023-02-01")
+
+
+def _policy_scenarios(spark, d, first, last):
     shares = policy.eligible_share(D.income_bins(spark, d), {"single": 3000.0, "joint": 7500.0, "hoh": 12000.0}, ["county"])
-    months = S.month_calendar(spark, "2022-11-01", "2023-02-01")
+    months = S.month_calendar(spark, first, last)
     credit = F.when(F.col("date") >= F.to_date(F.lit("2023-01-01")), policy.effective_credit(F.col("share"), F.lit(0.65), lease=0.30, used=0.10))
     return shares.crossJoin(F.broadcast(months)).select("county", "date", F.round(credit, 6).alias("credit"))
 
 
+@query(
+    "policy_scenarios_all",
+    f"with {_BINS}, {_CAL} select county, date, round(cast(case when date >= date '2023-01-01' then 0.30 * 7500 + 0.60 * 7500 * share + 0.10 * 4000 * 0.65 end as double), 6) as credit from e, cal",
+)
+def policy_scenarios_all(spark, d):
+    """The whole calendar of the policy table; the SQL of ``policy_scenarios`` asks for four months."""
+    return _policy_scenarios(spark, d, "1995-01-01", "2030-12-01")
+
+
 @query(
     "price_coverage",
     f"with {_REG} select snapshot, count(*) filter (where k in ('BEV', 'PHEV')) as ev_count_total, count(*) filter (where k in ('BEV', 'PHEV') and pr is not null) as ev_count_priced, round(avg(pr) filter (where k in ('BEV', 'PHEV')), 6) as avg_msrp_ev_stock_t, round(avg(pr) filter (where k = 'BEV'), 6) as avg_msrp_bev_stock_t, round(avg(pr) filter (where k = 'PHEV'), 6) as avg_msrp_phev_stock_t, count(*) filter (where k = 'BEV' and pr is not null) as bev_count_priced, count(*) filter (where k = 'PHEV' and pr is not null) as phev_count_priced, round(100.0 * count(*) filter (where k in ('BEV', 'PHEV') and pr is not null) / nullif(count(*) filter (where k in ('BEV', 'PHEV')), 0), 6) as coverage_pct from (select reg.snapshot, case p_type when 'ECONOMY' then 'BEV' when 'SMALL' then 'PHEV' else 'ICE' end as k, case when p_partkey % 4 <> 0 then p_retailprice end as pr from reg join part on vin = cast(p_partkey as varchar) where snapshot is not null) x group by 1",
@@ -464,11 +477,24 @@ def forecast_wide(spark, d):
 
 @query("scenario_projection", _CONST[1])
 def scenario_projection(spark, d):
+    return _scenarios(spark, d).where("scenario = 'base'").drop("scenario")
+
+
+_SLOW = _CONST[1].replace("cast(0.12 as double) as q", "cast(0.06 as double) as q")
+
+
+@query("scenario_projection_all", f"select 'base' as scenario, * from ({_CONST[1]}) union all select 'slow', * from ({_SLOW})")
+def scenario_projection_all(spark, d):
+    """Every scenario; the SQL of ``scenario_projection`` asks for the base alone."""
+    return _scenarios(spark, d)
+
+
+def _scenarios(spark, d):
     s = D.series(spark, d)
     scenarios = D.parameters(s).withColumn("scenario", F.explode(F.array(F.lit("base"), F.lit("slow")))).withColumn("q", F.when(F.col("scenario") == "slow", F.col("q") / 2).otherwise(F.col("q")))
     keyed = s.crossJoin(F.broadcast(scenarios.select("scenario").distinct()))
-    out = B.project(keyed, scenarios, ["region", "scenario"], "date", "stock", 6, "last").where("scenario = 'base'")
-    return out.select("region", "date", F.round("stock_hat", 4).alias("stock_hat"), F.round("flow_hat", 4).alias("flow_hat"))
+    out = B.project(keyed, scenarios, ["region", "scenario"], "date", "stock", 6, "last")
+    return out.select("scenario", "region", "date", F.round("stock_hat", 4).alias("stock_hat"), F.round("flow_hat", 4).alias("flow_hat"))
 
 
 @query("feature_moments", f"with {_SERIES}, t as (select region, avg(flow) as m, stddev_pop(flow) + 1e-9 as s from ser group by 1) select region, snapshot_id, round(m, 6) as flow_mean, round(s, 6) as flow_std, round((flow - m) / s, 6) as z_flow, round((flow - m) / s * 2 + stock / 100 * 0.5, 6) as dot from ser join t using (region)")
