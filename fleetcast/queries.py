@@ -537,12 +537,18 @@ def bass_fit_models(spark, d):
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str, change: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """A table read as a stream, run to its end."""
+    """A table read as a stream, run to its end; the result is read from the shared folder.
+
+    ``update`` keeps the least snapshot of each (region, vin), ``complete`` the last version, ``append`` all versions.
+    """
     # A pattern, since the source takes no plain path of a single file.
     rows = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema).parquet(f"{sf_dir}/{name}.parque[t]")
-    sink = f"stream_{uuid.uuid4().hex}"
-    T.run_available(change(rows), sink, mode, f"{shared_dir(spark)}/{sink}")
-    return spark.table(sink)
+    changed, folder = change(rows), f"{shared_dir(spark)}/stream_{uuid.uuid4().hex}"
+    write = T.upsert_min(f"{folder}/out") if mode == "update" else T.write_versions(f"{folder}/out", changed.columns)
+    epochs = T.run_available(changed, write, mode, f"{folder}/checkpoint")
+    if not epochs:
+        return spark.createDataFrame([], changed.schema)
+    return spark.read.schema(changed.schema).parquet(*[f"{folder}/out/v{n}" for n in (epochs if mode == "append" else epochs[-1:])])
 
 
 @query("stream_stock", "select event_type, cast(ts as date) as day, count(distinct user_id) as exact, true as within from events group by 1, 2")
@@ -559,7 +565,7 @@ def stream_first_seen(spark, d):
         month = (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate")
         return T.stream_first_seen(df.select(F.col("l_suppkey").cast("string").alias("region"), F.col("l_partkey").cast("string").alias("vin"), month.alias("period")))
 
-    return _stream(spark, d, "lineitem", change, "complete").withColumn("snapshot_id", F.col("snapshot_id").cast("long"))
+    return _stream(spark, d, "lineitem", change, "update").withColumn("snapshot_id", F.col("snapshot_id").cast("long"))
 
 
 @query("stream_first_arrival", "select distinct event_type, user_id from events")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from fleetcast.operators.stock import RSD_16
 
@@ -42,8 +43,22 @@ def upsert_min(path: str):
     return write
 
 
-def run_available(df: DataFrame, name: str, mode: str, checkpoint: str) -> StreamingQuery:
-    """Runs all that is available into the memory table ``name``."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
+def write_versions(path: str, columns: list[str]):
+    """A foreachBatch function that writes each batch as a version of its own; one that runs again replaces its version."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.select(*columns).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+
+    return write
+
+
+def run_available(df: DataFrame, write: Callable[[DataFrame, int], None], mode: str, checkpoint: str) -> list[int]:
+    """Runs all that is available, batch by batch through ``write`` on the executors, and returns the batches' numbers."""
+    epochs: list[int] = []
+
+    def noted(batch: DataFrame, epoch: int) -> None:
+        write(batch, epoch)
+        epochs.append(epoch)
+
+    df.writeStream.foreachBatch(noted).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return epochs
