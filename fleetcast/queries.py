@@ -530,7 +530,7 @@ def bass_fit_refined(spark, d):
 def bass_fit_models(spark, d):
     s = P.attach_price(D.series(spark, d), D.prices(spark, d))
     s = policy.cost_advantage(s).withColumn("subsidy_share_t", policy.step(F.col("date"), [(None, 0.1), ("1997-03-01", 0.2), ("1999-01-01", 0.15)]))
-    return B.fit_models(s, ["region"], "date", "stock", "flow", m_steps=6, beta_steps=5, rounds=2)
+    return B.fit_models(s, ["region"], "date", "stock", "flow")
 
 
 # Streams

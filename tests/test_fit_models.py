@@ -1,0 +1,13 @@
+"""The covariate fits of the registered query search as finely as the operator does by default."""
+
+import __spark_entry__
+from fleetcast import queries
+
+from tests.test_queries import SF
+
+
+def test_the_query_does_not_narrow_the_search(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries.B, "fit_models", lambda *args, **kwargs: seen.append(kwargs))
+    __spark_entry__.queries()["bass_fit_models"](spark, SF)
+    assert seen == [{}]
