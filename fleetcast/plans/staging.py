@@ -4,17 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+#: Folders written by ``materialize``, one list for each open ``scratch``.
+_OPEN: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where the session names none and runs on one machine (tests)."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="fleetcast-")
-        context.setCheckpointDir(named)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="fleetcast-"))
         named = context.getCheckpointDir()
     return named.rstrip("/")
 
@@ -27,4 +35,37 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what ``materialize`` wrote inside; results must have been written elsewhere by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            delete(spark, path)
+
+
+def table_positions(table: DataFrame, name: str = "position") -> DataFrame:
+    """``table``, read from Parquet, with each row's place in it (gapless from 0): by number of the part file, then by row.
+
+    So an order that a sorted write left in a table can be read back, which plain reads don't promise.
+    """
+    path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    part = F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"part-(\d+)", 1).try_cast("long")
+    rows = table.select("*", F.struct(part.alias("part"), path.alias("path")).alias("_file"), row.alias("_at"))
+    # A row for each file, so one task can sum them up; Spark broadcasts the table only if it is small.
+    files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    files = files.select(F.col("_file").alias("_f"), before.alias("_before"))
+    return rows.join(files, F.col("_file") == F.col("_f")).select(*table.columns, (F.col("_before") + F.col("_at")).cast("long").alias(name))
