@@ -1,10 +1,15 @@
 """Best-fit packing of token sequences by a configuration linear program over the length histogram.
 
-A configuration is a multiset of lengths that fits one sequence. The covering program "fewest configurations that hold every
-length as often as it occurs" is solved by multiplicative weights: each length has a price, a knapsack over the prices
-(dynamic programming) finds the dearest configuration, it is used as often as its scarcest length allows, and the prices of
-what it covers fall. So every use is whole, every round all but uses up a length, and the program goes on until every length
-is covered. Only where ``rounds`` stops it before that, the rest goes by best fit into the room left, then into new sequences.
+A configuration is a multiset of lengths that fits one sequence. The program asks for the fewest configurations, in
+fractions, that hold every length as often as it occurs. Multiplicative weights solve it: each length has a price, a knapsack
+over the prices (dynamic programming) says what the dearest configuration is worth, and a batch of configurations within
+``SLACK`` of that is drawn, in proportion to what the rounds before left short. Prices of what a batch holds too often fall,
+others rise. The solution is the average of all batches; demand times prices over the dearest worth bounds every packing from
+below, so the gap is known.
+
+Rounding: configurations are used in whole numbers as long as their lengths last; what is left is solved again, ``PHASES``
+times in all. Lengths below an eighth of a sequence are left out of the program, as is usual: they, and what rounding
+leaves, go by best fit into the fullest sequence with room.
 
 Planning sees only the histogram (as many counts as a sequence has tokens). Pieces get a rank among those of their length,
 and the plan maps (length, rank) to a sequence and an offset.
@@ -16,6 +21,7 @@ import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +34,10 @@ from fleetcast.plans.staging import materialize
 
 #: A length's pieces are numbered in so many parts at once.
 RANK_BUCKETS = 512
-#: With an order, the plan is dealt out in turns, as many as make so many entries.
-TURN_ENTRIES = 200_000
+#: Batches are drawn among configurations worth so little less than the dearest; a round moves a price by so little, and by so much at most.
+SLACK, STEP, MOST_STEP = 0.001, 0.00003, 0.1
+#: Rounds of the first solution and of those for what is left, configurations of a batch, solutions in all.
+ROUNDS, MORE_ROUNDS, BATCH, PHASES = 40, 12, 1024, 3
 
 
 class Tokens:
@@ -45,6 +53,9 @@ class Tokens:
     def __init__(self, file: str, special: bool = False):
         """``file``: the content of the tokenizer file."""
         model = json.loads(file)
+        split = model["pre_tokenizer"] or {}
+        if model["model"]["type"] != "BPE" or model["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            raise ValueError("only byte-level BPE with the usual split pattern and without a normalizer is known")
         added = {t["content"]: t["id"] for t in model["added_tokens"]}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
@@ -74,127 +85,155 @@ def _pieces(batches: Iterator[pa.RecordBatch], file: str, capacity: int) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, ("int64", "int32", "int64", "int64", "int64", "int64"), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "order"])
 
 
-def best_configuration(prices: np.ndarray, lengths: np.ndarray, supply: np.ndarray, capacity: int) -> np.ndarray:
-    """How often the dearest configuration takes each length: a knapsack bounded by ``supply``, by dynamic programming."""
-    # Of lengths above half the capacity one piece fits at most, so they need no table: the best of them is added at the end.
-    long = 2 * lengths > capacity
-    items = []
-    for at, (n, most) in enumerate(zip(lengths.tolist(), np.where(long, 0, np.minimum(supply, capacity // lengths)).tolist(), strict=True)):
-        times = 1
-        while most > 0:
-            take = min(times, most)
-            items.append((at, take, n * take))
-            most, times = most - take, times * 2
-    value, buffer = np.zeros(capacity + 1), np.empty(capacity + 1)
-    taken = np.zeros((len(items), capacity + 1), bool)
-    for i, (at, take, size) in enumerate(items):
-        rest, new = value[size:], buffer[size:]
-        np.add(value[: capacity + 1 - size], prices[at] * take, out=new)
-        np.greater(new, rest, out=taken[i, size:])
-        np.maximum(new, rest, out=rest)
-    room, config = capacity, np.zeros(len(lengths), "int64")
-    one = np.nonzero(long & (supply > 0))[0]
-    if len(one):
-        total = value[capacity - lengths[one]] + prices[one]
-        best = one[total.argmax()]
-        if total.max() > value[capacity]:
-            config[best] = 1
-            room -= int(lengths[best])
-    for i in range(len(items) - 1, -1, -1):
-        if taken[i, room]:
-            at, take, size = items[i]
-            config[at] += take
-            room -= size
-    return config
-
-
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int | None = None, step: float = 0.5) -> list[tuple[np.ndarray, int]]:
-    """A cover by multiplicative weights: (configuration, how often), in the order in which they were found.
-
-    A price starts a little above the length's size, so that long pieces, which fit worst, go first. It falls by
-    exp(-step * share covered); a length leaves when it is covered. Without ``rounds`` all lengths are covered exactly.
+def dearest(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """What the dearest configuration of each room 0..capacity is worth: a knapsack by dynamic programming."""
+    least = int(lengths.min())
+    backward = np.full(capacity + 1, -np.inf)
+    backward[capacity - lengths] = prices
+    worth = np.zeros(capacity + 1)
+    for room in range(least, capacity + 1):
+        worth[room] = max(worth[room - 1], (worth[: room - least + 1] + backward[capacity - room : capacity - least + 1]).max())
+    return worth
+
+
+def draw(prices: np.ndarray, worth: np.ndarray, lengths: np.ndarray, wanted: np.ndarray, capacity: int, batch: int, rng: np.random.Generator) -> np.ndarray:
+    """``batch`` configurations near the dearest, as rows of places in ``lengths`` (-1: none); lengths go in proportion to ``wanted``."""
+    slack, room, value = SLACK * worth[capacity], np.full(batch, capacity), np.zeros(batch)
+    steps, live = [], np.arange(batch)
+    while len(live):
+        step = np.full(batch, -1)
+        by_room = live[np.argsort(room[live], kind="stable")]
+        rooms, first = np.unique(room[by_room], return_index=True)
+        for r, lo, hi in zip(rooms.tolist(), first, np.append(first[1:], len(by_room)), strict=True):
+            fit = int(np.searchsorted(lengths, r, "right"))
+            if fit:
+                near = np.cumsum(wanted[:fit] * (prices[:fit] + worth[r - lengths[:fit]] >= worth[r] - slack))
+                step[by_room[lo:hi]] = np.minimum(np.searchsorted(near, rng.random(hi - lo) * near[-1], "right"), fit - 1)
+        has = step >= 0
+        steps.append(step)
+        room = room - np.where(has, lengths[step], 0)
+        value += np.where(has, prices[step], 0)
+        live = np.nonzero(has & (worth[room] > slack))[0]
+    return np.stack(steps, 1)[value >= worth[capacity] - 2 * slack]
+
+
+@dataclass
+class Fractional:
+    """A solution of the program: configurations (rows of ``lengths`` places) with their amounts, what they leave ``short`` of each length.
+
+    ``bound``: no packing of the lengths has fewer sequences. ``value``: sequences of the solution, the short rest in
+    sequences of its own.
     """
-    left, prices, found = counts.astype("int64"), lengths.astype("float64") ** 1.2, []
-    while left.any() and (rounds is None or len(found) < rounds):
+
+    configurations: list[tuple[np.ndarray, float]]
+    short: np.ndarray
+    bound: float
+    value: float
+
+
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, batch: int = BATCH, seed: int = 1) -> Fractional:
+    """Multiplicative weights on the covering program, starting from prices in proportion to the lengths."""
+    rng, demand, prices = np.random.default_rng(seed), counts.astype("float64"), lengths / capacity
+    held, bound, made = np.zeros(len(lengths)), 0.0, []
+    # The more draws a length gets in a batch, the more its share in the batch says.
+    rate = np.minimum(MOST_STEP, STEP * np.maximum(1, batch * demand / max(1.0, prices @ demand)))
+    for t in range(rounds):
+        worth = dearest(prices, lengths, capacity)
+        bound = max(bound, float(prices @ demand / worth[capacity]))
+        wanted = np.maximum((t + 1) * demand - held, 0) + 0.02 * demand
+        rows = draw(prices, worth, lengths, wanted, capacity, batch, rng)
+        got = np.bincount(rows[rows >= 0], minlength=len(lengths)) * (bound / max(1, len(rows)))
+        held += got
+        made.append(rows)
+        prices = prices * np.exp(-rate * np.clip(got / demand - 1, -1, 3))
+    short = np.maximum(0, demand - held / rounds)
+    return Fractional([(rows, bound / rounds / max(1, len(rows))) for rows in made], short, bound, bound + float((short / (capacity // lengths)).sum()))
+
+
+@dataclass
+class Plan:
+    """``sequences``: (configuration, how many). ``programmed``: pieces that the program placed, of ``pieces`` in all; ``bound`` as above."""
+
+    sequences: list[tuple[dict[int, int], int]]
+    pieces: int
+    programmed: int
+    bound: float
+    value: float
+
+
+def plan(histogram: dict[int, int], capacity: int, seed: int = 1) -> Plan:
+    """Sequences that hold every length exactly as often as ``histogram`` says."""
+    rest = Counter({int(n): int(c) for n, c in histogram.items() if c > 0})
+    pieces, total = sum(rest.values()), sum(n * c for n, c in rest.items())
+    bins: list[list] = []
+    if full := rest.pop(capacity, 0):
+        bins.append([{capacity: 1}, full])
+    lengths = np.array(sorted(n for n in rest if 8 * n >= capacity), "int64")
+    left, rng = np.array([rest[n] for n in lengths.tolist()], "int64"), np.random.default_rng(seed)
+    programmed, bound, value = full, total / capacity, 0.0
+    for phase in range(PHASES):
         at = np.nonzero(left)[0]
-        config = np.zeros(len(lengths), "int64")
-        config[at] = best_configuration(prices[at], lengths[at], left[at], capacity)
-        used = config > 0
-        often = int((left[used] // config[used]).min())
-        left[used] -= often * config[used]
-        prices[used] *= np.exp(-step * often * config[used] / counts[used])
-        found.append((config, often))
-    return found
-
-
-def plan(histogram: dict[int, int], capacity: int, rounds: int | None = None) -> list[tuple[dict[int, int], int]]:
-    """(configuration, number of sequences) that hold every length exactly as often as ``histogram`` says."""
-    full = histogram.get(capacity, 0)
-    lengths = np.array(sorted(n for n, c in histogram.items() if c > 0 and n < capacity), "int64")
-    left = np.array([histogram[n] for n in lengths.tolist()], "int64")
-    bins: Counter[tuple[tuple[int, int], ...]] = Counter()
-    if full:
-        bins[((capacity, 1),)] = full
-    if len(lengths):
-        for config, often in solve(lengths, left, capacity, rounds):
-            used = config > 0
-            left -= often * config
-            bins[tuple((int(n), int(c)) for n, c in zip(lengths[used], config[used], strict=True))] += often
-        best_fit(bins, {int(n): int(c) for n, c in zip(lengths, left, strict=True) if c}, capacity)
-    return [(dict(config), times) for config, times in sorted(bins.items())]
-
-
-def best_fit(bins: Counter, rest: dict[int, int], capacity: int) -> None:
-    """Adds ``rest`` to ``bins``, longest first, each to the fullest bins that have room; equal bins are filled together."""
-    by_room: dict[int, Counter] = {}
-    for config, times in bins.items():
-        by_room.setdefault(capacity - sum(n * c for n, c in config), Counter())[config] += times
-    for n in sorted(rest, reverse=True):
+        if not len(at):
+            break
+        found = solve(lengths[at], left[at], capacity, MORE_ROUNDS if phase else ROUNDS, seed=seed + phase)
+        if not phase:
+            bound, value = max(bound, full + found.bound), full + found.value
+        # Amounts are rounded so that sums over the shuffled configurations are off by less than one.
+        rows = [(row, amount) for table, amount in found.configurations for row in table]
+        carried = rng.random()
+        for i in rng.permutation(len(rows)).tolist():
+            row, amount = rows[i]
+            times = int(carried + amount)
+            carried += amount - times
+            if times:
+                used, each = np.unique(at[row[row >= 0]], return_counts=True)
+                times = min(times, int((left[used] // each).min()))
+            if times:
+                left[used] -= times * each
+                programmed += times * int(each.sum())
+                bins.append([dict(zip(lengths[used].tolist(), each.tolist(), strict=True)), times])
+    for n, c in zip(lengths.tolist(), left.tolist(), strict=True):
+        rest[n] = c
+    best_fit(bins, rest, capacity)
+    return Plan([(bins[i][0], bins[i][1]) for i in rng.permutation(len(bins)).tolist()], pieces, programmed, bound, value)
+
+
+def best_fit(bins: list[list], rest: dict[int, int], capacity: int) -> None:
+    """Adds ``rest`` to ``bins`` ([configuration, how many]), longest first, each to the fullest that have room; equal ones are filled together."""
+    by_room: dict[int, list[int]] = {}
+    for i, (config, _) in enumerate(bins):
+        by_room.setdefault(capacity - sum(n * c for n, c in config.items()), []).append(i)
+    for n in sorted((n for n, c in rest.items() if c), reverse=True):
         count = rest[n]
         while count:
             room = next((r for r in range(n, capacity) if by_room.get(r)), None)
+            each = min((capacity if room is None else room) // n, count)
             if room is None:
-                each = min(capacity // n, count)
-                times = count // each
-                config, after = ((n, each),), capacity - each * n
+                config, times, room = {}, count // each, capacity
             else:
-                config, have = next(iter(by_room[room].items()))
-                each = min(room // n, count)
-                times = min(have, count // each)
-                by_room[room][config] -= times
-                if not by_room[room][config]:
-                    del by_room[room][config]
-                bins[config] -= times
-                if not bins[config]:
-                    del bins[config]
-                config, after = tuple(sorted((Counter(dict(config)) + Counter({n: each})).items())), room - each * n
-            bins[config] += times
-            by_room.setdefault(after, Counter())[config] += times
+                i = by_room[room].pop()
+                config, times = bins[i][0], min(bins[i][1], count // each)
+                bins[i][1] -= times
+                if bins[i][1]:
+                    by_room[room].append(i)
+            bins.append([dict(Counter(config) + Counter({n: each})), times])
+            by_room.setdefault(room - each * n, []).append(len(bins) - 1)
             count -= times * each
+    bins[:] = [b for b in bins if b[1]]
 
 
-def in_turns(planned: list[tuple[dict[int, int], int]], entries: int = TURN_ENTRIES) -> list[tuple[dict[int, int], int]]:
-    """``planned`` dealt out evenly over turns: each turn has every configuration's share, single sequences spread by golden ratio."""
-    turns = max(1, min(sum(times for _, times in planned), entries // max(1, sum(len(config) for config, _ in planned))))
-    phase = [int(i * 0.6180339887498949 % 1 * turns) for i in range(len(planned))]
-    dealt = [(turn, config, (times * (turn + 1) + at) // turns - (times * turn + at) // turns) for turn in range(turns) for (config, times), at in zip(planned, phase, strict=True)]
-    return [(config, times) for _, config, times in dealt if times]
-
-
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its token ids and then id 0. One longer than ``capacity`` is cut into pieces of ``capacity``, of which
     the first may be shorter; others stay whole. Offsets within a sequence have no gaps and start at 0.
 
-    With ``order_col``, a whole number from 0, sequences follow that order: pieces of one length fill the plan in that order, each
-    stretch of it has about the same mix of configurations, and sequences are numbered by the mean place of their pieces. Null
-    counts as 0.
-    Without it, pieces of one length go in random order.
+    With ``order_col``, a whole number from 0, sequences follow that order: pieces of one length fill the plan in that order, and
+    sequences are numbered by the mean place of their pieces. Null counts as 0. Without it, pieces of one length go in random order.
 
-    Added tokens of the tokenizer file that stand in a text are one id each. Null and empty texts are the single id 0. Repeated rows and null ids are each packed. An empty table gives an empty
-    result. Other columns are ignored. ``tokenizer_path`` is read on the driver. Configurations are
-    tried until they hold every piece, or ``rounds`` of them at most; what those leave goes by best fit.
+    Added tokens of the tokenizer file that stand in a text are one id each. Null and empty texts are the single id 0. Repeated
+    rows and null ids are each packed. Very long texts make as many pieces as they need. An empty table gives an empty result.
+    Other columns are ignored. ``tokenizer_path`` is read on the driver.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(order_col).cast("long"), F.lit(0)).alias("order") if order_col else F.lit(0).cast("long").alias("order"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -203,10 +242,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, r
     pieces = materialize(base.mapInArrow(lambda it: _pieces(it, file.value, capacity), f"{schema}, order long"))
     found = pieces.groupBy("length").agg(F.count(F.lit(1)), F.max("order")).collect()
     histogram, last = {r[0]: r[1] for r in found}, max((r[2] for r in found), default=0)
-    planned = plan(histogram, capacity, rounds)
+    planned = plan(histogram, capacity).sequences
     slots, first = {"length": [], "from": [], "each": [], "sequence": [], "offset": []}, 0
     taken: Counter[int] = Counter()
-    for config, times in in_turns(planned) if order_col else planned:
+    for config, times in planned:
         offset = 0
         for n, each in config.items():
             for name, x in zip(slots, (n, taken[n], each, first, offset), strict=True):
