@@ -4,15 +4,17 @@ A source's rows form blocks of equal size. With weight w, block j of a source is
 slot ceil((j + 1) / w); in each slot the released block with the earliest deadline goes next. Then after any t slots a
 source has had less than one block more or less than w * t.
 
-With weights that are multiples of 1 / period the schedule repeats after ``period`` slots, where every source has had
-exactly its share. So only one period is computed, and every block finds its slot by a join on (source, place in the
-period). When a source has no blocks left, the weights of the others are scaled up and a new phase starts; phases, like
-sources, are few. All rows are kept.
+Weights are exact fractions: 0.1 is 1/10. Their common denominator is a period after which the schedule repeats, every source
+having had exactly its share. So one period is computed at most, and every block finds its slot by a join on (source, place in
+the period). When a source has no blocks left, the weights of the others are scaled up and a new phase starts; a phase that
+ends within its first period is computed only up to there. All rows are kept.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import math
 from fractions import Fraction
 
 from pyspark.sql import DataFrame
@@ -23,29 +25,20 @@ from fleetcast.plans.ranking import salted_rank
 RANK_BUCKETS = 512
 
 
-def whole_shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Weights as whole shares of ``period``, at least 1 each, by largest remainders (ties by name)."""
-    total = sum(weights.values())
-    period = max(period, len(weights))
-    exact = {s: Fraction(w) / Fraction(total) * period for s, w in weights.items()}
-    shares = {s: max(1, int(x)) for s, x in exact.items()}
-    rest = period - sum(shares.values())
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s)):
-        if rest > 0:
-            shares[s] += 1
-            rest -= 1
-    while rest < 0:
-        s = max(shares, key=lambda s: (shares[s], s))
-        shares[s] -= 1
-        rest += 1
-    return shares
-
-
-def one_period(shares: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
+def whole_shares(weights: dict[str, float]) -> dict[str, int]:
+    """The smallest whole numbers in the proportions of the weights; their sum is the period."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    unit = math.lcm(*(x.denominator for x in exact.values()))
+    whole = {s: int(x * unit) for s, x in exact.items()}
+    common = math.gcd(*whole.values())
+    return {s: x // common for s, x in whole.items()}
+
+
+def one_period(shares: dict[str, int], blocks: dict[str, int] | None = None) -> list[tuple[str, int, int, int, int]]:
     """(source, block, slot, release, deadline) of one period: earliest deadline first among released blocks.
 
-    Ties in deadlines go by the group rules of fair scheduling in their simplest form: the source with the larger share
-    first, then by name.
+    Ties in deadlines go to the source with the larger share, then by name. With ``blocks`` it ends with the last block of
+    some source.
     """
     period = sum(shares.values())
     waiting = [(0, s, 0) for s in sorted(shares)]
@@ -58,50 +51,54 @@ def one_period(shares: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
             heapq.heappush(ready, (-(-(j + 1) * period // shares[s]), -shares[s], s, j))
         deadline, _, s, j = heapq.heappop(ready)
         out.append((s, j, slot, j * period // shares[s], deadline))
+        if blocks and j + 1 == blocks[s]:
+            break
         if j + 1 < shares[s]:
             heapq.heappush(waiting, ((j + 1) * period // shares[s], s, j + 1))
     return out
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[tuple]:
-    """Rows (source, first block, end block, first slot, period, place, slot in period, release, deadline) of all phases.
+def phases(rows: dict[str, int], weights: dict[str, float], block_rows: int) -> tuple[list[tuple], list[tuple]]:
+    """Two tables: (source, phase, first block, end block, first slot, period, share, rows lacking before), and
+    (source, phase, place, slot in period, release, deadline).
 
-    ``first`` to ``end`` are a source's blocks of a phase. A phase ends with the last block of some source.
+    ``first`` to ``end`` are a source's blocks of a phase. A phase ends with the last block of some source, the only one that
+    may lack rows.
     """
-    used, at, rows = dict.fromkeys(blocks, 0), 0, []
-    open_ = {s for s, n in blocks.items() if n}
-    while open_:
-        shares = whole_shares({s: weights[s] for s in open_}, period)
-        table = one_period(shares)
-        length = sum(shares.values())
-        slots = {s: [row[2] for row in table if row[0] == s] for s in open_}
-        last = {s: (blocks[s] - used[s] - 1) // shares[s] * length + slots[s][(blocks[s] - used[s] - 1) % shares[s]] for s in open_}
-        end = min(last.values()) + 1
-        took = {s: end // length * shares[s] + sum(x < end % length for x in slots[s]) for s in open_}
-        rows += [(s, used[s], used[s] + took[s], at, length, j, slot, shares[s], r, d) for s, j, slot, r, d in table if took[s]]
-        for s in open_:
-            used[s] += took[s]
+    blocks = {s: -(-n // block_rows) for s, n in rows.items() if n}
+    used, at, lacking, bounds, places = dict.fromkeys(blocks, 0), 0, 0, [], []
+    while blocks:
+        shares = whole_shares({s: weights[s] for s in blocks})
+        left = {s: n - used[s] for s, n in blocks.items()}
+        table, period = one_period(shares, left), sum(shares.values())
+        slots: dict[str, list[int]] = {}
+        for s, _, slot, _, _ in table:
+            slots.setdefault(s, []).append(slot)
+        # A source that has no block before the phase ends has none in ``slots``, and can't be the one that ends it.
+        end = min((left[s] - 1) // shares[s] * period + slots[s][(left[s] - 1) % shares[s]] for s in slots if (left[s] - 1) % shares[s] < len(slots[s])) + 1
+        took = {s: end // period * shares[s] + bisect.bisect_left(x, end % period) for s, x in slots.items()}
+        phase = len(bounds)
+        bounds += [(s, phase, used[s], used[s] + n, at, period, shares[s], lacking) for s, n in took.items() if n]
+        places += [(s, phase, j, slot, r, d) for s, j, slot, r, d in table if took[s]]
+        for s, n in took.items():
+            used[s] += n
         at += end
-        open_ = {s for s in open_ if used[s] < blocks[s]}
-    return rows
-
-
-PHASE_SCHEMA = "_source string, first_block long, end_block long, first_slot long, period long, place long, period_slot long, share long, period_release long, period_deadline long"
+        for s in [s for s in took if used[s] == blocks[s]]:
+            lacking += blocks.pop(s) * block_rows - rows[s]
+    return bounds, places
 
 
-def mix_sources(
-    docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 16, period: int = 1000, id_col: str = "doc_id", source_col: str = "source"
-) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 16, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """``docs`` with ``position`` (gapless from 0), ``block``, ``slot``, ``release`` and ``deadline``: the order of the mixture.
 
-    ``weights``: target weight by source; without it all sources weigh the same. Sources that are not named share the
-    smallest named weight. While every source has rows, its blocks among the first t slots number less than one from
-    weight * t; then the same holds for those that still have rows. Weights are rounded to 1 / ``period``. ``block_rows``
-    rows make a block, only a source's last may be shorter; within a source, rows go by a hash of the id, a random order.
+    ``weights``: target weight by source, read as decimals; without it all sources weigh the same. Sources that are not named
+    share the smallest named weight. While every source has rows, its blocks among the first t slots number less than one from
+    weight * t; then the same holds for those that still have rows. ``block_rows`` rows make a block, only a source's last may
+    be shorter; within a source, rows go by a hash of the id, a random order.
 
     All rows stay, repeated ones and those with null ids too. A null source counts as the source "". Weights must be
-    positive. An empty table gives an empty result. Columns named like an output are replaced. Only the number of rows
-    by source, and tables of sources x phases x period, meet on the driver.
+    positive. An empty table gives an empty result. Columns named like an output are replaced. The driver holds the number of
+    rows by source and a table of the slots of a period for each phase: as many slots as the weights' common period has.
     """
     made = ["position", "block", "slot", "release", "deadline"]
     names = [c for c in docs.columns if c not in made]
@@ -111,23 +108,17 @@ def mix_sources(
     rows = docs.select(F.struct(*names).alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source"))
     counts = {r[0]: r[1] for r in rows.groupBy("_source").count().collect()}
     least = min(weights.values()) if weights else 1.0
-    target = {s: (weights or {}).get(s, least) for s in counts}
-    plan = phases({s: -(-n // block_rows) for s, n in counts.items()}, target, period)
+    bounds, places = phases(counts, {s: (weights or {}).get(s, least) for s in counts}, block_rows)
     spark = docs.sparkSession
-    table = spark.createDataFrame(plan, PHASE_SCHEMA).withColumn("_source", F.coalesce("_source", F.lit("")))
-    # Of each source's last block, how many rows it lacks: all later positions move up by as many.
+    # Spark knows the size of these tables and broadcasts them only if they are small.
+    bounds = spark.createDataFrame(bounds, "_s string, _phase int, _first long, _end long, _at long, _period long, _share long, _lacking long")
+    places = spark.createDataFrame(places, "_s2 string, _phase2 int, _place2 long, _slot long, _release long, _deadline long")
     ranked = salted_rank(rows, ["_source"], [F.col("_id")], F.col("_id"), RANK_BUCKETS, "_rank").withColumn("block", F.floor(F.col("_rank") / block_rows).cast("long"))
-    bounds = table.select("_source", "first_block", "end_block", "first_slot", "period", "share").distinct()
-    phased = ranked.join(F.broadcast(bounds), (ranked["_source"] == bounds["_source"]) & F.col("block").between(F.col("first_block"), F.col("end_block") - 1)).drop(bounds["_source"])
-    phased = phased.withColumn("_turn", F.floor((F.col("block") - F.col("first_block")) / F.col("share")).cast("long")).withColumn("_place", (F.col("block") - F.col("first_block")) % F.col("share"))
-    slots = table.select(F.col("_source").alias("_s"), F.col("first_slot").alias("_f"), F.col("place").alias("_p"), "period_slot", "period_release", "period_deadline")
-    slotted = phased.join(F.broadcast(slots), (F.col("_source") == F.col("_s")) & (F.col("first_slot") == F.col("_f")) & (F.col("_place") == F.col("_p")))
-    shift = F.col("first_slot") + F.col("_turn") * F.col("period")
-    slotted = slotted.withColumns({"slot": shift + F.col("period_slot"), "release": shift + F.col("period_release"), "deadline": shift + F.col("period_deadline")})
-    gaps = F.lit(0).cast("long")
-    last = {s: -(-n // block_rows) - 1 for s, n in counts.items()}
-    for s, first, end, at, length, place, slot, share, _, _ in plan:
-        if first <= last[s] < end and (last[s] - first) % share == place and counts[s] % block_rows:
-            gaps = gaps + F.when(F.col("slot") > at + (last[s] - first) // share * length + slot, block_rows - counts[s] % block_rows).otherwise(0)
-    position = F.col("slot") * block_rows + F.col("_rank") % block_rows - gaps
+    phased = ranked.join(bounds, (F.col("_source") == F.col("_s")) & (F.col("block") >= F.col("_first")) & (F.col("block") < F.col("_end")))
+    inside = F.col("block") - F.col("_first")
+    phased = phased.withColumns({"_turn": F.floor(inside / F.col("_share")).cast("long"), "_place": inside % F.col("_share")})
+    slotted = phased.join(places, (F.col("_source") == F.col("_s2")) & (F.col("_phase") == F.col("_phase2")) & (F.col("_place") == F.col("_place2")))
+    shift = F.col("_at") + F.col("_turn") * F.col("_period")
+    slotted = slotted.withColumns({"slot": shift + F.col("_slot"), "release": shift + F.col("_release"), "deadline": shift + F.col("_deadline")})
+    position = F.col("slot") * block_rows + F.col("_rank") % block_rows - F.col("_lacking")
     return slotted.withColumn("position", position.cast("long")).select("_row.*", *made)
