@@ -75,11 +75,11 @@ def fit_machine(term_lists: list[np.ndarray], labels: np.ndarray, rank: int = 4,
     """At most ``most`` terms in ``least_texts`` texts that go with the label (chi-square), then gradient steps on the log loss.
 
     The linear weights come first; the pair part then learns what they miss.
-    Without both labels the machine has no terms and gives the share of label 1 (0.05 where there are no rows).
+    Without both labels, or without terms that go with one, it gives half the share of label 1 (0.025 where there are no rows).
     """
     share = float(labels.mean()) if len(labels) else 0.05
-    prior = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
-    none = Machine(np.zeros(0, "int64"), prior, np.zeros(0), np.zeros((0, rank)))
+    # Half the prior, as for a text without terms: what nothing speaks against stays below the threshold of common use.
+    none = Machine(np.zeros(0, "int64"), float(np.log(max(share, 1e-3) / (2 - share))), np.zeros(0), np.zeros((0, rank)))
     if not len(labels) or not 0 < share < 1:
         return none
     # Sorted in place and dropped at once: the driver holds the sample's terms and one copy.
