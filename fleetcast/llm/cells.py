@@ -1,4 +1,4 @@
-"""A stated query set against all rows, in blocks: what both vector searches share."""
+"""What both vector searches share: usable vectors, their matrices, and search in cells of a stated query set against all rows."""
 
 from __future__ import annotations
 
@@ -6,11 +6,14 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Rows and queries of a cell, about.
+SHARD_ROWS, BLOCK_QUERIES = 4096, 4096
+
 
 def finite_vectors(df: DataFrame, id_col: str, vec_col: str, component: Callable[[Column], Column]) -> DataFrame:
     """(vec_id long, vec array of ``component`` of each entry as a double), without unusable rows.
@@ -24,52 +27,57 @@ def finite_vectors(df: DataFrame, id_col: str, vec_col: str, component: Callable
     return rows.groupBy("vec_id").agg(F.min(vec_col).alias(vec_col)).select("vec_id", F.transform(vec_col, component).alias("vec"))
 
 
+def without_surplus_copies(vectors: DataFrame, k: int) -> DataFrame:
+    """``vectors`` less those of which k + 1 copies with smaller ids exist.
+
+    Copies score alike and ties go to smaller ids, so no other row's best k can hold one of these. So a vector that a third of
+    all rows share meets no search more than k + 1 times; the limit is applied in each task before rows are shuffled.
+    """
+    return vectors.withColumn("_n", F.row_number().over(W.partitionBy("vec").orderBy("vec_id"))).where(F.col("_n") <= k + 1).drop("_n")
+
+
 def bounded_sample(vectors: DataFrame, rows: int) -> np.ndarray:
     """At most ``rows`` vectors, those with the smallest hash of their id, as a matrix; shorter ones padded with zeros."""
-    got = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).select("vec").collect()
-    return matrix([r[0] for r in got])
+    return matrix(vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).select("vec").toArrow().column("vec"))
 
 
-def matrix(vectors, width: int = 0) -> np.ndarray:
-    width = max([width, *(len(v) for v in vectors)])
-    out = np.zeros((len(vectors), width))
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+def matrix(vectors: pa.Array | pa.ChunkedArray, width: int = 0) -> np.ndarray:
+    """A list column as a matrix, filled up with zeros."""
+    column = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    sizes = np.asarray(column.value_lengths().to_numpy(zero_copy_only=False), "int64")
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    width = max([width, *sizes.max(keepdims=True, initial=0)])
+    if len(sizes) * width == len(values):
+        return values.reshape(len(sizes), width)
+    out = np.zeros((len(sizes), width))
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
     return out
 
 
-def search_in_cells(
-    vectors: DataFrame,
-    queries: DataFrame,
-    search: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]],
-    score_type: str,
-    k: int,
-    best_first: Callable[[str], Column],
-    shard_rows: int = 4096,
-    block_rows: int = 4096,
-    least_shards: int = 24,
-) -> DataFrame:
-    """(query_id, rank from 1, vec_id, score): for each query the best ``k`` of what ``search`` finds in each cell.
-
-    Rows are dealt by a hash of their id into shards, queries into blocks; a cell is one block against one shard, of a
-    bounded size whatever the input. ``search`` gets query ids and vectors, row ids and vectors, and returns query ids,
-    row ids and scores, the best ``k`` for each query. Each cell passes on ``k`` rows a query, and the ranking keeps
-    ``k`` a task before it shuffles.
-    """
-    n, m = vectors.count(), queries.count()
-    shards, blocks = max(least_shards, math.ceil(n / shard_rows)), max(1, math.ceil(m / block_rows))
-    dealt = lambda df, parts: F.pmod(F.xxhash64("vec_id", F.lit(17)), F.lit(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = queries.withColumn("block", dealt(queries, blocks)).withColumn("shard", every(shards))
-    right = vectors.withColumn("shard", dealt(vectors, shards)).withColumn("block", every(blocks))
-
-    def cell(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        found = ([], [], [])
-        if len(q) and len(v):
-            width = max(max(map(len, q.vec)), max(map(len, v.vec)))
-            found = search(q.vec_id.to_numpy(), matrix(q.vec.tolist(), width), v.vec_id.to_numpy(), matrix(v.vec.tolist(), width))
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True))).astype({"query_id": "int64", "vec_id": "int64", "score": "int64" if score_type == "long" else "float64"})
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(cell, f"query_id long, vec_id long, score {score_type}")
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(best_first("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+def fitted(x: np.ndarray, width: int) -> np.ndarray:
+    """``x`` cut or filled up with zeros to ``width`` columns."""
+    out = np.zeros((len(x), width))
+    out[:, : min(width, x.shape[1])] = x[:, :width]
+    return out
+
+
+def best_of(query: np.ndarray, row: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` smallest ``score`` of each query, ties to the smaller row id."""
+    order = np.lexsort((row, score, query))
+    first = np.concatenate([[True], query[order][1:] != query[order][:-1]]) if len(order) else np.zeros(0, bool)
+    start = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0)) if len(order) else np.zeros(0, int)
+    return order[np.arange(len(order)) - start < k]
+
+
+def dealt(key: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(17)), F.lit(parts)).cast("int")
+
+
+def parts_of(rows: int, size: int) -> int:
+    return max(1, math.ceil(rows / size))
+
+
+def ranked(found: DataFrame, k: int, score: Column) -> DataFrame:
+    """(query_id, rank from 1, vec_id, score): the first ``k`` by ``score``, then by id; each task keeps ``k`` before the shuffle."""
+    order = F.row_number().over(W.partitionBy("query_id").orderBy(score, "vec_id"))
+    return found.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -1,120 +1,166 @@
 """Approximate nearest neighbours by multi-index hashing over learned rotated binary codes.
 
 Codes: principal axes of a bounded sample, then several rotations, each fitted by iterative quantization from its own
-start, 256 sign bits in all. Every row is indexed under each of its 32 eight-bit substrings. A code within Hamming radius
-r of a query's is, in one substring at least, within floor(r / 32) (within one less in all but r mod 32 + 1 of them), so
-probing those substring values retrieves every code within r; what is found is ranked by true distances.
+start; the sign bits are cut into substrings of 16. The index is a table with a row for each (substring, value) of every
+vector. A query asks for each substring's value and all values within ``flips`` bits of it, by an equi-join. By the pigeonhole
+principle that retrieves every code within the Hamming radius parts * (flips + 1) - 1, as a code that differs in more than
+``flips`` bits in every substring is farther. What is retrieved is ranked by true distances.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetcast.llm.cells import bounded_sample, finite_vectors, search_in_cells
+from fleetcast.llm.cells import BLOCK_QUERIES, SHARD_ROWS, best_of, bounded_sample, dealt, finite_vectors, fitted, matrix, parts_of, ranked, without_surplus_copies
+from fleetcast.plans.staging import materialize
 
-BITS, PARTS = 256, 32
-_COUNT = np.array([bin(x).count("1") for x in range(256)])
-#: Byte masks by the number of bits that they flip at most.
-MASKS = [np.where(_COUNT <= t)[0] for t in range(9)]
+#: Bits of a substring; (flips, most substrings) in the order in which they are tried.
+PART_BITS, SHAPES = 16, ((1, 128), (2, 128), (3, 64), (4, 32))
+#: Pairs whose distances are computed at once.
+STEP = 1 << 15
 
 
 @dataclass
 class Coder:
-    """Learned codes: ``center``, ``rotation`` (width x BITS) and the search ``radius``."""
+    """Learned codes: ``center`` and ``rotation`` (width x bits); ``flips`` allowed in a substring, so that ``radius`` is covered."""
 
     center: np.ndarray
     rotation: np.ndarray
-    radius: int
+    flips: int
 
-    def codes(self, x: np.ndarray) -> np.ndarray:
-        width = max(x.shape[1], len(self.center))
-        center, rotation, padded = np.zeros(width), np.zeros((width, BITS)), np.zeros((len(x), width))
-        center[: len(self.center)], rotation[: len(self.center)], padded[:, : x.shape[1]] = self.center, self.rotation, x
-        return np.packbits((padded - center) @ rotation > 0, axis=1)
+    @property
+    def parts(self) -> int:
+        return self.rotation.shape[1] // PART_BITS
 
+    @property
+    def radius(self) -> int:
+        return self.parts * (self.flips + 1) - 1
 
-def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a.view("uint64") ^ b.view("uint64")).sum(-1)
+    def substrings(self, x: np.ndarray) -> np.ndarray:
+        """The substrings of each row as numbers: (rows, parts)."""
+        # Components beyond the sample's width have no part in the codes; distances are those of whole vectors.
+        bits = (fitted(x, len(self.center)) - self.center) @ self.rotation > 0
+        return bits.reshape(len(x), self.parts, PART_BITS) @ (1 << np.arange(PART_BITS))
 
 
-def learn_codes(sample: np.ndarray, k: int = 10, share: float = 0.97, seed: int = 7) -> Coder:
-    """Fit on ``sample``. The radius holds ``share`` of the sample's own k nearest neighbours.
+def within(flips: int) -> list[int]:
+    """All masks of at most ``flips`` of a substring's bits."""
+    return sorted(sum(1 << b for b in bits) for n in range(flips + 1) for bits in itertools.combinations(range(PART_BITS), n))
 
-    Neighbours among all rows are nearer than those in the sample, so the radius loses fewer of them.
-    """
-    width = sample.shape[1] if sample.ndim == 2 and len(sample) else 1
-    if len(sample) < 2:
-        return Coder(np.zeros(width), np.random.default_rng(seed).normal(size=(width, BITS)), BITS)
+
+def rotations(sample: np.ndarray, many: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sample's mean, and ``many`` rotations of its principal axes side by side, each fitted to the signs it gives."""
     rng, center = np.random.default_rng(seed), sample.mean(0)
-    z = sample - center
+    z, width = sample - center, sample.shape[1]
     axes = np.linalg.eigh(z.T @ z)[1]
     z, made = z @ axes, []
-    for _ in range(-(-BITS // width)):
+    for _ in range(many):
         r = np.linalg.qr(rng.normal(size=(width, width)))[0]
-        for _ in range(25):
+        for _ in range(10):
             u, _, vt = np.linalg.svd(np.where(z @ r > 0, 1.0, -1.0).T @ z)
             r = (u @ vt).T
         made.append(axes @ r)
-    coder = Coder(center, np.concatenate(made, 1)[:, :BITS], BITS)
-    codes = coder.codes(sample)
-    near = []
-    for i in range(0, len(sample), max(1, len(sample) // 256)):
+    return center, np.concatenate(made, 1)
+
+
+def learn_codes(sample: np.ndarray, k: int = 10, target: float = 0.96, seed: int = 7) -> Coder:
+    """The first shape, and the fewest substrings, that retrieve ``target`` of the sample's own k nearest neighbours.
+
+    Neighbours among all rows are nearer than those in the sample, so more of them are retrieved. Where no shape does, the
+    last one is taken whole.
+    """
+    width = sample.shape[1] if sample.ndim == 2 and sample.size else 1
+    if len(sample) <= k + 1:
+        return Coder(np.zeros(width), np.random.default_rng(seed).normal(size=(width, PART_BITS)), 0)
+    most = max(parts for flips, parts in SHAPES)
+    center, rotation = rotations(sample, -(-most * PART_BITS // width), seed)
+    coder = Coder(center, rotation[:, : most * PART_BITS], 0)
+    codes, asked = coder.substrings(sample).astype("uint16"), np.arange(0, len(sample), max(1, len(sample) // 256))
+    apart = np.zeros((len(asked), min(k, len(sample) - 1), most), "uint8")
+    for at, i in enumerate(asked):
         d = ((sample - sample[i]) ** 2).sum(1)
         d[i] = np.inf
-        near.append(hamming(codes[np.argsort(d)[: min(k, len(sample) - 1)]], codes[i]))
-    coder.radius = int(np.quantile(np.concatenate(near), share))
-    return coder
-
-
-def probe_search(q_ids, q, v_ids, v, k: int, coder: Coder):
-    """For each query the k nearest of the rows within the Hamming radius; it is widened until k are found or all read."""
-    q_codes, v_codes = coder.codes(q), coder.codes(v)
-    order = np.argsort(v_codes, axis=0, kind="stable").T  # rows by substring value, for each substring
-    ends = np.stack([np.cumsum(np.bincount(v_codes[:, j], minlength=256)) for j in range(PARTS)])
-    starts = np.concatenate([np.zeros((PARTS, 1), dtype=ends.dtype), ends[:, :-1]], 1)
-    flat = order.reshape(-1)
-    out_q, out_v, out_s = [], [], []
-    for i, own in enumerate(q_ids):
-        others, radius = v_ids != own, coder.radius
-        wanted = min(k, int(others.sum()))
-        while wanted:
-            lo, ln = [], []
-            for j in range(PARTS):
-                within = radius // PARTS - (j > radius % PARTS)
-                if within >= 0:
-                    values = q_codes[i, j] ^ MASKS[min(within, 8)]
-                    lo.append(starts[j, values] + j * len(v))
-                    ln.append(ends[j, values] - starts[j, values])
-            lo, ln = np.concatenate(lo), np.concatenate(ln)
-            seen = np.zeros(len(v), bool)
-            seen[flat[np.repeat(lo - (np.cumsum(ln) - ln), ln) + np.arange(ln.sum())]] = True
-            rows = np.nonzero(seen & others)[0]
-            rows = rows[hamming(v_codes[rows], q_codes[i]) <= radius]
-            if len(rows) >= wanted or radius >= BITS:
-                d = np.sqrt(((v[rows] - q[i]) ** 2).sum(1))
-                best = np.lexsort((v_ids[rows], d))[:k]
-                out_q.append(np.full(len(best), own))
-                out_v.append(v_ids[rows][best])
-                out_s.append(d[best])
-                break
-            radius = min(BITS, radius + 8)
-    return tuple(np.concatenate(x) if x else np.array([]) for x in (out_q, out_v, out_s))
+        near = np.argpartition(d, apart.shape[1] - 1)[: apart.shape[1]]
+        apart[at] = np.bitwise_count(codes[near] ^ codes[i])
+    for flips, parts in SHAPES:
+        found = np.logical_or.accumulate(apart[:, :, :parts] <= flips, 2).mean((0, 1))
+        if found[-1] >= target:
+            parts = int(np.argmax(found >= target)) + 1
+            break
+    return Coder(center, rotation[:, : parts * PART_BITS], flips)
+
+
+def _coded(batches: Iterator[pa.RecordBatch], coder: Coder) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keys = coder.substrings(matrix(b.column("vec"))) + (np.arange(coder.parts) << PART_BITS)
+        lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, coder.parts, dtype="int32"), pa.array(keys.reshape(-1).astype("int32")))
+        yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("query"), lists], names=["vec_id", "query", "keys"])
+
+
+def _distances(sides: pa.Table, pairs: pa.Table, k: int) -> pa.Table:
+    """Of one cell, the k nearest of each query's pairs. ``sides``: rows (kind 0) and queries (kind 1)."""
+    kind, ids, x = sides.column("kind").to_numpy(), sides.column("id").to_numpy(), matrix(sides.column("vec"))
+    q, v = pairs.column("query_id").to_numpy(), pairs.column("vec_id").to_numpy()
+    places = []
+    for side, asked in ((1, q), (0, v)):
+        own = np.nonzero(kind == side)[0]
+        own = own[np.argsort(ids[own])]
+        places.append(own[np.searchsorted(ids[own], asked)] if len(asked) else own[:0])
+    score = np.zeros(len(q))
+    for lo in range(0, len(q), STEP):
+        part = slice(lo, lo + STEP)
+        score[part] = np.sqrt(((x[places[1][part]] - x[places[0][part]]) ** 2).sum(1))
+    best = best_of(q, v, score, k)
+    return pa.table({"query_id": q[best], "vec_id": v[best], "score": score[best]})
 
 
 def nearest_by_codes(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, sample_rows: int = 4096) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row that meets ``is_query`` (over ``vec_id``) the ``k`` nearest found.
+    """(query_id, rank, vec_id, score, retrieved): for each row that meets ``is_query`` (over ``vec_id``) the ``k`` nearest found.
 
-    ``score``: Euclidean distance in double precision. ``sample_rows``: codes and radius are fitted on so many rows at
-    most; every row is indexed.
+    ``score``: Euclidean distance in double precision. ``retrieved``: rows that the query's probes met, of which distances were
+    computed; of a vector that many rows share only the k + 1 smallest ids are met. ``sample_rows``: codes are fitted on so
+    many rows at most; every other row is indexed all the same. A query whose probes meet fewer than ``k`` rows is widened
+    once, to all rows.
 
     Null ids and vectors, zero or empty vectors, and vectors with a null or non-finite component take no part. Of rows
     with the same id, one counts. Shorter vectors count as padded with zeros. Ties go to the smaller id; fewer than
     ``k`` other rows: all of them. An empty table gives an empty result. Other columns are ignored.
     """
     usable = finite_vectors(vectors, id_col, vec_col, lambda x: x).where(F.exists("vec", lambda x: x != 0.0))
-    coder = learn_codes(bounded_sample(usable, sample_rows), k)
-    return search_in_cells(usable, usable.where(is_query), lambda qi, q, vi, v: probe_search(qi, q, vi, v, k, coder), "double", k, lambda c: F.col(c).asc())
+    usable = materialize(usable.withColumn("query", is_query))
+    rows = materialize(without_surplus_copies(usable.select("vec_id", "vec"), k))
+    queries = usable.where("query").select(F.col("vec_id").alias("query_id"), "vec")
+    coder = learn_codes(bounded_sample(rows, sample_rows), k)
+
+    def coded(df: DataFrame, query: bool) -> DataFrame:
+        return df.withColumn("query", F.lit(query)).mapInArrow(lambda it: _coded(it, coder), "vec_id long, query boolean, keys array<int>")
+
+    index = coded(rows, False).select("vec_id", F.explode("keys").alias("key"))
+    masks = F.from_json(F.lit(str(within(coder.flips))), "array<int>")
+    own = coded(queries.withColumnRenamed("query_id", "vec_id"), True).select(F.col("vec_id").alias("query_id"), F.explode("keys").alias("own"))
+    probes = own.select("query_id", F.explode(F.transform(masks, lambda x: F.col("own").bitwiseXOR(x))).alias("key"))
+    pairs = materialize(index.join(probes, "key").where("vec_id <> query_id").select("query_id", "vec_id").distinct())
+
+    met = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("retrieved"))
+    counted = materialize(queries.select("query_id").join(met, "query_id", "left").withColumn("retrieved", F.coalesce("retrieved", F.lit(0))))
+    few = counted.where(F.col("retrieved") < k).select("query_id")
+    n, m = rows.count(), counted.count()
+    shards, blocks = parts_of(n, SHARD_ROWS), parts_of(m, BLOCK_QUERIES)
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    if not few.isEmpty():
+        # The stated queries that found too few, each against every row, dealt by the rows.
+        wide = rows.select("vec_id", dealt("vec_id", shards).alias("shard")).join(few.withColumn("shard", every(shards)), "shard").where("vec_id <> query_id").select("query_id", "vec_id")
+        pairs = pairs.join(few, "query_id", "left_anti").union(wide)
+        counted = counted.join(wide.groupBy("query_id").agg(F.count(F.lit(1)).alias("all")), "query_id", "left").select("query_id", F.coalesce("all", "retrieved").alias("retrieved"))
+    sides = rows.select(dealt("vec_id", shards).alias("shard"), every(blocks).alias("block"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "vec")
+    asking = queries.select(every(shards).alias("shard"), dealt("query_id", blocks).alias("block"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), "vec")
+    placed = pairs.select(dealt("vec_id", shards).alias("shard"), dealt("query_id", blocks).alias("block"), "query_id", "vec_id")
+    found = sides.union(asking).groupBy("shard", "block").cogroup(placed.groupBy("shard", "block")).applyInArrow(lambda a, b: _distances(a, b, k), "query_id long, vec_id long, score double")
+    return ranked(found, k, F.col("score").asc()).join(counted, "query_id").select("query_id", "rank", "vec_id", "score", F.col("retrieved").cast("long").alias("retrieved"))

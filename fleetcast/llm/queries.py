@@ -32,7 +32,7 @@ def held_out(id_col: str) -> Column:
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_topk(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+    return exact_topk(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0).drop("scored")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
