@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetcast.plans.staging import materialize
 
@@ -31,16 +32,24 @@ def _numbered(text: Column) -> Column:
     return F.filter(lines, lambda x: x["t"] != "")
 
 
-def _tie(text: Column) -> Column:
-    return F.pmod(F.xxhash64(text), F.lit(1 << (62 - LINE_BITS)))
+def _doc(ids: Column, kind: T.DataType) -> Column:
+    """Ids that are never null: whole numbers as they are, others as text; the least value where there is none."""
+    if isinstance(kind, T.IntegralType):
+        return F.coalesce(ids.cast("long"), F.lit(-(1 << 63)))
+    return F.coalesce(ids.cast("string"), F.lit(""))
+
+
+def _tie(ids: Column, text: Column) -> Column:
+    """Tells apart rows with the same id and other texts, and null ids (first) from the ids that stand for them."""
+    return F.pmod(F.xxhash64(text), F.lit(1 << (61 - LINE_BITS))) + F.when(ids.isNull(), 0).otherwise(1 << (61 - LINE_BITS))
 
 
 def _positions(docs: DataFrame, min_words: int) -> DataFrame:
     """One row for each line with words: (doc, tie, idx) with its digest and its two shortest runs, null where too few words."""
-    lines = docs.select("doc", _tie(F.col("text")).alias("tie"), F.posexplode(_numbered(F.col("text"))).alias("idx", "item"))
-    digest = [F.xxhash64("item.t").alias("h1"), F.xxhash64(F.lit("second"), F.col("item.t")).alias("h2")]
-    lines = lines.select("doc", "tie", "idx", *digest, F.size(F.split("item.t", f"[{BLANKS}]+", -1)).cast("long").alias("words"))
-    lines = lines.repartition("doc", "tie").dropDuplicates(["doc", "tie", "idx"])
+    item = lambda x: F.struct(F.xxhash64(x["t"]).alias("h1"), F.xxhash64(F.lit("second"), x["t"]).alias("h2"), F.size(F.split(x["t"], f"[{BLANKS}]+", -1)).cast("long").alias("words"))
+    # Rows that repeat a document are reduced to one in each task before anything moves.
+    lines = docs.select("doc", "tie", F.transform(_numbered(F.col("text")), item).alias("items")).groupBy("doc", "tie").agg(F.first("items").alias("items"))
+    lines = lines.select("doc", "tie", F.posexplode("items").alias("idx", "item")).select("doc", "tie", "idx", "item.*")
     by_doc = W.partitionBy("doc", "tie")
     lines = lines.withColumn("after", F.sum("words").over(by_doc.orderBy("idx").rowsBetween(W.unboundedPreceding, 0)))
     lines = lines.withColumn("before", F.col("after") - F.col("words")).withColumn("total", F.sum("words").over(by_doc))
@@ -72,7 +81,7 @@ def _grouped(rows: DataFrame, keys: list[str]) -> DataFrame:
 def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """(doc, tie, start, lines): shortest runs of ``min_words`` words that also occur at an earlier position.
 
-    ``docs``: doc, text. Positions order by doc (nulls first), then by a hash of the text, then by line.
+    ``docs``: doc, tie (no nulls), text. Positions order by doc, then by tie, then by line.
     """
     positions = materialize(_positions(docs, min_words))
     level = materialize(_grouped(positions, ["h1", "h2"]).select("doc", "tie", "idx", "pos", "name", "ahead", "back"))
@@ -112,19 +121,22 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
 
     Null texts stay null, empty ones empty; a text of which every line goes becomes empty. Rows that repeat an id and a
     text are one document and get the same result; other rows with the same id are ordered by a hash of the text; null
-    ids come first. An empty table gives an empty result. All other columns stay (a column ``deleted_lines`` is
-    replaced). Lines are compared by 128-bit digests; a document may have 2^28 lines.
+    ids come first. Ids that are no whole numbers order as text. An empty table gives an empty result. All other columns stay (a
+    column ``deleted_lines`` is replaced). Lines are compared by 128-bit digests; a document may have 2^28 lines.
     """
     names = [c for c in docs.columns if c != "deleted_lines"]
-    slim = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    runs = repeated_runs(slim.where("text is not null"), min_words)
+    doc, tie = _doc(F.col(id_col), docs.schema[id_col].dataType), _tie(F.col(id_col), F.col(text_col))
+    runs = repeated_runs(docs.select(doc.alias("doc"), tie.alias("tie"), F.col(text_col).alias("text")).where("text is not null"), min_words)
     gone = runs.select("doc", "tie", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("lines") - 1)).alias("idx"))
-    gone = gone.groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_set("idx").alias("_gone"))
-    rows = docs.select(*names).withColumn("_own_tie", _tie(F.col(text_col)))
-    joined = rows.join(gone, rows[id_col].eqNullSafe(gone["_doc"]) & (rows["_own_tie"] == gone["_tie"]), "left")
-    lines, counted = F.split(F.col(text_col), "\n", -1), F.transform(_numbered(F.col(text_col)), lambda x: x["line"])
+    # Written before the join, so that rows of a document that is repeated very often are split over tasks.
+    gone = materialize(gone.groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_set("idx").alias("_gone")))
+    # The input's columns travel in one struct, so that none can clash.
+    rows = docs.select(F.struct(*names).alias("_row"), doc.alias("_own_doc"), tie.alias("_own_tie"))
+    joined = rows.join(gone, (F.col("_own_doc") == F.col("_doc")) & (F.col("_own_tie") == F.col("_tie")), "left")
+    old = F.col("_row").getField(text_col)
+    lines, counted = F.split(old, "\n", -1), F.transform(_numbered(old), lambda x: x["line"])
     joined = joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), lines)).withColumn("_numbers", F.when(F.col("_gone").isNotNull(), counted))
-    joined = joined.withColumn("deleted_lines", F.coalesce(F.array_sort(F.transform("_gone", lambda i: F.get("_numbers", i))), F.array().cast("array<int>")))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("deleted_lines"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
-    return joined.select(*[(text.alias(c) if c == text_col else rows[c]) for c in names], "deleted_lines")
+    joined = joined.withColumn("_deleted", F.coalesce(F.array_sort(F.transform("_gone", lambda i: F.get("_numbers", i))), F.array().cast("array<int>")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_deleted"))
+    text = F.when(F.col("_gone").isNull(), old).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
+    return joined.select(*[(text if c == text_col else F.col("_row").getField(c)).alias(c) for c in names], F.col("_deleted").alias("deleted_lines"))
