@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetcast.plans.staging import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules are broadcast up to so many; more are joined by a shuffle.
 BROADCAST_RULES = 100_000
@@ -36,7 +38,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default:
     then the one with the longer host, then ``block``. Where none fits, ``rule`` is null and ``verdict`` is ``default``.
 
     Null and malformed URLs have an empty host and path and get the default. Each input row gives one output row, so
-    repeated rows and rows with equal URLs all stay. Columns of ``urls`` named like an output are replaced by it.
+    repeated rows and rows with equal URLs all stay. Very long URLs are judged whole. Columns of ``urls`` named like an output are replaced by it.
     Rules with a null or empty host, or a null path, fit nothing. No rules: everything gets the default.
     """
     made = ["host", "path", "rule", "verdict"]
@@ -71,12 +73,14 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default:
         best = hits.groupBy("_url").agg(F.max(F.struct(F.length("rule").alias("l"), F.col("host_length"), F.col("rule_verdict"), F.col("rule"))).alias("_best"))
     else:
         best = parsed.select("_url").where(F.lit(False)).withColumn("_best", F.lit(None).cast("struct<rule_verdict:string,rule:string>"))
-    hit = best.select(F.col("_url").alias("_hit_url"), F.col("_best.rule").alias("_rule"), F.col("_best.rule_verdict").alias("_verdict"))
-    joined = urls.select(*kept).join(hit, urls[url_col] == hit["_hit_url"], "left")
+    # Written before the join, so that rows of a very common URL are split over tasks; the input's columns travel in one struct.
+    hit = materialize(best.select("_url", F.col("_best.rule").alias("_rule"), F.col("_best.rule_verdict").alias("_verdict")))
+    own = urls.select(F.struct(*[F.col(c) for c in kept]).alias("_row"), F.col(url_col).alias("_own")) if kept else urls.select(F.col(url_col).alias("_own"))
+    joined = own.join(hit, F.col("_own") == F.col("_url"), "left")
     return joined.select(
-        *[urls[c] for c in kept],
-        url_host(urls[url_col]).alias("host"),
-        url_path(urls[url_col]).alias("path"),
+        *[F.col("_row").getField(c).alias(c) for c in kept],
+        url_host(F.col("_own")).alias("host"),
+        url_path(F.col("_own")).alias("path"),
         F.col("_rule").alias("rule"),
         F.coalesce("_verdict", F.lit(default)).alias("verdict"),
     )
