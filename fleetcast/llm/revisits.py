@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetcast.llm.url_filters import LOWER, UPPER
+from fleetcast.plans.staging import materialize
 
 #: Headers of a 304 response that replace those of the stored response; all others of it are dropped.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
@@ -33,7 +34,7 @@ def _tag(value: Column) -> Column:
     return F.regexp_replace(F.trim(value), "^W/", "")
 
 
-def resolve_revisits(records: DataFrame, span_seconds: int = 86_400) -> DataFrame:
+def resolve_revisits(records: DataFrame, span_seconds: int = 600) -> DataFrame:
     """Revisits with the response that they repeat.
 
     ``records``: record_id (long), url, time (timestamp), type (``response`` or ``revisit``), status (int), headers
@@ -46,7 +47,9 @@ def resolve_revisits(records: DataFrame, span_seconds: int = 86_400) -> DataFram
     payload digests), ``unchecked`` (no validator in common), ``matched``. ``headers`` of matched and unchecked revisits are
     those of the response, with the permitted ones of the revisit in place; null otherwise.
 
-    Null headers count as empty. Repeated rows each stay. An empty table gives an empty result; other columns are ignored.
+    Null headers count as empty. A null ``record_id`` is an id like others, before all others: such a response may be referred
+    to, by a null, and its headers are merged. Repeated rows each stay. Very long URLs and headers are used whole. An empty
+    table gives an empty result; other columns are ignored.
 
     A URL's records are cut into spans of time, searched apart; a span that starts without a response takes the last of
     the spans before it, so that one URL with a third of all records is still spread out. Payloads never move.
@@ -73,14 +76,15 @@ def resolve_revisits(records: DataFrame, span_seconds: int = 86_400) -> DataFram
     found = within.join(carried, (F.col("canonical_url") == F.col("u")) & (F.col("span") == F.col("s")), "left").select("record_id", "canonical_url", "time", "payload_digest", F.coalesce("near", "carry").alias("hit"))
     lost = rows.where("revisit and (canonical_url is null or time is null)").select("record_id", "canonical_url", "time", "payload_digest", F.lit(None).cast(found.schema["hit"].dataType).alias("hit"))
 
-    stored = keyed.where("full").groupBy("canonical_url", "time", "record_id", "payload_digest").agg(F.max_by("headers", F.to_json("headers")).alias("stored"))
+    # Written before the join, so that the revisits of one response, however many, are split over tasks.
+    stored = materialize(keyed.where("full").groupBy("canonical_url", "time", "record_id", "payload_digest").agg(F.max_by("headers", F.to_json("headers")).alias("stored")))
     own = rows.where("revisit").select("record_id", "canonical_url", "time", "payload_digest", F.col("headers").alias("sent"))
     asked = found.union(lost).distinct().alias("a")
     same = lambda x, y, names: [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in names]
     joined = asked.join(own.alias("o"), same("a", "o", ["record_id", "canonical_url", "time", "payload_digest"]))
     joined = joined.join(
         stored.alias("r"),
-        [F.col("a.canonical_url") == F.col("r.canonical_url"), F.col("a.hit.time") == F.col("r.time"), F.col("a.hit.record_id") == F.col("r.record_id"), F.col("a.hit.payload_digest").eqNullSafe(F.col("r.payload_digest"))],
+        [F.col("a.canonical_url") == F.col("r.canonical_url"), F.col("a.hit.time") == F.col("r.time"), F.col("a.hit.record_id").eqNullSafe(F.col("r.record_id")), F.col("a.hit.payload_digest").eqNullSafe(F.col("r.payload_digest"))],
         "left",
     )
     flat = joined.select("a.record_id", "a.canonical_url", "a.time", "a.payload_digest", "a.hit", "r.stored", "o.sent")
