@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fleetcast.llm.exact_topk import exact_topk
 from fleetcast.llm.hamming_index import nearest_by_codes
-from fleetcast.llm.licenses import TEMPLATES, scan_licenses
+from fleetcast.llm.licenses import PARAGRAPH, TEMPLATES, scan_licenses
 from fleetcast.llm.line_dedup import dedup_lines
 from fleetcast.llm.mixing import mix_sources
 from fleetcast.llm.packing import pack_documents
@@ -197,21 +197,21 @@ ORACLES = {
     """,
     "op10_licenses": rf"""
         with f as (select doc_id, text, {FILE_PATH} as path from documents),
-        t(license, text) as (values {", ".join(f"('{n}', '{t}')" for n, t in TEMPLATES.items())}),
-        tw as (select license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from t),
-        v as (select license, word, count(*) as n from tw group by 1, 2),
+        t(template, license, text) as (values {", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(TEMPLATES))}),
+        tw as (select template, license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from t),
+        v as (select template, license, word, count(*) as n from tw group by 1, 2, 3),
         fw as (select distinct path, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from f where text is not null),
         dfs as (select word, count(*) as c from fw where word in (select word from v) group by 1),
         size as (select count(*) as total from f where text is not null),
         idf as (select distinct v.word, ln((total + 1) / (coalesce(c, 0) + 1)) + 1 as idf from v cross join size left join dfs on dfs.word = v.word),
-        tv as (select license, v.word, n * idf as weight from v join idf on idf.word = v.word),
-        norms as (select license, sqrt(sum(weight * weight)) as norm from tv group by 1),
-        u as (select distinct path, unnest(list_concat([text], string_split(text, chr(10)))) as unit from f where text is not null),
-        ut as (select path, unit, unnest(regexp_extract_all(lower(unit), '[a-z0-9]+')) as word from u where regexp_matches(lower(unit), '(licen|cc|mozilla)')),
+        tv as (select template, license, v.word, n * idf as weight from v join idf on idf.word = v.word),
+        norms as (select template, sqrt(sum(weight * weight)) as norm from tv group by 1),
+        u as (select distinct path, unnest(list_concat([text], string_split_regex(text, '{PARAGRAPH}'), string_split(text, chr(10)))) as unit from f where text is not null),
+        ut as (select path, unit, unnest(regexp_extract_all(lower(unit), '[a-z0-9]+')) as word from u),
         tf as (select path, unit, case when idf is not null then ut.word end as word, idf, count(*) as n from ut left join idf on idf.word = ut.word group by 1, 2, 3, 4),
         lengths as (select path, unit, sqrt(sum(case when word is null then n * pow(ln(total + 1) + 1, 2) else pow(n * idf, 2) end)) as length from tf cross join size group by 1, 2),
-        s as (select tf.path, tf.unit, tv.license, round(sum(tf.n * tf.idf * tv.weight) / any_value(length) / any_value(norm), 6) as score
-              from tf join tv on tv.word = tf.word join lengths l on l.path = tf.path and l.unit = tf.unit join norms on norms.license = tv.license group by 1, 2, 3),
+        s as (select tf.path, tf.unit, tv.template, tv.license, round(sum(tf.n * tf.idf * tv.weight) / any_value(length) / any_value(norm), 6) as score
+              from tf join tv on tv.word = tf.word join lengths l on l.path = tf.path and l.unit = tf.unit join norms on norms.template = tv.template group by 1, 2, 3, 4),
         b as (select *, row_number() over (partition by path order by score desc, license) as k from s where score >= 0.7),
         own as (select path, license, score, case when strpos(path, '/') > 0 then regexp_replace(path, '/[^/]*$', '') else '' end as dir from b where k = 1),
         d as (select dir, license, row_number() over (partition by dir order by score desc, path) as k from own where regexp_matches(path, '/LICENSE-')),
