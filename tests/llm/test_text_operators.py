@@ -1,8 +1,9 @@
 import datetime as dt
 import random
+import textwrap
 
 import pytest
-from fleetcast.llm.licenses import TEMPLATES, detect_licenses, heaviest, scan_licenses
+from fleetcast.llm.licenses import _BSD, _BSD_REST, _BSD_THIRD, _MIT, _MIT_REST, TEMPLATES, detect_licenses, heaviest, scan_licenses
 from fleetcast.llm.line_dedup import dedup_lines
 from fleetcast.llm.revisits import canonical_url, resolve_revisits
 from fleetcast.llm.url_filters import judge_urls
@@ -123,7 +124,7 @@ def test_revisits(spark):
 
 
 def test_licenses(spark):
-    mit, gpl = TEMPLATES["MIT"], TEMPLATES["GPL-3.0"]
+    mit, gpl = (next(t for n, t in TEMPLATES if n == name) for name in ("MIT", "GPL-3.0"))
     rows = [
         ("r/LICENSE", "some words\n" + mit),
         ("r/a.txt", "own\n" + gpl),
@@ -143,7 +144,69 @@ def test_licenses(spark):
          ("r/s/COPYING.md", "GPL-3.0", "own", None), ("r/s/notes.txt", "GPL-3.0", "inherited", "r/s"), ("LICENSEX/d.txt", None, "none", None), ("top.txt", None, "none", None), (None, None, "none", None)],
         key=str,
     )
-    assert scan_licenses(df.limit(0)).collect() == [] and detect_licenses(df, {}).collect() == []
+    assert scan_licenses(df.limit(0)).collect() == [] and detect_licenses(df, []).collect() == []
+
+
+def wrapped(text, width, mark=""):
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
+def test_license_files_and_wrapped_headers(spark):
+    """Files as they stand in repositories: whole licenses, openings of long ones, headers wrapped in comments above code."""
+    code = "\n\ndef f(x):\n    return x + 1\n" + "\n".join(f"y{i} = f({i})" for i in range(200))
+    apache = (
+        "# Copyright 2019 Some Body\n#\n# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n"
+        "# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n"
+    )
+    gnu = "/* This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */"
+    rows = {
+        "mit/LICENSE": ("MIT License\n\nCopyright (c) 2020 Some Body\n\n" + wrapped(_MIT, 79) + "\n\n" + wrapped(_MIT_REST, 79), "MIT"),
+        "bsd/LICENSE": ("Copyright 2011, Some Body\nAll rights reserved.\n\n" + wrapped(f"{_BSD} {_BSD_THIRD} {_BSD_REST}", 72), "BSD-3-Clause"),
+        "bsd2/LICENSE.txt": ("Copyright 2011, Some Body\n\n" + wrapped(f"{_BSD} {_BSD_REST}", 72), "BSD-2-Clause"),
+        "apache/LICENSE": ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n\n" + "more terms " * 900, "Apache-2.0"),
+        "gpl/COPYING": ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n\n" + "many terms " * 3000, "GPL-3.0"),
+        "lgpl/COPYING": ("                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + "terms " * 300, "LGPL-3.0"),
+        "a/x.py": (apache + code, "Apache-2.0"),
+        "b/x.c": (gnu + code, "GPL-3.0"),
+        "c/x.js": ("/*\n" + wrapped(_MIT, 70, " * ") + "\n */" + code, "MIT"),
+        "d/x.py": (code, None),
+        "e/readme.txt": ("The above text and this list of conditions was provided with a general copy of the public version of 2 and 3.\n" * 5, None),
+    }
+    df = spark.createDataFrame([(p, t) for p, (t, _) in rows.items()], "path string, text string")
+    got = {r.path: (r.license, r.license_from) for r in scan_licenses(df).collect()}
+    assert got == {p: (name, "own" if name else "none") for p, (_, name) in rows.items()}
+
+
+def test_clashing_columns(spark):
+    names = ["_row", "_gone", "_doc", "_tie", "_own_tie", "_own_doc", "_lines", "_numbers", "_deleted", "doc", "tie", "idx", "_rule", "_verdict", "_hit_url", "_url", "_own", "_best", "_path", "_key", "_place", "_dir", "_license", "_score", "path", "dir"]
+    names = [n for n in names if n != "path"]
+    df = spark.createDataFrame([(1, "a b c d e f\nx\na b c d e f", "http://a.net/x", "p/q", *range(len(names)))], "doc_id long, text string, url string, path string, " + ", ".join(f"`{n}` int" for n in names))
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    for got in (dedup_lines(df, min_words=6), judge_urls(df, rules), scan_licenses(df)):
+        row = got.collect()[0]
+        assert [row[n] for n in names] == list(range(len(names)))
+    assert dedup_lines(df, min_words=6).first().text == "a b c d e f\nx"
+
+
+def test_null_ids_lose_repeated_lines(spark):
+    run = "a b c d e f"
+    rows = [(None, f"{run}\nx\n{run}"), (None, f"y\n{run}"), (None, f"y\n{run}"), (1, f"z\n{run}"), (-(1 << 63), f"v\n{run}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in dedup_lines(df, min_words=6).collect()), key=str)
+    # The first copy, by a hash of the text among null ids, is kept once (or twice, where the repeated row has it).
+    kept = [t for i, t in got if i is None]
+    assert sum(run in t for t in kept) in (1, 2) and all(t.count(run) <= 1 for t in kept)
+    assert [t for i, t in got if i is not None] == ["v", "z"]
+    texts = spark.createDataFrame([("b", run), (None, run), ("", run)], "doc_id string, text string")
+    assert {(r.doc_id, r.text) for r in dedup_lines(texts, min_words=6).collect()} == {(None, run), ("", ""), ("b", "")}
+
+
+def test_null_record_ids(spark):
+    t = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    rows = [(None, "http://x.org/", t(1), "response", 200, {"etag": "a"}, None), (None, "http://x.org/", t(2), "revisit", 304, {"etag": "a"}, None), (5, "http://x.org/", t(3), "revisit", 304, {"etag": "b"}, None)]
+    df = spark.createDataFrame(rows, "record_id long, url string, time timestamp, type string, status int, headers map<string,string>, payload_digest string")
+    got = sorted(((r.record_id, r.refers_to, r.outcome, r.headers) for r in resolve_revisits(df).collect()), key=str)
+    assert got == [(5, None, "mismatch", None), (None, None, "matched", {"etag": "a"})]
 
 
 def test_heaviest_words_are_needed():
