@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Part files up to so many are broadcast; more join by a shuffle.
+BROADCAST_FILES = 100_000
 #: Folders written by ``materialize``, one list for each open ``scratch``.
 _OPEN: list[list[str]] = []
 
@@ -64,8 +66,10 @@ def table_positions(table: DataFrame, name: str = "position") -> DataFrame:
     path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
     part = F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"part-(\d+)", 1).try_cast("long")
     rows = table.select("*", F.struct(part.alias("part"), path.alias("path")).alias("_file"), row.alias("_at"))
-    # A row for each file, so one task can sum them up; Spark broadcasts the table only if it is small.
+    # A row for each file, so one task can sum them up.
     files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     files = files.select(F.col("_file").alias("_f"), before.alias("_before"))
+    if files.count() <= BROADCAST_FILES:
+        files = F.broadcast(files)
     return rows.join(files, F.col("_file") == F.col("_f")).select(*table.columns, (F.col("_before") + F.col("_at")).cast("long").alias(name))
