@@ -7,8 +7,8 @@ from fleetcast.llm.queries import TOXIC_FROM, held_out
 from fleetcast.llm.toxicity import Machine, fit_machine, learn_toxicity, score_toxicity, term_sets
 
 
-def corpus(n, seed):
-    """Toxic texts hold an insult and a group together; either alone is harmless, so additive weights can't tell."""
+def corpus(n, seed, toxic):
+    """Texts in which an insult and a group's name stand by chance; ``toxic`` says which of the four cases are."""
     rng = random.Random(seed)
     texts, labels = [], []
     for _ in range(n):
@@ -16,7 +16,7 @@ def corpus(n, seed):
         words = [f"w{rng.randrange(300)}" for _ in range(rng.randrange(5, 40))] + ["grumble"] * insult + ["martians"] * group
         rng.shuffle(words)
         texts.append(" ".join(words))
-        labels.append(int(insult and group))
+        labels.append(int(toxic(insult, group)))
     return texts, np.array(labels)
 
 
@@ -32,12 +32,19 @@ def test_score_is_the_factorization_machine():
         assert got == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def test_learns_pairs():
-    texts, labels = corpus(3000, 1)
-    test, truth = corpus(800, 2)
-    machine = fit_machine(term_sets(pa.array(texts)), labels, pair_steps=400)
-    score = machine.score(pa.array(test))
-    assert ((score >= 0.5) == truth).mean() > 0.95
+@pytest.mark.parametrize("case", ["together", "one alone"])
+def test_learns_pairs_that_additive_weights_miss(spark, case):
+    """As registered: default fit, threshold of the query. Without the factors the pairs are lost."""
+    toxic = (lambda a, b: a and b) if case == "together" else (lambda a, b: a != b)
+    texts, labels = corpus(3000, 1, toxic)
+    test, truth = corpus(800, 2, toxic)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = spark.createDataFrame(list(enumerate(labels.tolist())), "doc_id long, toxic int")
+    machine = learn_toxicity(docs, marked, ~held_out("doc_id"))
+    right = lambda m: ((m.score(pa.array(test)) >= TOXIC_FROM) == truth).mean()
+    assert right(machine) > 0.95
+    without = Machine(machine.terms, machine.bias, machine.w, machine.v * 0)
+    assert right(without) < right(machine) - (0.2 if case == "one alone" else 0)
 
 
 def test_held_out_documents(spark):
