@@ -18,11 +18,12 @@ def components(edges: DataFrame) -> DataFrame:
     pairs, before = materialize(pairs), None
     while True:
         both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        # Written before they are joined: then the rows of a node with very many neighbours are split over tasks.
+        least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
         # Large star: larger neighbours of a node hang on its smallest neighbour.
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
+        large = materialize(both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct())
         # Small star: a node's smaller neighbours hang on the smallest of them, and so does the node.
-        small = large.groupBy("b").agg(F.min("a").alias("m"))
+        small = materialize(large.groupBy("b").agg(F.min("a").alias("m")))
         joined = large.join(small, "b")
         pairs = materialize(joined.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct())
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

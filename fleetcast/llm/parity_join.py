@@ -17,6 +17,7 @@ Equal sets are one class throughout and never make pairs.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -29,8 +30,8 @@ from fleetcast.llm.components import components
 from fleetcast.llm.words import mix, shingle_sets
 from fleetcast.plans.staging import materialize
 
-#: Keys handled by one task, and sets of one part compared by one task, about.
-TASK_KEYS, CELL_ROWS = 2_000_000, 2048
+#: Keys handled by one task, rows of them at once, and sets of one part compared by one task, about.
+TASK_KEYS, RUN_ROWS, CELL_ROWS = 2_000_000, 4_000_000, 2048
 #: Bits of the sketch that all pairs of a part are filtered by, and of the table of wanted documents (512 KB, always).
 NARROW, SLOTS = 512, 1 << 22
 
@@ -114,20 +115,36 @@ def _keys(batches: Iterator[pa.RecordBatch], shingle: int, bands: Bands) -> Iter
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one partition, the (key, class) rows whose key has two classes at least."""
-    read = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if not read:
-        return
-    key, owner = (np.concatenate(x) for x in zip(*read, strict=True))
-    order = np.lexsort((owner, key))
-    key, owner = key[order], owner[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-    key, owner = key[new], owner[new]
-    start = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
-    count = np.diff(np.append(start, len(key)))
-    shared = np.repeat(count > 1, count)
-    yield pa.RecordBatch.from_arrays([pa.array(key[shared]), pa.array(owner[shared])], names=["key", "class_id"])
+    """Of one partition, the (key, class) rows whose key has two classes at least.
+
+    Rows of keys that are known to be shared are passed on at once, so a task holds ``RUN_ROWS`` rows and the keys it has met,
+    however many rows one key has. A row that repeats in the input may come twice.
+    """
+    key, owner, shared = np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0, "int64")
+    read, rows = [], 0
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            read.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            rows += len(b)
+        if not read or (b is not None and rows < RUN_ROWS):
+            continue
+        key, owner = (np.concatenate([held, *new]) for held, new in zip((key, owner), zip(*read, strict=True), strict=True))
+        read, rows = [], 0
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+        key, owner = key[new], owner[new]
+        start = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+        count = np.diff(np.append(start, len(key)))
+        many = count > 1
+        if len(shared):
+            many |= np.isin(key[start], shared)
+        if b is not None:
+            shared = np.union1d(shared, key[start][many])
+        many = np.repeat(many, count)
+        yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(owner[many])], names=["key", "class_id"])
+        key, owner = key[~many], owner[~many]
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:

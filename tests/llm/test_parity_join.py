@@ -1,7 +1,9 @@
 import random
 import re
 
+import numpy as np
 import pytest
+from fleetcast.llm import parity_join
 from fleetcast.llm.parity_join import Bands, jaccard_groups
 from fleetcast.llm.words import shingle_sets
 import pyarrow as pa
@@ -77,3 +79,19 @@ def test_every_linked_pair_of_sizes_shares_a_group():
 def test_shingles_count_whole_texts():
     texts = ["a b c d e f", None, "a  B\x0bc", "É É É É É"]
     assert [len(s) for s in shingle_sets(pa.array(texts), 4)] == [3, 0, 1, 1]
+
+
+def test_shared_keys_are_found_in_small_portions(monkeypatch):
+    """A task that may hold few rows passes on the same rows as one that holds all."""
+    rng = np.random.default_rng(2)
+    key, owner = rng.integers(0, 300, 5000), rng.integers(0, 40, 5000)
+    key[rng.random(5000) < 0.3] = 7
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + 50]), pa.array(owner[i : i + 50])], names=["key", "class_id"]) for i in range(0, 5000, 50)]
+    batches += [pa.RecordBatch.from_arrays([pa.array([10_000 + i]), pa.array([i])], names=["key", "class_id"]) for i in range(9)]
+
+    def found(rows):
+        monkeypatch.setattr(parity_join, "RUN_ROWS", rows)
+        return {r for b in parity_join._runs(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+
+    assert found(1 << 30) == found(200) == {(k, o) for k, o in zip(key.tolist(), owner.tolist()) if len(set(owner[key == k])) > 1}
+    assert list(parity_join._runs(iter([]))) == []
