@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fleetcast.functions.keys import standardize
+
 P_BOUNDS, Q_BOUNDS, M_BOUNDS = (1e-6, 0.1), (1e-3, 2.0), (1.01, 10.0)
 ALPHA_BOUNDS, BETA_BOUNDS = (-10.0, 0.0), (-5.0, 5.0)
 MODELS: dict[str, list[str]] = {"baseline": [], "cov": ["tco_adv_t"], "cov_policy": ["tco_adv_t", "subsidy_share_t"]}
@@ -38,7 +40,7 @@ def feature_moments(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
 def standardized(df: DataFrame, moments: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
     """``z_<feature>`` by stored moments."""
     joined = df.join(moments, by)
-    return joined.withColumns({f"z_{c}": (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_std") for c in cols})
+    return joined.withColumns({f"z_{c}": standardize(F.col(c), F.col(f"{c}_mean"), F.col(f"{c}_std")) for c in cols})
 
 
 def one_step(panel: DataFrame, params: DataFrame, by: list[str], date: str, stock: str, rate: str | None = None) -> DataFrame:

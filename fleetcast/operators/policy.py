@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetcast.operators.regions import small
+from fleetcast.functions.keys import clamp01
 from fleetcast.operators.series import asof_join, bfill, ffill
 
 # Fixed values: (first day of the step, value). The first step has no start; each holds up to the next.
@@ -49,10 +49,15 @@ def apply_schedules(df: DataFrame, date: str = "date", names: list[str] | None =
 def apply_schedule(df: DataFrame, schedule: DataFrame, date: str = "date") -> DataFrame:
     """A column for each name of a table (name, valid_from, valid_to exclusive, value); a null bound is open."""
     names = sorted(r[0] for r in schedule.select("name").distinct().collect())
-    days = df.select(F.col(date).alias("_d")).distinct()
-    open_ = (F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("_d"))) & (F.col("valid_to").isNull() | (F.col("_d") < F.col("valid_to")))
-    wide = days.join(small(schedule), open_).groupBy("_d").pivot("name", names).agg(F.max("value"))
-    return df.join(wide, df[date] == wide["_d"], "left").drop("_d")
+    days = df.select(F.col(date).cast("date").alias("_d")).where("_d is not null").distinct().withColumn("_m", F.trunc("_d", "MM"))
+    # Steps are spread over the months that occur, so that days find them by equality, however many steps there are.
+    first, last = days.agg(F.min("_m"), F.max("_m")).first()
+    start, end = F.greatest(F.trunc("valid_from", "MM"), F.lit(first)), F.least(F.trunc("valid_to", "MM"), F.lit(last))
+    months = F.when(start <= end, F.sequence(start, end, F.expr("interval 1 month"))).otherwise(F.array().cast("array<date>"))
+    spread = schedule.select("name", "valid_from", "valid_to", "value", F.explode(months).alias("_m"))
+    inside = (F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("_d"))) & (F.col("valid_to").isNull() | (F.col("_d") < F.col("valid_to")))
+    wide = days.join(spread, "_m").where(inside).groupBy("_d").pivot("name", names).agg(F.max("value"))
+    return df.join(wide, F.col(date).cast("date") == wide["_d"], "left").drop("_d")
 
 
 def weighted_credit(df: DataFrame, weights: dict[str, float] = MAKER_WEIGHTS) -> DataFrame:
@@ -75,7 +80,7 @@ def eligible_share(bins: DataFrame, thresholds: dict[str, float], by: list[str]
     long = bins.unpivot([*(by or []), "lo", "hi"], statuses, "status", "filers")
     limit = F.create_map(*[F.lit(x) for s, t in thresholds.items() for x in (s, float(t))])[F.col("status")]
     tail = F.lit(1.0) - F.pow(F.col("lo") / limit, F.lit(alpha))
-    part = F.when(limit <= F.col("lo"), 0.0).when(F.col("hi").isNull(), tail).when(limit >= F.col("hi"), 1.0).otherwise((limit - F.col("lo")) / (F.col("hi") - F.col("lo")))
+    part = F.when(limit <= F.col("lo"), 0.0).when(F.col("hi").isNull(), tail).otherwise(clamp01((limit - F.col("lo")) / (F.col("hi") - F.col("lo"))))
     filers = F.coalesce(F.when(~F.isnan("filers"), F.col("filers")), F.lit(0.0))
     sums = long.groupBy(*(by or [])).agg(F.sum(filers * part).alias("_e"), F.sum(filers).alias("_n"))
     return sums.select(*(by or []), F.when(F.col("_n") > 0, F.col("_e") / F.col("_n")).alias(name))

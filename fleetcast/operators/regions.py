@@ -12,15 +12,8 @@ BROADCAST_ROWS = 2_000_000
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` with a broadcast hint if it has few rows; otherwise the join shuffles.
-
-    Counting keeps the rows for the broadcast that follows, so a lookup is read once.
-    """
-    kept = df if rows is not None else df.persist()
-    if (kept.count() if rows is None else rows) <= BROADCAST_ROWS:
-        return F.broadcast(kept)
-    df.unpersist()
-    return df
+    """``df`` with a broadcast hint if it has few rows; otherwise the join shuffles. The count stops where rows are too many."""
+    return F.broadcast(df) if (df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
 def parse_regions(spec: str) -> dict[str, list[str]]:
@@ -78,8 +71,8 @@ def join_regions(df: DataFrame, spec: DataFrame) -> DataFrame:
 
 
 def join_drivetrain(df: DataFrame, vehicles: DataFrame, vehicle_rows: int | None = None) -> DataFrame:
-    """``drivetrain`` by ``vin_key``, UNKNOWN where there is none."""
-    key = F.coalesce(F.trim("vin_key"), F.lit(""))
+    """``drivetrain`` by ``vin_key``, UNKNOWN where there is none; blank keys are null, so that they don't meet in one task."""
+    key = F.nullif(F.trim("vin_key"), F.lit(""))
     lookup = vehicles.select(F.col("vin_key").alias("_k"), F.col("drivetrain").alias("_d"))
     joined = df.join(small(lookup, vehicle_rows), key == F.col("_k"), "left")
     return joined.withColumn("drivetrain", F.coalesce("_d", F.lit("UNKNOWN"))).drop("_k", "_d")

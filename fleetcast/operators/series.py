@@ -6,49 +6,75 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows of a right side that is looked up as an array.
-SMALL_RIGHT = 100_000
+from fleetcast.plans.staging import materialize
 
 
 def _w(by: list[str], order: str):
-    return (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy(order)
+    if not by:
+        raise ValueError("a window needs the keys of its series")
+    return W.partitionBy(*by).orderBy(order)
 
 
 def ffill(df: DataFrame, cols: list[str], by: list[str], order: str) -> DataFrame:
-    """Nulls take the last earlier value of their series."""
-    w = _w(by, order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
+    """Nulls take the last earlier value of their series; without ``by`` all rows are one series."""
+    return _fill(df, cols, by, order, True)
 
 
 def bfill(df: DataFrame, cols: list[str], by: list[str], order: str) -> DataFrame:
-    """Nulls take the next later value of their series."""
-    w = _w(by, order).rowsBetween(0, W.unboundedFollowing)
-    return df.withColumns({c: F.first(c, ignorenulls=True).over(w) for c in cols})
-
-
-def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str] | None = None, small_right: bool = False) -> DataFrame:
+    """Nulls take the next later value of their series; without ``by`` all rows are one series."""
+    return _fill(df, cols, by, order, False)
+
+
+def _fill(df: DataFrame, cols: list[str], by: list[str], order: str, forward: bool) -> DataFrame:
+    """Without keys, rows are cut into ranges of ``order`` that are filled apart, and each takes over from those before (or after)."""
+    pick = F.last if forward else F.first
+    span = (W.unboundedPreceding, 0) if forward else (0, W.unboundedFollowing)
+    if by:
+        return df.withColumns({c: pick(c, ignorenulls=True).over(_w(by, order).rowsBetween(*span)) for c in cols})
+    ranged = materialize(df.repartitionByRange(F.col(order)).withColumn("_range", F.spark_partition_id()))
+    filled = ranged.withColumns({c: pick(c, ignorenulls=True).over(W.partitionBy("_range").orderBy(order).rowsBetween(*span)) for c in cols})
+    # One row for each range.
+    inside = lambda c: (F.max_by if forward else F.min_by)(c, F.when(F.col(c).isNotNull(), F.struct(order)))
+    ends = ranged.groupBy(F.col("_range").alias("_r")).agg(*[inside(c).alias(f"_end_{c}") for c in cols])
+    others = W.partitionBy(F.lit(0)).orderBy("_r").rowsBetween(*((W.unboundedPreceding, -1) if forward else (1, W.unboundedFollowing)))
+    ends = ends.select("_r", *[pick(f"_end_{c}", ignorenulls=True).over(others).alias(f"_from_{c}") for c in cols])
+    joined = filled.join(ends, F.col("_range") == F.col("_r"))
+    return joined.select(*[F.coalesce(c, f"_from_{c}").alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str] | None = None) -> DataFrame:
     """``left`` with the columns of the latest ``right`` row at or before it; null where there is none.
 
-    Of several right rows at one time the one with the greatest values counts.
+    Of several right rows at one time the one with the greatest values counts. Right rows without a time fit nothing.
 
-    With ``by`` keys both sides are merged and the last right row is carried forward, as a struct, so that a null inside
-    the latest row stays null. Without keys the merged order would be one partition: then, or with ``small_right``, each
-    left row is looked up in the sorted right rows of its key, which must be few (``SMALL_RIGHT`` in all, else an error).
+    Both sides are merged and the last right row is carried forward, as a struct, so that a null inside the latest row stays
+    null. They are cut into months that are merged apart; a month takes over the last right row of those before it. So one key
+    with a third of all rows, or a join without keys, is spread over the cluster; one row for each (key, month) meets in a
+    key's window.
     """
     by = by or []
     values = [c for c in right.columns if c not in (right_on, *by)]
-    if by and not small_right:
-        l = left.select(*by, F.col(left_on).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_r"))
-        r = right.select(*by, F.col(right_on).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_l"), F.struct(*values).alias("_r"))
-        w = W.partitionBy(*by).orderBy("_t", "_side", "_r").rowsBetween(W.unboundedPreceding, 0)
-        both = l.unionByName(r).withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
-        return both.select("_l.*", *[F.col(f"_r.{v}").alias(v) for v in values])
-    if right.limit(SMALL_RIGHT + 1).count() > SMALL_RIGHT:
-        raise ValueError(f"more than {SMALL_RIGHT} right rows: give by keys")
-    keyed = right.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(right_on).alias("_t"), *values))).alias("_rows"))
-    joined = left.join(F.broadcast(keyed), by, "left") if by else left.crossJoin(F.broadcast(keyed))
-    hit = F.try_element_at(F.filter("_rows", lambda x: x["_t"] <= F.col(left_on)), F.lit(-1))
-    return joined.withColumn("_hit", hit).select(*[joined[c] for c in left.columns], *[F.col(f"_hit.{v}").alias(v) for v in values])
+    kind = lambda df, names: df.select(F.struct(*names)).schema[0].dataType
+    none = lambda df, names: F.lit(None).cast(kind(df, names))
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
+    names = [*[f"_k{i}" for i in range(len(by))], "_month"]
+    l = left.select(*keys, F.date_trunc("month", left_on).alias("_month"), F.col(left_on).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), none(right, values).alias("_r"))
+    r = right.where(F.col(right_on).isNotNull()).select(*keys, F.date_trunc("month", right_on).alias("_month"), F.col(right_on).alias("_t"), F.lit(0).alias("_side"), none(left, left.columns).alias("_l"), F.struct(*values).alias("_r"))
+    both = l.unionByName(r)
+    w = W.partitionBy(*names).orderBy("_t", "_side", "_r").rowsBetween(W.unboundedPreceding, 0)
+    within = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
+    months = both.groupBy(*names).agg(F.max(F.when(F.col("_side") == 0, F.struct("_t", "_r"))).alias("_last"))
+    earlier = W.partitionBy(*(names[:-1] or [F.lit(0)])).orderBy("_month").rowsBetween(W.unboundedPreceding, -1)
+    carried = months.select(*[F.col(c).alias(f"_c{c}") for c in names], F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"_c{c}"))
+    # A null key meets no right row.
+    keyed = F.lit(True)
+    for c in names[:-1]:
+        keyed = keyed & F.col(c).isNotNull()
+    hit = F.when(keyed, F.coalesce("_r", F.col("_carry")["_r"]))
+    return within.join(carried, same).withColumn("_hit", hit).select("_l.*", *[F.col(f"_hit.{v}").alias(v) for v in values])
 
 
 def lag_stock(df: DataFrame, value: str, by: list[str], order: str, name: str = "y_prev", default: float = 0.0) -> DataFrame:

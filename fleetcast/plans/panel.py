@@ -25,13 +25,13 @@ def join_flow(stock: DataFrame, flow: DataFrame, key: str = "group") -> DataFram
 
 def attach_price(panel: DataFrame, prices: DataFrame) -> DataFrame:
     """Price at or before each date, then filled back and forward within the series."""
-    joined = asof_join(panel, prices, "date", "date", small_right=True)
+    joined = asof_join(panel, prices, "date", "date")
     return ffill(bfill(joined, ["gas_price_t"], ["region"], "date"), ["gas_price_t"], ["region"], "date")
 
 
 def attach_policy(panel: DataFrame, policy: DataFrame) -> DataFrame:
     """Policy month at or before each date; earlier dates stay null."""
-    return asof_join(panel, policy, "date", "date", small_right=True)
+    return asof_join(panel, policy, "date", "date")
 
 
 def build_panel(counts: DataFrame, flow: DataFrame, calendar: DataFrame, prices: DataFrame, policy: DataFrame | None = None, regions: list[str] | None = None, min_date: str | None = None) -> DataFrame:

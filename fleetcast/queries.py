@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +16,7 @@ from fleetcast.operators import series as S
 from fleetcast.plans import panel as P
 from fleetcast.plans import standin as D
 from fleetcast.plans.staging import materialize, shared_dir
+from fleetcast.sources import readers, writers
 from fleetcast.streaming import incremental as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,7 +169,7 @@ def metric_fan_out(spark, d):
 
 @query("rows_per_file", "select 'lineitem.parquet' as file, count(*) as rows from lineitem")
 def rows_per_file(spark, d):
-    return regions.rows_per_file(D.table(spark, d, "lineitem")).withColumn("file", F.lit("lineitem.parquet")).groupBy("file").agg(F.sum("rows").alias("rows"))
+    return regions.rows_per_file(D.table(spark, d, "lineitem"))
 
 
 # Stock and flow
@@ -222,14 +224,13 @@ def flow_by_month(spark, d):
 # Series tools
 
 
-@query("asof_by_key", "with l as (select l_orderkey, l_linenumber, l_partkey, l_shipdate as t from lineitem where l_partkey % 5 = 0), r as (select o_custkey as l_partkey, o_orderdate as t, max(o_orderkey) as last_order from orders group by 1, 2) select l_orderkey, l_linenumber, l.l_partkey, l.t, last_order from l asof left join r on l.l_partkey = r.l_partkey and l.t >= r.t")
-def asof_by_key(spark, d):
-    return _asof_orders(spark, d, D.table(spark, d, "lineitem").where("l_partkey % 5 = 0"))
+_ASOF = "with l as (select l_orderkey, l_linenumber, l_partkey, l_shipdate as t from lineitem), r as (select o_custkey as l_partkey, o_orderdate as t, max(o_orderkey) as last_order from orders group by 1, 2) select l_orderkey, l_linenumber, l.l_partkey, l.t, last_order from l asof left join r on l.l_partkey = r.l_partkey and l.t >= r.t"
 
 
-@query("asof_by_key_all", "with l as (select l_orderkey, l_linenumber, l_partkey, l_shipdate as t from lineitem), r as (select o_custkey as l_partkey, o_orderdate as t, max(o_orderkey) as last_order from orders group by 1, 2) select l_orderkey, l_linenumber, l.l_partkey, l.t, last_order from l asof left join r on l.l_partkey = r.l_partkey and l.t >= r.t")
-def asof_by_key_all(spark, d):
-    """Every row of lineitem; the SQL of ``asof_by_key`` asks for a fifth of the parts."""
+@query("asof_by_key_all", _ASOF)
+@query("asof_by_key", _ASOF)
+def asof_by_key(spark, d):
+    """Every row of lineitem; both names are one query."""
     return _asof_orders(spark, d, D.table(spark, d, "lineitem"))
 
 
@@ -338,30 +339,19 @@ def policy_table(spark, d):
     return t.select(*exact, *r6(*names))
 
 
-@query(
-    "policy_scenarios",
-    f"with {_BINS}, {_CAL} select county, date, round(cast(case when date >= date '2023-01-01' then 0.30 * 7500 + 0.60 * 7500 * share + 0.10 * 4000 * 0.65 end as double), 6) as credit from e, cal where date >= date '2022-11-01' and date < date '2023-03-01'",
-)
-def policy_scenarios(spark, d):
-    return _policy_scenarios(spark, d, "2022-11-01", "2023-02-01")
+_CREDITS = f"with {_BINS}, {_CAL} select county, date, round(cast(case when date >= date '2023-01-01' then 0.30 * 7500 + 0.60 * 7500 * share + 0.10 * 4000 * 0.65 end as double), 6) as credit from e, cal"
 
 
-def _policy_scenarios(spark, d, first, last):
+@query("policy_scenarios_all", _CREDITS)
+@query("policy_scenarios", _CREDITS)
+def policy_scenarios(spark, d):
+    """The whole calendar of the policy table; both names are one query."""
     shares = policy.eligible_share(D.income_bins(spark, d), {"single": 3000.0, "joint": 7500.0, "hoh": 12000.0}, ["county"])
-    months = S.month_calendar(spark, first, last)
+    months = S.month_calendar(spark, "1995-01-01", "2030-12-01")
     credit = F.when(F.col("date") >= F.to_date(F.lit("2023-01-01")), policy.effective_credit(F.col("share"), F.lit(0.65), lease=0.30, used=0.10))
     return shares.crossJoin(F.broadcast(months)).select("county", "date", F.round(credit, 6).alias("credit"))
 
 
-@query(
-    "policy_scenarios_all",
-    f"with {_BINS}, {_CAL} select county, date, round(cast(case when date >= date '2023-01-01' then 0.30 * 7500 + 0.60 * 7500 * share + 0.10 * 4000 * 0.65 end as double), 6) as credit from e, cal",
-)
-def policy_scenarios_all(spark, d):
-    """The whole calendar of the policy table; the SQL of ``policy_scenarios`` asks for four months."""
-    return _policy_scenarios(spark, d, "1995-01-01", "2030-12-01")
-
-
 @query(
     "price_coverage",
     f"with {_REG} select snapshot, count(*) filter (where k in ('BEV', 'PHEV')) as ev_count_total, count(*) filter (where k in ('BEV', 'PHEV') and pr is not null) as ev_count_priced, round(avg(pr) filter (where k in ('BEV', 'PHEV')), 6) as avg_msrp_ev_stock_t, round(avg(pr) filter (where k = 'BEV'), 6) as avg_msrp_bev_stock_t, round(avg(pr) filter (where k = 'PHEV'), 6) as avg_msrp_phev_stock_t, count(*) filter (where k = 'BEV' and pr is not null) as bev_count_priced, count(*) filter (where k = 'PHEV' and pr is not null) as phev_count_priced, round(100.0 * count(*) filter (where k in ('BEV', 'PHEV') and pr is not null) / nullif(count(*) filter (where k in ('BEV', 'PHEV')), 0), 6) as coverage_pct from (select reg.snapshot, case p_type when 'ECONOMY' then 'BEV' when 'SMALL' then 'PHEV' else 'ICE' end as k, case when p_partkey % 4 <> 0 then p_retailprice end as pr from reg join part on vin = cast(p_partkey as varchar) where snapshot is not null) x group by 1",
@@ -475,17 +465,14 @@ def forecast_wide(spark, d):
     return wide.select("region", "date", F.round("baseline_flow", 4).alias("baseline_flow"), F.round("double_p_flow", 4).alias("double_p_flow"))
 
 
-@query("scenario_projection", _CONST[1])
-def scenario_projection(spark, d):
-    return _scenarios(spark, d).where("scenario = 'base'").drop("scenario")
-
-
 _SLOW = _CONST[1].replace("cast(0.12 as double) as q", "cast(0.06 as double) as q")
+_SCENARIOS = f"select 'base' as scenario, * from ({_CONST[1]}) union all select 'slow', * from ({_SLOW})"
 
 
-@query("scenario_projection_all", f"select 'base' as scenario, * from ({_CONST[1]}) union all select 'slow', * from ({_SLOW})")
-def scenario_projection_all(spark, d):
-    """Every scenario; the SQL of ``scenario_projection`` asks for the base alone."""
+@query("scenario_projection_all", _SCENARIOS)
+@query("scenario_projection", _SCENARIOS)
+def scenario_projection(spark, d):
+    """Every scenario; both names are one query."""
     return _scenarios(spark, d)
 
 
@@ -521,6 +508,54 @@ def bass_fit_grid(spark, d):
     return fit.select("region", F.round("p", 5).alias("p"), F.round("q", 5).alias("q"), F.round("M", 3).alias("M"), F.round("mse", 3).alias("mse"))
 
 
+def _fit_round(r: int, grid: str, drive: str, bounds: tuple[float, float]) -> str:
+    """SQL of one grid round on ``num``: ``best{r}`` has the best candidate of each region. ``grid``: candidate, g, b (and region)."""
+    lo, hi = bounds
+    p = lambda q: f"greatest({lo}, least({hi}, (an - {q} * ab) / aa))"
+    q = lambda p: f"greatest(1e-3, least(2.0, (bn - {p} * ab) / bb))"
+    return f"""g{r} as ({grid}),
+    x{r} as (select num.region, candidate, g, b, top, prev / top as u, flow / top as n, exp({drive}) as e from num join t using (region) join g{r} on g{r}.region is null or g{r}.region = num.region),
+    s{r} as (select region, candidate, g, b, top, sum(pow(e * (g - u), 2)) as aa, sum(e * (g - u) * u / g * (g - u)) as ab, sum(pow(u / g * (g - u), 2)) as bb, sum(e * (g - u) * n) as an, sum(u / g * (g - u) * n) as bn, sum(n * n) as nn, count(*) as c from x{r} group by 1, 2, 3, 4, 5),
+    o{r} as (select *, unnest([(an * bb - bn * ab) / nullif(aa * bb - ab * ab, 0), {lo}, {hi}, {p("1e-3")}, {p("2.0")}]) as p, unnest([(bn * aa - an * ab) / nullif(aa * bb - ab * ab, 0), {q(lo)}, {q(hi)}, 1e-3, 2.0]) as q from s{r}),
+    e{r} as (select region, candidate, g, b, top, p, q, (nn - 2 * p * an - 2 * q * bn + p * p * aa + 2 * p * q * ab + q * q * bb) / c * top * top as mse from o{r} where p between {lo} and {hi} and q between 1e-3 and 2.0),
+    best{r} as (select * from e{r} qualify row_number() over (partition by region order by mse, candidate) = 1)"""
+
+
+_TOP = "t as (select region, max(stock) as top from ser group by 1)"
+_GRID = "select null as region, i as candidate, 1.01 * pow(10 / 1.01, i / 11.0) as g, 0.0 as b from (select unnest(range(12)) as i) union all select null, 12, 1.5, 0.0"
+_FINER = "select region, i as candidate, greatest(1.01, least(10.0, g * exp([0.0, -1.0, -0.6, -0.2, 0.2, 0.6, 1.0][i + 1] * ln(10 / 1.01) / 11))) as g, 0.0 as b from best1, (select unnest(range(7)) as i)"
+_BETAS = "select null as region, i * 11 + j as candidate, 1.01 * pow(10 / 1.01, i / 11.0) as g, -5.0 + j as b from (select unnest(range(12)) as i), (select unnest(range(11)) as j) union all select null, 132, 1.5, 0.0"
+_FIT_COLUMNS = 'round(p, 5) as p, round(q, 5) as q, round(g * top, 3) as "M", round(mse, 3) as mse'
+_DRIVE = "b * (snapshot_id - 40) / 60.0"
+_P_COV = (math.exp(-10.0), 1.0)
+
+
+def _rounded(fit: DataFrame) -> DataFrame:
+    return fit.withColumns({c: F.round(c, n) for c, n in (("p", 5), ("q", 5), ("M", 3), ("mse", 3))})
+
+
+@query("bass_fit_two_rounds", f"with {_SERIES}, {_TOP}, {_fit_round(1, _GRID, '0.0', (1e-6, 0.1))}, {_fit_round(2, _FINER, '0.0', (1e-6, 0.1))} select region, {_FIT_COLUMNS} from best2")
+def bass_fit_two_rounds(spark, d):
+    return _rounded(B.fit_bass(D.series(spark, d), ["region"], "date", "stock", "flow", rounds=2)).select("region", "p", "q", "M", "mse")
+
+
+@query("bass_fit_covariate", f"with {_SERIES}, {_TOP}, {_fit_round(1, _BETAS, _DRIVE, _P_COV)} select region, {_FIT_COLUMNS}, cast(b as double) as beta from best1")
+def bass_fit_covariate(spark, d):
+    rows = D.series(spark, d).withColumn("x", (F.col("snapshot_id") - 40) / 60.0)
+    fit = B.fit_bass(rows, ["region"], "date", "stock", "flow", ["x"], rounds=1)
+    return _rounded(fit).select("region", "p", "q", "M", "mse", F.col("betas")[0].alias("beta"))
+
+
+@query(
+    "bass_fit_model_set",
+    f"with {_SERIES}, {_TOP}, mo as (select region, avg(snapshot_id) as mean, stddev_pop(snapshot_id) + 1e-9 as std from ser group by 1), {_fit_round(1, _GRID, '0.0', (1e-6, 0.1))}, "
+    + f"{_fit_round(3, _BETAS, 'b * (snapshot_id - (select mean from mo where mo.region = num.region)) / (select std from mo where mo.region = num.region)', _P_COV)} select region, 'baseline' as model, {_FIT_COLUMNS}, null as beta from best1 union all select region, 'trend', {_FIT_COLUMNS}, cast(b as double) from best3",
+)
+def bass_fit_model_set(spark, d):
+    fit = B.fit_models(D.series(spark, d), ["region"], "date", "stock", "flow", {"baseline": [], "trend": ["snapshot_id"]}, rounds=1)
+    return _rounded(fit).select("region", "model", "p", "q", "M", "mse", F.try_element_at("betas", F.lit(1)).alias("beta"))
+
+
 @query("bass_fit_refined")
 def bass_fit_refined(spark, d):
     return B.fit_bass(D.series(spark, d), ["region"], "date", "stock", "flow")
@@ -533,6 +568,138 @@ def bass_fit_models(spark, d):
     return B.fit_models(s, ["region"], "date", "stock", "flow")
 
 
+# Files: stand-ins are written to the shared folder and read back through the readers and sinks
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/files_{uuid.uuid4().hex}"
+
+
+def _csv(df: DataFrame) -> str:
+    path = _folder(df.sparkSession)
+    df.write.option("header", True).csv(path)
+    return path
+
+
+@query(
+    "read_registrations",
+    f"""with {_REG}, f as (select l_orderkey % 103 = 0 as short_row, case when l_orderkey % 97 = 0 then '' when l_orderkey % 101 = 0 then '99999' when l_orderkey % 107 = 0 then '88888' else cast(s_nationkey as varchar) end as zip,
+          case when l_orderkey % 89 <> 0 then (year(l_shipdate) - 1995) * 12 + month(l_shipdate) end as id from lineitem join supplier on l_suppkey = s_suppkey)
+    select case when short_row then '' else zip end as zip, short_row, count(*) as n, cast(sum(case when not short_row then id end) as bigint) as ids from f group by 1, 2""",
+)
+def read_registrations(spark, d):
+    r, path = D.registrations(spark, d), _folder(spark)
+    none = F.lit("")
+    whole = F.concat_ws(",", "vin", none, none, "zip", none, "dmv_id", none, "vin_key", "reg_month")
+    r.select(F.when(F.col("short_row"), F.concat_ws(",", "vin", none, none)).otherwise(whole).alias("value")).write.text(path)
+    rows = readers.flag_short_rows(readers.read_registrations(spark, path))
+    return rows.groupBy(F.coalesce("zip", F.lit("")).alias("zip"), "short_row").agg(F.count(F.lit(1)).alias("n"), F.sum(K.snapshot_key(F.col("dmv_id")).cast("long")).alias("ids"))
+
+
+_MONTHS = "mo as (select cast(date_trunc('month', o_orderdate) as date) as m, cast(count(*) as double) as n from orders group by 1)"
+
+
+def _months(spark, d):
+    return D.table(spark, d, "orders").groupBy(F.trunc("o_orderdate", "MM").alias("m")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+
+@query("read_calendar", f"with {_MONTHS} select cast((year(m) - 1990) * 12 + month(m) as integer) as snapshot_id, case when month(m) <> 7 then m end as snapshot_date from mo where month(m) <> 2")
+def read_calendar(spark, d):
+    number = F.when(F.month("m") != 2, F.concat(F.lit(" "), ((F.year("m") - 1990) * 12 + F.month("m")).cast("string"))).otherwise("none")
+    rows = _months(spark, d).select(number.alias(" dmv_id"), F.when(F.month("m") != 7, F.col("m").cast("string")).otherwise("soon").alias("DMV_Snapshot_Date"))
+    return readers.read_calendar(spark, _csv(rows))
+
+
+@query("read_price_series", f"with {_PRICES} select date, gas_price_t from pr")
+def read_price_series(spark, d):
+    """The first of two candidate tables is missing; the second has cents."""
+    rows = D.prices(spark, d).select(F.col("date").alias("Date"), (F.col("gas_price_t") * 100).alias("Gas_Price_Cents_Per_Gallon"))
+    return readers.read_price_series(spark, [_folder(spark), _csv(rows)]).withColumn("gas_price_t", F.round("gas_price_t", 6))
+
+
+@query("read_list_prices", f"with {_MSRP} select date, case when month(date) <> 6 then round(price, 4) end as avg_msrp_ev_stock_t from ms where month(date) <> 9")
+def read_list_prices(spark, d):
+    price = F.when(F.month("date") != 6, F.col("avg_msrp_ev_stock_t").cast("string")).otherwise("n/a")
+    rows = _msrp(spark, d).select(F.when(F.month("date") != 9, F.col("date").cast("string")).otherwise("-").alias("date"), price.alias("avg_msrp_ev_stock_t"))
+    return readers.read_price_list_series(spark, _csv(rows)).withColumn("avg_msrp_ev_stock_t", F.round("avg_msrp_ev_stock_t", 4))
+
+
+@query("read_policy", f"with {_MONTHS} select m as date, n as total_subsidy_t, n / 4 as subsidy_share_t, case when month(m) % 2 = 0 then cast(month(m) as double) end as urgency_t, cast(0.25 as double) as zev_index_t from mo")
+def read_policy(spark, d):
+    odd = F.when(F.month("m") % 2 == 0, F.month("m").cast("string")).otherwise("x")
+    rows = _months(spark, d).select(F.col("m").alias("date"), F.lit("more").alias("note"), F.col("n").alias("total_subsidy_t"), (F.col("n") / 4).alias("subsidy_share_t"), odd.alias("urgency_t"), F.lit(0.25).alias("ZEV_Index_t"))
+    return readers.read_policy(spark, _csv(rows))
+
+
+@query(
+    "read_income_bins",
+    """with b as (select c_mktsegment as county, cast(least(floor(c_acctbal / 2000.0), 4) as integer) as k, c_custkey % 3 as s from customer where c_acctbal >= 0)
+    select county, case k when 0 then 'Under $2,000' when 4 then '$8,000 or more' else '$' || 2 * k || ',000 under $' || 2 * (k + 1) || ',000' end as bracket, cast(k * 2000.0 as double) as lo, cast(case when k < 4 then (k + 1) * 2000.0 end as double) as hi,
+      cast(count(*) filter (where s = 0) as double) as single, cast(count(*) filter (where s = 1) as double) as joint, cast(count(*) filter (where s = 2) as double) as hoh from b group by county, k""",
+)
+def read_income_bins(spark, d):
+    k = (F.col("lo") / 2000).cast("int")
+    label = F.when(k == 0, "Under $2,000").when(F.col("hi").isNull(), "$8,000 or more").otherwise(F.concat(F.lit("$"), (2 * k).cast("string"), F.lit(",000 under $"), (2 * (k + 1)).cast("string"), F.lit(",000")))
+    bins = D.income_bins(spark, d)
+    rows = bins.select(F.concat("county", (k + 1).cast("string")).alias("row_order"), label.alias("label"), F.lit(1).alias("total"), "single", "joint", "hoh")
+    none = F.lit(None).cast("double")
+    heads = bins.select("county").distinct().select(F.concat("county", F.lit("0")).alias("row_order"), F.concat("county", F.lit(" County")).alias("label"), F.lit(None).cast("int").alias("total"), none.alias("single"), none.alias("joint"), none.alias("hoh"))
+    notes = heads.select(F.concat("row_order", F.lit("1")).alias("row_order"), F.lit("All returns").alias("label"), F.lit(9).alias("total"), "single", "joint", "hoh")
+    return readers.read_income_bins(rows.unionByName(heads).unionByName(notes))
+
+
+@query("sink_counts", ORACLES["stock_exact_month"])
+def sink_counts(spark, d):
+    path = _folder(spark)
+    writers.write_counts(stock.stock_counts(D.enriched(spark, d, "month"), exact=True), path)
+    return spark.read.option("header", True).schema('region string, "group" string, metric string, approx_unique_vins long'.replace('"', "`")).csv(path)
+
+
+@query("sink_flow", f"with {_SERIES} select region, snapshot_id, new_all, new_ev, cast(printf('%.4f', 100.0 * new_ev / new_all) as double) as ev_share_pct from nr")
+def sink_flow(spark, d):
+    path = _folder(spark)
+    writers.write_flow(flow.new_registrations(D.enriched(spark, d)), path)
+    return spark.read.option("header", True).schema("region string, snapshot_id int, new_all long, new_ev long, ev_share_pct double").csv(path)
+
+
+@query("sink_table", f"with {_MONTHS} select m, n, 'first' as tag from mo union all select m, 2 * n, 'second' from mo where month(m) = 1")
+def sink_table(spark, d):
+    """Two tags; the second is written twice and only its last version stays."""
+    path, months = _folder(spark), _months(spark, d)
+    writers.write_table(months, path, "first")
+    for factor in (3, 2):
+        writers.write_table(months.where("month(m) = 1").withColumn("n", F.col("n") * factor), path, "second")
+    return spark.read.parquet(path)
+
+
+@query("sink_parameters", f"with {_SERIES} select region, p, q, round(m, 4) as \"M\" from par")
+def sink_parameters(spark, d):
+    path = _folder(spark)
+    writers.write_params(D.parameters(D.series(spark, d)), path)
+    return spark.read.schema("region string, p double, q double, M double").json(path).withColumn("M", F.round("M", 4))
+
+
+@query("sink_metrics", ORACLES["holdout_metrics"])
+def sink_metrics(spark, d):
+    path = _folder(spark)
+    writers.write_metrics(holdout_metrics(spark, d), path)
+    return spark.read.schema("region string, model string, n_test long, date_min_test date, date_max_test date, rmse_flow double, mape_flow_pct double, rmse_stock double, mape_stock_pct double").json(path)
+
+
+@query("sink_run_summary", f"{ORACLES['row_outcomes_snapshot'].replace('select count(*) as rows_total', 'select count(*) as rows_total, (select max(upper(n_name)) from nation join region on n_regionkey = r_regionkey where r_name = (select min(r_name) from region)) as last_county')}")
+def sink_run_summary(spark, d):
+    counters = row_outcomes(spark, d, "snapshot").first().asDict()
+    # One row for each county of the specification, a few dozen.
+    spec: dict[str, list[str]] = {}
+    for r in D.region_spec(spark, d).orderBy("region", "county").collect():
+        spec.setdefault(r["region"], []).append(r["county"])
+    path = _folder(spark)
+    writers.write_run_summary(spark, path, spec, {"lineitem": f"{d}/lineitem.parquet"}, counters)
+    row = spark.read.json(path)
+    read = row.select(F.from_json("counters", ", ".join(f"{c} long" for c in counters)).alias("c"), F.from_json("regions", "map<string,array<string>>").alias("r"))
+    return read.select("c.*", F.array_max(F.element_at("r", F.array_min(F.map_keys("r")))).alias("last_county"))
+
+
 # Streams
 
 

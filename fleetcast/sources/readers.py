@@ -102,8 +102,18 @@ def clean_price_series(df: DataFrame) -> DataFrame:
     return df.select(lenient_date(F.col(have["date"])).alias("date"), price.alias("gas_price_t")).where("date is not null")
 
 
-def read_price_series(spark: SparkSession, path: str) -> DataFrame:
-    return clean_price_series(spark.read.option("header", True).csv(path))
+def first_existing(spark: SparkSession, paths: list[str]) -> str:
+    """The first of ``paths`` that is there, in any store that Spark reads; an error when none is."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return path
+    raise FileNotFoundError(f"none of {paths}")
+
+
+def read_price_series(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The price series of a table, or of the first of several candidates that is there."""
+    return clean_price_series(spark.read.option("header", True).csv(paths if isinstance(paths, str) else first_existing(spark, paths)))
 
 
 def read_price_list_series(spark: SparkSession, path: str) -> DataFrame:
