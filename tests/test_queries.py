@@ -21,7 +21,7 @@ def normal(rows, order):
     return sorted(tuple(round(float(r[i]), 3) if isinstance(r[i], float) else str(r[i]).removesuffix(" 00:00:00") for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["new_registrations", "row_outcomes_snapshot", "stock_exact_month", "asof_by_key", "policy_table", "panel", "bass_project_covariate_last", "holdout_metrics", "stream_first_seen"])
+@pytest.mark.parametrize("name", ["new_registrations", "row_outcomes_snapshot", "stock_exact_month", "asof_by_key", "policy_table", "panel", "bass_project_covariate_last", "holdout_metrics", "stream_first_seen", "read_registrations", "read_income_bins", "read_price_series", "sink_table", "sink_run_summary", "bass_fit_covariate", "bass_fit_two_rounds"])
 def test_equals_sql(spark, con, name):
     got = __spark_entry__.queries()[name](spark, SF)
     found = con.execute(__spark_entry__.oracle_sql()[name])
