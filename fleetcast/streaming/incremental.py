@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetcast.operators.stock import RSD_16
+from fleetcast.plans.staging import delete
 
 
 def stream_stock(rows: DataFrame, keys: list[str], vin: str, rsd: float = RSD_16) -> DataFrame:
@@ -21,7 +22,8 @@ def stream_first_seen(rows: DataFrame, region: str = "region", vin: str = "vin",
 
 
 def stream_first_arrival(rows: DataFrame, keys: list[str], watermark: tuple[str, str] | None = None) -> DataFrame:
-    """The first arrival of each key. With a watermark (column, delay) keys are forgotten after it, which bounds the state."""
+    """The first arrival of each key. With a watermark (column, delay) keys are forgotten after it, which bounds the state; without, it
+    holds every key, as a table of first arrivals does."""
     if watermark:
         return rows.withWatermark(*watermark).dropDuplicatesWithinWatermark(keys)
     return rows.dropDuplicates(keys)
@@ -30,7 +32,8 @@ def stream_first_arrival(rows: DataFrame, keys: list[str], watermark: tuple[str,
 def upsert_min(path: str):
     """A foreachBatch function that keeps the least snapshot by (region, vin) in a Parquet folder.
 
-    Each batch writes a new version beside the last and points to it by name, so a batch that runs again changes nothing.
+    Batch n writes version ``vn`` from ``v(n-1)`` and itself, so one that runs again changes nothing; older versions are deleted.
+    A version has one row for each (region, vehicle), which is what the state holds in any case.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
@@ -39,6 +42,8 @@ def upsert_min(path: str):
         if epoch > 0:
             rows = rows.unionByName(spark.read.parquet(f"{path}/v{epoch - 1}"))
         rows.groupBy("region", "vin").agg(F.min("snapshot_id").alias("snapshot_id")).write.mode("overwrite").parquet(target)
+        if epoch > 1:
+            delete(spark, f"{path}/v{epoch - 2}")
 
     return write
 
