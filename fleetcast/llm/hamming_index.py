@@ -1,16 +1,17 @@
 """Approximate nearest neighbours by multi-index hashing over learned rotated binary codes.
 
 Codes: principal axes of a bounded sample, then several rotations, each fitted by iterative quantization from its own
-start; the sign bits are cut into substrings of 16. The index is a table with a row for each (substring, value) of every
-vector. A query asks for each substring's value and all values within ``flips`` bits of it, by an equi-join. By the pigeonhole
-principle that retrieves every code within the Hamming radius parts * (flips + 1) - 1, as a code that differs in more than
-``flips`` bits in every substring is farther. What is retrieved is ranked by true distances.
+start; the sign bits are cut into substrings of 16. Every vector is indexed under each of its substrings. The index is a table,
+written once: a row for each shard of vectors, with the sorted values of each substring and the vectors that have them. A
+query asks for each substring's value and all values within ``flips`` bits of it. By the pigeonhole principle that retrieves
+every code within the Hamming radius parts * (flips + 1) - 1, as a code that differs in more than ``flips`` bits in every
+substring is farther. What is retrieved is ranked by true distances, and a shard passes on k rows a query: the pairs of queries
+and retrieved rows, whose number grows with both, never become rows of a table.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +24,8 @@ from fleetcast.plans.staging import materialize
 
 #: Bits of a substring; (flips, most substrings) in the order in which they are tried.
 PART_BITS, SHAPES = 16, ((1, 128), (2, 128), (3, 64), (4, 32))
-#: Pairs whose distances are computed at once.
-STEP = 1 << 15
+#: Pairs whose distances are computed at once, and queries probed at once.
+STEP, QUERIES = 1 << 15, 256
 
 
 @dataclass
@@ -97,28 +98,69 @@ def learn_codes(sample: np.ndarray, k: int = 10, target: float = 0.96, seed: int
     return Coder(center, rotation[:, : parts * PART_BITS], flips)
 
 
-def _coded(batches: Iterator[pa.RecordBatch], coder: Coder) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keys = coder.substrings(matrix(b.column("vec"))) + (np.arange(coder.parts) << PART_BITS)
-        lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, coder.parts, dtype="int32"), pa.array(keys.reshape(-1).astype("int32")))
-        yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("query"), lists], names=["vec_id", "query", "keys"])
+def _indexed(shard: pa.Table, coder: Coder) -> pa.Table:
+    """The index of one shard, as one row: ids, vectors, and for each substring its sorted values and whose they are."""
+    x, ids = matrix(shard.column("vec")), shard.column("vec_id").to_numpy()
+    codes = coder.substrings(x).T
+    order = np.argsort(codes, axis=1, kind="stable")
+    row = {"shard": shard.column("shard")[0].as_py(), "ids": ids, "vectors": x.reshape(-1), "values": np.take_along_axis(codes, order, 1).astype("<u2").tobytes(), "places": order.astype("<u4").tobytes()}
+    return pa.table({"shard": pa.array([row["shard"]], "int32"), "ids": pa.array([row["ids"]], pa.list_(pa.int64())), "vectors": pa.array([row["vectors"]], pa.list_(pa.float64())), "values": pa.array([row["values"]], pa.binary()), "places": pa.array([row["places"]], pa.binary())})
 
 
-def _distances(sides: pa.Table, pairs: pa.Table, k: int) -> pa.Table:
-    """Of one cell, the k nearest of each query's pairs. ``sides``: rows (kind 0) and queries (kind 1)."""
-    kind, ids, x = sides.column("kind").to_numpy(), sides.column("id").to_numpy(), matrix(sides.column("vec"))
-    q, v = pairs.column("query_id").to_numpy(), pairs.column("vec_id").to_numpy()
-    places = []
-    for side, asked in ((1, q), (0, v)):
-        own = np.nonzero(kind == side)[0]
-        own = own[np.argsort(ids[own])]
-        places.append(own[np.searchsorted(ids[own], asked)] if len(asked) else own[:0])
-    score = np.zeros(len(q))
-    for lo in range(0, len(q), STEP):
-        part = slice(lo, lo + STEP)
-        score[part] = np.sqrt(((x[places[1][part]] - x[places[0][part]]) ** 2).sum(1))
-    best = best_of(q, v, score, k)
-    return pa.table({"query_id": q[best], "vec_id": v[best], "score": score[best]})
+INDEX = "shard int, ids array<long>, vectors array<double>, values binary, places binary"
+
+
+def probe(codes: np.ndarray, values: np.ndarray, places: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Which rows of a shard the queries' probes meet: (queries, rows). ``values``, ``places``: (parts, rows)."""
+    seen = np.zeros((len(codes), values.shape[1]), bool)
+    for j in range(len(values)):
+        starts = np.searchsorted(values[j], np.arange((1 << PART_BITS) + 1))
+        asked = (codes[:, j, None] ^ masks).reshape(-1)
+        first = starts[asked]
+        many = starts[asked + 1] - first
+        hit = np.nonzero(many)[0]
+        first, many = first[hit], many[hit]
+        at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        seen[np.repeat(hit // len(masks), many), places[j, at]] = True
+    return seen
+
+
+def _searched(queries: pa.Table, index: pa.Table, k: int, coder: Coder) -> pa.Table:
+    """Of one shard, the k nearest of what each query's probes meet, and (with a null row) how many those were.
+
+    Queries that are ``wide`` meet every row.
+    """
+    out = []
+    if len(queries) and len(index):
+        q_ids, q, wide = queries.column("query_id").to_numpy(), matrix(queries.column("vec")), queries.column("wide").to_numpy()
+        ids = index.column("ids").combine_chunks().flatten().to_numpy()
+        v = index.column("vectors").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        width = max(q.shape[1], v.shape[1])
+        codes, q, v = coder.substrings(q), fitted(q, width), fitted(v, width)
+        values = np.frombuffer(index.column("values")[0].as_py(), "<u2").reshape(-1, len(ids))
+        places, masks = np.frombuffer(index.column("places")[0].as_py(), "<u4").reshape(values.shape), np.array(within(coder.flips))
+        for lo in range(0, len(q), QUERIES):
+            part = slice(lo, lo + QUERIES)
+            seen = probe(codes[part], values, places, masks) | wide[part][:, None]
+            seen &= ids[None, :] != q_ids[part][:, None]
+            a, b = np.nonzero(seen)
+            score = np.zeros(len(a))
+            for at in range(0, len(a), STEP):
+                i, j = a[at : at + STEP], b[at : at + STEP]
+                score[at : at + STEP] = np.sqrt(((v[j] - q[part][i]) ** 2).sum(1))
+            best = best_of(a, ids[b], score, k)
+            met = seen.sum(1)
+            out.append(
+                pa.table(
+                    {
+                        "query_id": np.concatenate([q_ids[part][a[best]], q_ids[part]]),
+                        "vec_id": pa.concat_arrays([pa.array(ids[b[best]]), pa.nulls(len(met), "int64")]),
+                        "score": pa.concat_arrays([pa.array(score[best]), pa.nulls(len(met), "float64")]),
+                        "met": pa.concat_arrays([pa.nulls(len(best), "int64"), pa.array(met.astype("int64"))]),
+                    }
+                )
+            )
+    return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], "int64"), "vec_id": pa.array([], "int64"), "score": pa.array([], "float64"), "met": pa.array([], "int64")})
 
 
 def nearest_by_codes(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, sample_rows: int = 4096) -> DataFrame:
@@ -139,28 +181,22 @@ def nearest_by_codes(vectors: DataFrame, is_query: Column, id_col: str = "vec_id
     queries = usable.where("query").select(F.col("vec_id").alias("query_id"), "vec")
     coder = learn_codes(bounded_sample(rows, sample_rows), k)
 
-    def coded(df: DataFrame, query: bool) -> DataFrame:
-        return df.withColumn("query", F.lit(query)).mapInArrow(lambda it: _coded(it, coder), "vec_id long, query boolean, keys array<int>")
-
-    index = coded(rows, False).select("vec_id", F.explode("keys").alias("key"))
-    masks = F.from_json(F.lit(str(within(coder.flips))), "array<int>")
-    own = coded(queries.withColumnRenamed("query_id", "vec_id"), True).select(F.col("vec_id").alias("query_id"), F.explode("keys").alias("own"))
-    probes = own.select("query_id", F.explode(F.transform(masks, lambda x: F.col("own").bitwiseXOR(x))).alias("key"))
-    pairs = materialize(index.join(probes, "key").where("vec_id <> query_id").select("query_id", "vec_id").distinct())
-
-    met = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("retrieved"))
-    counted = materialize(queries.select("query_id").join(met, "query_id", "left").withColumn("retrieved", F.coalesce("retrieved", F.lit(0))))
-    few = counted.where(F.col("retrieved") < k).select("query_id")
-    n, m = rows.count(), counted.count()
-    shards, blocks = parts_of(n, SHARD_ROWS), parts_of(m, BLOCK_QUERIES)
+    shards, blocks = parts_of(rows.count(), SHARD_ROWS), parts_of(queries.count(), BLOCK_QUERIES)
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    index = materialize(rows.withColumn("shard", dealt("vec_id", shards)).groupBy("shard").applyInArrow(lambda t: _indexed(t, coder), INDEX))
+
+    def searched(asking: DataFrame, wide: bool) -> DataFrame:
+        """Queries in blocks against every shard of the index."""
+        left = asking.select("query_id", "vec", F.lit(wide).alias("wide"), dealt("query_id", blocks).alias("block"), every(shards).alias("shard"))
+        right = index.withColumn("block", every(blocks))
+        found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block"))
+        return materialize(found.applyInArrow(lambda a, b: _searched(a, b, k, coder), "query_id long, vec_id long, score double, met long"))
+
+    found = searched(queries, False)
+    retrieved = lambda df: df.where("vec_id is null").groupBy("query_id").agg(F.sum("met").alias("retrieved"))
+    few = retrieved(found).where(F.col("retrieved") < k).select("query_id")
     if not few.isEmpty():
-        # The stated queries that found too few, each against every row, dealt by the rows.
-        wide = rows.select("vec_id", dealt("vec_id", shards).alias("shard")).join(few.withColumn("shard", every(shards)), "shard").where("vec_id <> query_id").select("query_id", "vec_id")
-        pairs = pairs.join(few, "query_id", "left_anti").union(wide)
-        counted = counted.join(wide.groupBy("query_id").agg(F.count(F.lit(1)).alias("all")), "query_id", "left").select("query_id", F.coalesce("all", "retrieved").alias("retrieved"))
-    sides = rows.select(dealt("vec_id", shards).alias("shard"), every(blocks).alias("block"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "vec")
-    asking = queries.select(every(shards).alias("shard"), dealt("query_id", blocks).alias("block"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), "vec")
-    placed = pairs.select(dealt("vec_id", shards).alias("shard"), dealt("query_id", blocks).alias("block"), "query_id", "vec_id")
-    found = sides.union(asking).groupBy("shard", "block").cogroup(placed.groupBy("shard", "block")).applyInArrow(lambda a, b: _distances(a, b, k), "query_id long, vec_id long, score double")
-    return ranked(found, k, F.col("score").asc()).join(counted, "query_id").select("query_id", "rank", "vec_id", "score", F.col("retrieved").cast("long").alias("retrieved"))
+        few = materialize(few)
+        found = found.join(few, "query_id", "left_anti").unionByName(searched(queries.join(few, "query_id", "left_semi"), True))
+    best = ranked(found.where("vec_id is not null").select("query_id", "vec_id", "score"), k, F.col("score").asc())
+    return best.join(retrieved(found), "query_id").select("query_id", "rank", "vec_id", "score", "retrieved")
