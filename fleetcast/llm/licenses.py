@@ -143,7 +143,8 @@ def scan_licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     several there, the one with the highest score, then the smallest path.
 
     Each row stays, repeated ones too; rows with the same path are one file. Null paths, and null or empty texts without an
-    ancestor, get no license. An empty table gives an empty result. Columns named like an output are replaced.
+    ancestor, get no license. Very long texts are read whole. An empty table gives an empty result. Columns named like an
+    output are replaced, others may have any name.
     """
     made = ["license", "license_score", "license_from", "license_dir"]
     names = [c for c in files.columns if c not in made]
