@@ -128,8 +128,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     doc, tie = _doc(F.col(id_col), docs.schema[id_col].dataType), _tie(F.col(id_col), F.col(text_col))
     runs = repeated_runs(docs.select(doc.alias("doc"), tie.alias("tie"), F.col(text_col).alias("text")).where("text is not null"), min_words)
     gone = runs.select("doc", "tie", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("lines") - 1)).alias("idx"))
-    # Written before the join, so that rows of a document that is repeated very often are split over tasks.
-    gone = materialize(gone.groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_set("idx").alias("_gone")))
+    # Written before the join, so that rows of a document that is repeated very often are split over tasks; a merge join at every size.
+    gone = materialize(gone.groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_set("idx").alias("_gone"))).hint("merge")
     # The input's columns travel in one struct, so that none can clash.
     rows = docs.select(F.struct(*names).alias("_row"), doc.alias("_own_doc"), tie.alias("_own_tie"))
     joined = rows.join(gone, (F.col("_own_doc") == F.col("_doc")) & (F.col("_own_tie") == F.col("_tie")), "left")
