@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetcast.llm.centroids import cluster_vectors
 from fleetcast.llm.exact_topk import exact_topk
 from fleetcast.llm.hamming_index import nearest_by_codes
 from fleetcast.llm.licenses import PARAGRAPH, TEMPLATES, scan_licenses
@@ -112,6 +113,33 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(files).drop("text")
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("centroid")
+
+
+#: Rounds of the clustering query as SQL: all vectors are assigned, then centroids move.
+def _cluster_sql(rounds: int = 3) -> str:
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} as (select vec_id, min(d) as distance, cast(arg_min(c.cluster, d * 64 + c.cluster) as integer) as cluster
+            from (select e.vec_id, c.cluster, cast(list_sum(list_transform(list_zip(e.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint) as d from e cross join c{i} c) c group by vec_id)""")
+        if i < rounds:
+            steps.append(f"""s{i} as (select a.cluster, p.i, sum(e.v[p.i]) as s, count(*) as n from a{i} a join e on e.vec_id = a.vec_id cross join p group by 1, 2),
+            m{i} as (select cluster, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as v from s{i} group by 1),
+            c{i + 1} as (select c.cluster, coalesce(m.v, c.v) as v from c{i} c left join m{i} m on m.cluster = c.cluster)""")
+    return f"""
+        with e as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+                   where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        p as (select unnest(range(1, 65)) as i),
+        h as (select v, sha256(concat('1:', vec_id)) as h from e),
+        c0 as (select cast(row_number() over (order by h) - 1 as integer) as cluster, v from (select * from h order by h limit 16)),
+        {", ".join(steps)},
+        t as (select cluster, cast(sum(distance) as bigint) as cluster_inertia from a{rounds} group by 1)
+        select a.vec_id, a.cluster, a.distance, t.cluster_inertia, cast((select sum(distance) from a{rounds}) as bigint) as inertia, sha256(array_to_string(c.v, ',')) as centroid_sha256
+        from a{rounds} a join t on t.cluster = a.cluster join c{rounds} c on c.cluster = a.cluster
+    """
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_line_dedup": op2_line_dedup,
@@ -123,6 +151,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_parity_join": op9_parity_join,
     "op10_licenses": op10_licenses,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLES = {
@@ -223,4 +252,5 @@ ORACLES = {
                case when own.license is null then a.dir end as license_dir
         from g left join own on own.path = g.path left join a on a.doc_id = g.doc_id and a.k = 1
     """,
+    "op13_centroids": _cluster_sql(),
 }
