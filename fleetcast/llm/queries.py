@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fleetcast.llm.centroids import cluster_vectors
 from fleetcast.llm.exact_topk import exact_topk
 from fleetcast.llm.hamming_index import nearest_by_codes
+from fleetcast.llm.hard_negatives import hard_negatives
 from fleetcast.llm.licenses import PARAGRAPH, TEMPLATES, scan_licenses
 from fleetcast.llm.line_dedup import dedup_lines
 from fleetcast.llm.mixing import mix_sources
@@ -113,6 +114,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(files).drop("text")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, label)
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("centroid")
 
@@ -151,6 +157,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_parity_join": op9_parity_join,
     "op10_licenses": op10_licenses,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_centroids": op13_centroids,
 }
 
@@ -252,5 +259,16 @@ ORACLES = {
                case when own.license is null then a.dir end as license_dir
         from g left join own on own.path = g.path left join a on a.doc_id = g.doc_id and a.k = 1
     """,
+    "op11_hard_negatives": """
+        with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+                   from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select q.vec_id as anchor_id, c.vec_id, q.label = c.label as same, cast(list_inner_product(q.v, c.v) as bigint) as score
+              from e q join e c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
+        p as (select anchor_id, vec_id as positive_id, score as positive_score, row_number() over (partition by anchor_id order by score desc, vec_id) as k from s where same),
+        n as (select p.anchor_id, positive_id, positive_score, vec_id as negative_id, score as negative_score,
+                row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id) as n
+              from p join s on s.anchor_id = p.anchor_id and not s.same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score where k <= 5)
+        select anchor_id, positive_id, cast(n as integer) as rank, negative_id, positive_score, negative_score from n where n <= 10
+    """,
     "op13_centroids": _cluster_sql(),
 }
