@@ -16,6 +16,7 @@ from fleetcast.llm.mixing import mix_sources
 from fleetcast.llm.packing import pack_documents
 from fleetcast.llm.parity_join import jaccard_groups
 from fleetcast.llm.revisits import resolve_revisits
+from fleetcast.llm.suffix_dedup import dedup_suffixes
 from fleetcast.llm.toxicity import learn_toxicity, score_toxicity
 from fleetcast.llm.url_filters import judge_urls
 
@@ -119,6 +120,18 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, label)
 
 
+def op12_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_suffixes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    removed = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("removed_spans").cast("long").alias("n_spans"),
+        F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"),
+    )
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("centroid")
 
@@ -158,6 +171,7 @@ QUERIES = {
     "op9_parity_join": op9_parity_join,
     "op10_licenses": op10_licenses,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_run_index": op12_run_index,
     "op13_centroids": op13_centroids,
 }
 
@@ -270,5 +284,19 @@ ORACLES = {
               from p join s on s.anchor_id = p.anchor_id and not s.same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score where k <= 5)
         select anchor_id, positive_id, cast(n as integer) as rank, negative_id, positive_score, negative_score from n where n <= 10
     """,
+    "op12_run_index": """
+        with t as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+        p as (select doc_id, h, unnest(range(0, n - 199)) as i from t where n >= 200),
+        w as (select doc_id, i, md5(substr(h, 2 * i + 1, 400)) as m from p),
+        r as (select doc_id, i from w where m in (select m from w group by m having count(*) > 1)),
+        b as (select *, coalesce(i - lag(i) over (partition by doc_id order by i) > 200, true) as new from r),
+        g as (select *, sum(cast(new as integer)) over (partition by doc_id order by i) as k from b),
+        s as (select doc_id, min(i) as lo, max(i) + 200 as hi from g group by doc_id, k),
+        e as (select doc_id, lo, coalesce(lag(hi) over (partition by doc_id order by lo), 0) as past from s union all select doc_id, n, coalesce(hi, 0) from t left join (select doc_id, max(hi) as hi from s group by 1) using (doc_id)),
+        k as (select e.doc_id, string_agg(substr(h, 2 * past + 1, 2 * (lo - past)), '' order by lo) as kept from e join t using (doc_id) group by 1),
+        c as (select doc_id, sum(hi - lo) as removed, count(*) as spans from s group by 1)
+        select t.doc_id, cast(n as bigint) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, coalesce(spans, 0) as n_spans, sha256(unhex(kept)) as kept_sha256
+        from t join k using (doc_id) left join c using (doc_id)
+    """,
     "op13_centroids": _cluster_sql(),
 }
