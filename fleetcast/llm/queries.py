@@ -286,8 +286,10 @@ ORACLES = {
     """,
     "op12_run_index": """
         with t as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
-        p as (select doc_id, h, unnest(range(0, n - 199)) as i from t where n >= 200),
-        w as (select doc_id, i, md5(substr(h, 2 * i + 1, 400)) as m from p),
+        o as (select doc_id, h, n, unnest(range(0, n - 199, 100)) as o from t where n >= 200),
+        q as (select doc_id, n, o, substr(h, 2 * o + 1, 600) as h from o),
+        p as (select doc_id, o, h, unnest(range(0, least(100, n - 199 - o))) as k from q),
+        w as (select doc_id, o + k as i, md5(substr(h, 2 * k + 1, 400)) as m from p),
         r as (select doc_id, i from w where m in (select m from w group by m having count(*) > 1)),
         b as (select *, coalesce(i - lag(i) over (partition by doc_id order by i) > 200, true) as new from r),
         g as (select *, sum(cast(new as integer)) over (partition by doc_id order by i) as k from b),
