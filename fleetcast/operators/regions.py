@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from fleetcast.functions.keys import is_ev, month_key, normalize_zip, snapshot_key, split_rows
@@ -97,11 +97,11 @@ def classify_rows(df: DataFrame, xwalk: DataFrame, zips: DataFrame, period: str,
     return rows.withColumn("outcome", outcome).withColumn("no_county", past & F.col("_county").isNull()).drop("_county", "_region")
 
 
-def row_outcomes(classified: DataFrame) -> DataFrame:
-    """Counters over all rows; no_county and no_region overlap."""
+def outcome_counters() -> list[Column]:
+    """Counters over classified rows; no_county and no_region overlap."""
     one = lambda c, name: F.count_if(c).alias(name)
     o = F.col("outcome")
-    return classified.agg(
+    return [
         F.count(F.lit(1)).alias("rows_total"),
         one(o == "short_row", "short_row"),
         one(o == "bad_period", "bad_period"),
@@ -109,7 +109,11 @@ def row_outcomes(classified: DataFrame) -> DataFrame:
         one(F.col("no_county"), "no_county"),
         one(o == "no_region", "no_region"),
         one(o == "kept", "kept"),
-    )
+    ]
+
+
+def row_outcomes(classified: DataFrame) -> DataFrame:
+    return classified.agg(*outcome_counters())
 
 
 def rows_per_file(df: DataFrame) -> DataFrame:
@@ -138,3 +142,17 @@ def fan_out_metrics(df: DataFrame) -> DataFrame:
     """Each row for metric ALL, and once more for EV if it is one."""
     metrics: Column = F.when(F.col("is_ev"), F.array(F.lit("ALL"), F.lit("EV"))).otherwise(F.array(F.lit("ALL")))
     return df.withColumn("metric", F.explode(metrics))
+
+
+def enrich_and_count(df: DataFrame, vehicles: DataFrame, xwalk: DataFrame, zips: DataFrame, period: str, ev_types=("BEV", "PHEV"), first: str = "period", vehicle_rows: int | None = None) -> tuple[DataFrame, Observation]:
+    """What ``enrich`` gives, and the counters of ``row_outcomes`` observed while those rows are made, in the same scan.
+
+    The observation has its values after the first action on the rows (or on what is derived from them); it counts input rows,
+    before a ZIP of several regions multiplies them. Where a lost executor's rows are computed anew they may be counted
+    again, unless the action is a plain write of the rows.
+    """
+    seen = Observation()
+    kept = classify_rows(df, xwalk, zips, period, first).observe(seen, *outcome_counters()).where("outcome = 'kept'")
+    placed = kept.join(small(zips), "zip").select("region", F.coalesce("vin", F.lit("")).alias("vin"), "vin_key", "period")
+    rows = join_drivetrain(placed, vehicles, vehicle_rows)
+    return rows.select("region", "vin", "period", "vin_key", is_ev(F.col("drivetrain"), ev_types).alias("is_ev")), seen

@@ -31,6 +31,7 @@ def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = lambda n: F.col("l_orderkey") % n == 0
     month = (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate")
     return rows.select(
+        "l_orderkey",
         F.col("l_partkey").cast("string").alias("vin"),
         F.col("l_partkey").cast("string").alias("vin_key"),
         F.when(broken(97), "").when(broken(101), "99999").when(broken(107), "88888").otherwise(F.col("s_nationkey").cast("string")).alias("zip"),

@@ -16,8 +16,9 @@ from fleetcast.operators import series as S
 from fleetcast.plans import panel as P
 from fleetcast.plans import standin as D
 from fleetcast.plans.staging import materialize, shared_dir
-from fleetcast.sources import readers, writers
+from fleetcast.sources import ingest, readers, writers
 from fleetcast.streaming import incremental as T
+from fleetcast.streaming.buckets import read_buckets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -227,15 +228,9 @@ def flow_by_month(spark, d):
 _ASOF = "with l as (select l_orderkey, l_linenumber, l_partkey, l_shipdate as t from lineitem), r as (select o_custkey as l_partkey, o_orderdate as t, max(o_orderkey) as last_order from orders group by 1, 2) select l_orderkey, l_linenumber, l.l_partkey, l.t, last_order from l asof left join r on l.l_partkey = r.l_partkey and l.t >= r.t"
 
 
-@query("asof_by_key_all", _ASOF)
 @query("asof_by_key", _ASOF)
 def asof_by_key(spark, d):
-    """Every row of lineitem; both names are one query."""
-    return _asof_orders(spark, d, D.table(spark, d, "lineitem"))
-
-
-def _asof_orders(spark, d, line):
-    left = line.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_shipdate").alias("t"))
+    left = D.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_shipdate").alias("t"))
     right = D.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("l_partkey"), F.col("o_orderdate").alias("t2")).agg(F.max("o_orderkey").alias("last_order"))
     return S.asof_join(left, right, "t", "t2", ["l_partkey"])
 
@@ -342,7 +337,6 @@ def policy_table(spark, d):
 _CREDITS = f"with {_BINS}, {_CAL} select county, date, round(cast(case when date >= date '2023-01-01' then 0.30 * 7500 + 0.60 * 7500 * share + 0.10 * 4000 * 0.65 end as double), 6) as credit from e, cal"
 
 
-@query("policy_scenarios_all", _CREDITS)
 @query("policy_scenarios", _CREDITS)
 def policy_scenarios(spark, d):
     """The whole calendar of the policy table; both names are one query."""
@@ -469,7 +463,6 @@ _SLOW = _CONST[1].replace("cast(0.12 as double) as q", "cast(0.06 as double) as
 _SCENARIOS = f"select 'base' as scenario, * from ({_CONST[1]}) union all select 'slow', * from ({_SLOW})"
 
 
-@query("scenario_projection_all", _SCENARIOS)
 @query("scenario_projection", _SCENARIOS)
 def scenario_projection(spark, d):
     """Every scenario; both names are one query."""
@@ -700,41 +693,101 @@ def sink_run_summary(spark, d):
     return read.select("c.*", F.array_max(F.element_at("r", F.array_min(F.map_keys("r")))).alias("last_county"))
 
 
+@query(
+    "stock_with_counters",
+    f"""with s as ({ORACLES['stock_exact_snapshot']}), o as ({ORACLES['row_outcomes_snapshot']}) select s.*, o.* from s cross join o""",
+)
+def stock_with_counters(spark, d):
+    """Stock and row counters from one scan: the counters are observed while the stock is written, then stored beside it."""
+    rows, seen = regions.enrich_and_count(D.registrations(spark, d), D.vehicles(spark, d), D.crosswalk(spark, d), D.zips(spark, d), "snapshot", D.EV_TYPES)
+    counts, summary = _folder(spark), _folder(spark)
+    writers.write_counts(stock.stock_counts(rows, exact=True), counts)
+    writers.write_run_summary(spark, summary, {}, {"lineitem": f"{d}/lineitem.parquet"}, seen.get)
+    stored = spark.read.json(summary).select(F.from_json("counters", ", ".join(f"{c} long" for c in seen.get)).alias("c")).select("c.*")
+    return spark.read.option("header", True).schema("region string, `group` int, metric string, approx_unique_vins long").csv(counts).join(F.broadcast(stored))
+
+
+@query(
+    "ingest_files",
+    f"""with {_REG}, f as (select l_orderkey % 103 = 0 as short_row, cast(l_orderkey % 5 as integer) as source, case when l_orderkey % 89 <> 0 then (year(l_shipdate) - 1995) * 12 + month(l_shipdate) end as id from lineitem join supplier on l_suppkey = s_suppkey)
+    select source, count(*) as rows, count(*) filter (where short_row) as short_rows, cast(sum(case when not short_row then id end) as bigint) as ids, case when source < 2 then 1 else 2 end as run from f group by 1""",
+)
+def ingest_files(spark, d):
+    """Five folders of registration files, staged in two runs: first two of them, then a glob of all; nothing is taken twice."""
+    r, path = D.registrations(spark, d).withColumn("source", F.col("l_orderkey") % 5), _folder(spark)
+    none = F.lit("")
+    whole = F.concat_ws(",", "vin", none, none, "zip", none, "dmv_id", none, "vin_key", "reg_month")
+    r.select("source", F.when(F.col("short_row"), F.concat_ws(",", "vin", none, none)).otherwise(whole).alias("value")).write.partitionBy("source").text(f"{path}/in")
+    staged = f"{path}/staged"
+    ingest.ingest_registrations(spark, [f"{path}/in/source=0", f"{path}/in/source=1"], staged)
+    early = spark.read.parquet(staged).select("file").distinct().withColumn("run", F.lit(1))
+    early = materialize(early)
+    ingest.ingest_registrations(spark, f"{path}/in/source=*", staged)
+    rows = ingest.read_staged(spark, staged)
+    ids = rows.groupBy("file").agg(F.sum(K.snapshot_key(F.col("dmv_id")).cast("long")).alias("ids"))
+    files = ingest.rows_by_file(rows).join(ids, "file").join(early, "file", "left").withColumn("source", F.regexp_extract("file", r"source=(\d+)", 1).cast("int"))
+    return files.groupBy("source").agg(F.sum("rows").alias("rows"), F.sum("short_rows").alias("short_rows"), F.sum("ids").alias("ids"), F.coalesce(F.max("run"), F.lit(2)).alias("run"))
+
+
 # Streams
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str, change: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """A table read as a stream, run to its end; the result is read from the shared folder.
+def _arrivals(df: DataFrame, files: int, by: list[str] | None = None) -> str:
+    """``df`` as files for a stream: in ``files`` parts, of ranges of ``by`` if given."""
+    path = f"{shared_dir(df.sparkSession)}/stream_{uuid.uuid4().hex}/in"
+    (df.repartitionByRange(files, *by) if by else df.repartition(files)).write.parquet(path)
+    return path
 
-    ``update`` keeps the least snapshot of each (region, vin), ``complete`` the last version, ``append`` all versions.
-    """
-    # A pattern, since the source takes no plain path of a single file.
-    rows = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema).parquet(f"{sf_dir}/{name}.parque[t]")
-    changed, folder = change(rows), f"{shared_dir(spark)}/stream_{uuid.uuid4().hex}"
-    write = T.upsert_min(f"{folder}/out") if mode == "update" else T.write_versions(f"{folder}/out", changed.columns)
-    epochs = T.run_available(changed, write, mode, f"{folder}/checkpoint")
-    if not epochs:
-        return spark.createDataFrame([], changed.schema)
-    return spark.read.schema(changed.schema).parquet(*[f"{folder}/out/v{n}" for n in (epochs if mode == "append" else epochs[-1:])])
 
+def _run(stream: DataFrame, path: str, write, mode: str = "append") -> list[int]:
+    return T.run_available(stream, write, mode, f"{path.removesuffix('/in')}/checkpoint")
 
-@query("stream_stock", "select event_type, cast(ts as date) as day, count(distinct user_id) as exact, true as within from events group by 1, 2")
+
+@query("stream_stock", ORACLES["stock_approx_snapshot"])
 def stream_stock(spark, d):
-    day = lambda df: df.withColumn("day", F.to_date("ts"))
-    got = _stream(spark, d, "events", lambda df: T.stream_stock(day(df), ["event_type", "day"], "user_id"), "complete")
-    exact = day(D.table(spark, d, "events")).groupBy("event_type", "day").agg(F.count_distinct("user_id").alias("exact"))
-    return got.join(exact, ["event_type", "day"]).select("event_type", "day", "exact", (F.abs(F.col("approx_unique_vins") - F.col("exact")) <= F.greatest(F.lit(3.0), F.col("exact") * 0.02)).alias("within"))
+    """Registrations arrive in four files; each batch's sketches are united with the stored ones of the periods it brings."""
+    rows = D.registrations(spark, d)
+    path = _arrivals(rows, 4, ["dmv_id"])
+    out = f"{path.removesuffix('/in')}/sketches"
+    stream = T.read_arrivals(spark, path, rows.schema)
+    _run(regions.enrich(stream, D.vehicles(spark, d), D.zips(spark, d), "snapshot", D.EV_TYPES), path, T.merge_stock_sketches(out, buckets=16))
+    exact = stock.stock_counts(D.enriched(spark, d), exact=True).withColumnRenamed("approx_unique_vins", "exact")
+    both = T.read_stock_sketches(spark, out).join(exact, stock.KEYS, "full")
+    near = F.abs(F.col("approx_unique_vins") - F.col("exact")) <= F.greatest(F.lit(3.0), F.col("exact") * 0.02)
+    return both.select(*stock.KEYS, "exact", F.coalesce(near, F.lit(False)).alias("within"))
 
 
 @query("stream_first_seen", "select cast(l_suppkey as varchar) as region, cast(l_partkey as varchar) as vin, min((year(l_shipdate) - 1995) * 12 + month(l_shipdate)) as snapshot_id from lineitem group by 1, 2")
 def stream_first_seen(spark, d):
-    def change(df: DataFrame) -> DataFrame:
-        month = (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate")
-        return T.stream_first_seen(df.select(F.col("l_suppkey").cast("string").alias("region"), F.col("l_partkey").cast("string").alias("vin"), month.alias("period")))
+    """Four files, a batch each; vehicles that a batch brings are merged into the buckets it touches."""
+    month = (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate")
+    rows = D.table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("region"), F.col("l_partkey").cast("string").alias("vin"), month.cast("long").alias("snapshot_id"))
+    path = _arrivals(rows, 4)
+    out = f"{path.removesuffix('/in')}/buckets"
+    _run(T.read_arrivals(spark, path, rows.schema), path, T.upsert_min(out, buckets=16))
+    return read_buckets(spark, out, "region string, vin string, snapshot_id long")
+
 
-    return _stream(spark, d, "lineitem", change, "update").withColumn("snapshot_id", F.col("snapshot_id").cast("long"))
+_WEEK = "cast(date_diff('day', date '2024-01-01', cast(ts as date)) // 7 as integer)"
 
 
-@query("stream_first_arrival", "select distinct event_type, user_id from events")
+@query("stream_first_arrival", f"select event_id, user_id, event_type, {_WEEK} as week from events where event_id % 97 <> 0 or {_WEEK} >= 1")
 def stream_first_arrival(spark, d):
-    return _stream(spark, d, "events", lambda df: T.stream_first_arrival(df.select("event_type", "user_id"), ["event_type", "user_id"]), "append")
+    """A file for each week of events. Every fifth event is sent again with the next week's, which a delay of 13 days still recognizes.
+
+    Events of the first week that are divisible by 97 come with the last one, when the watermark has passed them: late, they are dropped.
+    """
+    week = F.floor(F.datediff("ts", F.lit("2024-01-01").cast("date")) / 7).cast("int")
+    events = D.table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), week.alias("week"))
+    last = events.agg(F.max("week")).first()[0] or 0
+    comes = F.when((F.col("event_id") % 97 == 0) & (F.col("week") < 1), F.lit(last)).otherwise(F.col("week"))
+    sent = events.withColumn("_sent", comes)
+    again = sent.where((F.col("event_id") % 5 == 0) & (F.col("_sent") == F.col("week"))).withColumn("_sent", F.least(F.col("week") + 1, F.lit(last)))
+    path = f"{shared_dir(spark)}/stream_{uuid.uuid4().hex}/in"
+    for n in range(last + 1):
+        # One after the other, so that the stream finds them in this order.
+        sent.union(again).where(F.col("_sent") == n).drop("_sent").coalesce(1).write.parquet(f"{path}/{n:04d}")
+    out = f"{path.removesuffix('/in')}/out"
+    first = T.stream_first_arrival(T.read_arrivals(spark, path, events.schema), ["event_id"], ("ts", "13 days"))
+    epochs = _run(first, path, T.write_versions(out, ["event_id", "user_id", "event_type", "week"]))
+    return spark.read.schema("event_id long, user_id long, event_type string, week int").parquet(*[f"{out}/v{n}" for n in epochs])

@@ -15,7 +15,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", ["asof_by_key_all", "policy_scenarios_all", "scenario_projection_all", "policy_scenarios", "scenario_projection"])
+@pytest.mark.parametrize("name", ["asof_by_key", "policy_scenarios", "scenario_projection", "stock_with_counters", "ingest_files", "stream_stock", "stream_first_arrival"])
 def test_equals_sql(spark, con, name):
     got = __spark_entry__.queries()[name](spark, SF)
     found = con.execute(__spark_entry__.oracle_sql()[name])
@@ -27,7 +27,7 @@ def test_equals_sql(spark, con, name):
 
 def test_nothing_is_left_out(spark):
     queries = __spark_entry__.queries()
-    assert queries["asof_by_key_all"](spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
-    scenarios = {r.scenario: r.n for r in queries["scenario_projection_all"](spark, SF).groupBy("scenario").count().withColumnRenamed("count", "n").collect()}
+    assert queries["asof_by_key"](spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    scenarios = {r.scenario: r.n for r in queries["scenario_projection"](spark, SF).groupBy("scenario").count().withColumnRenamed("count", "n").collect()}
     assert set(scenarios) == {"base", "slow"} and scenarios["base"] == scenarios["slow"]
-    assert queries["policy_scenarios_all"](spark, SF).select("date").distinct().count() == 432
+    assert queries["policy_scenarios"](spark, SF).select("date").distinct().count() == 432
