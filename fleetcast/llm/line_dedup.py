@@ -23,6 +23,8 @@ from fleetcast.plans.staging import materialize
 
 #: A position holds the line number in so many bits.
 LINE_BITS = 28
+#: What tells documents apart: the id, then two hashes of the text (97 bits) for rows that share an id or have none.
+DOC = ["doc", "tie", "more"]
 BLANKS = " \t\r"
 
 
@@ -44,25 +46,29 @@ def _tie(ids: Column, text: Column) -> Column:
     return F.pmod(F.xxhash64(text), F.lit(1 << (61 - LINE_BITS))) + F.when(ids.isNull(), 0).otherwise(1 << (61 - LINE_BITS))
 
 
+def _more(text: Column) -> Column:
+    """64 more bits of the text, so that the rows of a table without ids are never taken for one another."""
+    return F.xxhash64(F.lit("more"), text)
+
+
 def _positions(docs: DataFrame, min_words: int) -> DataFrame:
-    """One row for each line with words: (doc, tie, idx) with its digest and its two shortest runs, null where too few words."""
+    """One row for each line with words: (doc, tie, more, idx) with its digest and its two shortest runs, null where too few words."""
     item = lambda x: F.struct(F.xxhash64(x["t"]).alias("h1"), F.xxhash64(F.lit("second"), x["t"]).alias("h2"), F.size(F.split(x["t"], f"[{BLANKS}]+", -1)).cast("long").alias("words"))
     # Rows that repeat a document are reduced to one in each task before anything moves.
-    lines = docs.select("doc", "tie", F.transform(_numbered(F.col("text")), item).alias("items")).groupBy("doc", "tie").agg(F.first("items").alias("items"))
-    lines = lines.select("doc", "tie", F.posexplode("items").alias("idx", "item")).select("doc", "tie", "idx", "item.*")
-    by_doc = W.partitionBy("doc", "tie")
+    lines = docs.select(*DOC, F.transform(_numbered(F.col("text")), item).alias("items")).groupBy(*DOC).agg(F.first("items").alias("items"))
+    lines = lines.select(*DOC, F.posexplode("items").alias("idx", "item")).select(*DOC, "idx", "item.*")
+    by_doc = W.partitionBy(*DOC)
     lines = lines.withColumn("after", F.sum("words").over(by_doc.orderBy("idx").rowsBetween(W.unboundedPreceding, 0)))
     lines = lines.withColumn("before", F.col("after") - F.col("words")).withColumn("total", F.sum("words").over(by_doc))
     count = F.count(F.lit(1))
     from_here = count.over(by_doc.orderBy("before").rangeBetween(0, min_words - 1)).cast("int")
     to_here = count.over(by_doc.orderBy("after").rangeBetween(1 - min_words, 0)).cast("int")
     return lines.select(
-        "doc",
-        "tie",
+        *DOC,
         "idx",
         "h1",
         "h2",
-        F.struct("doc", F.shiftleft("tie", LINE_BITS).bitwiseOR(F.col("idx").cast("long")).alias("place")).alias("pos"),
+        F.struct("doc", F.shiftleft("tie", LINE_BITS).bitwiseOR(F.col("idx").cast("long")).alias("place"), "more").alias("pos"),
         F.when(F.col("total") - F.col("before") >= min_words, from_here).alias("ahead"),
         F.when(F.col("after") >= min_words, to_here).alias("back"),
     )
@@ -79,37 +85,37 @@ def _grouped(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """(doc, tie, start, lines): shortest runs of ``min_words`` words that also occur at an earlier position.
+    """(doc, tie, more, start, lines): shortest runs of ``min_words`` words that also occur at an earlier position.
 
-    ``docs``: doc, tie (no nulls), text. Positions order by doc, then by tie, then by line.
+    ``docs``: doc, tie, more (no nulls), text. Positions order by doc, then by tie, then by line.
     """
     positions = materialize(_positions(docs, min_words))
-    level = materialize(_grouped(positions, ["h1", "h2"]).select("doc", "tie", "idx", "pos", "name", "ahead", "back"))
+    level = materialize(_grouped(positions, ["h1", "h2"]).select(*DOC, "idx", "pos", "name", "ahead", "back"))
     base, levels, depth = level, [level], 1
     deepest = base.agg(F.greatest(F.max("ahead"), F.max("back"))).first()[0] or 0
     while 2 * depth <= deepest:
-        there = W.partitionBy("doc", "tie").orderBy("idx").rangeBetween(depth, depth)
-        pairs = level.select("doc", "tie", "idx", "pos", F.col("name").alias("here"), F.max("name").over(there).alias("next")).where("next is not null")
-        level = materialize(_grouped(materialize(pairs), ["here", "next"]).select("doc", "tie", "idx", "pos", "name"))
+        there = W.partitionBy(*DOC).orderBy("idx").rangeBetween(depth, depth)
+        pairs = level.select(*DOC, "idx", "pos", F.col("name").alias("here"), F.max("name").over(there).alias("next")).where("next is not null")
+        level = materialize(_grouped(materialize(pairs), ["here", "next"]).select(*DOC, "idx", "pos", "name"))
         if level.isEmpty():
             break
         levels.append(level)
         depth *= 2
 
-    runs = base.where("ahead is not null").select("doc", "tie", F.col("idx").alias("start"), F.col("ahead").alias("lines"))
-    runs = runs.union(base.where("back is not null").select("doc", "tie", F.col("idx") - F.col("back") + 1, "back")).where("start >= 0").distinct()
+    runs = base.where("ahead is not null").select(*DOC, F.col("idx").alias("start"), F.col("ahead").alias("lines"))
+    runs = runs.union(base.where("back is not null").select(*DOC, F.col("idx") - F.col("back") + 1, "back")).where("start >= 0").distinct()
     runs = runs.withColumn("k", F.floor(F.log2("lines")).cast("int"))
     names = None
     for k, table in enumerate(levels):
-        rows = table.select("doc", "tie", "idx", "pos", "name", F.lit(k).alias("k"))
+        rows = table.select(*DOC, "idx", "pos", "name", F.lit(k).alias("k"))
         names = rows if names is None else names.union(rows)
-    started = runs.join(names.withColumnRenamed("idx", "start").withColumnRenamed("name", "here"), ["doc", "tie", "k", "start"])
+    started = runs.join(names.withColumnRenamed("idx", "start").withColumnRenamed("name", "here"), [*DOC, "k", "start"])
     whole = F.col("lines") == F.expr("shiftleft(1, k)")
     plain = started.where(whole & (F.col("here") != F.col("pos")))
-    ends = names.select("doc", "tie", "k", F.col("idx").alias("tail"), F.col("name").alias("there"))
-    tailed = started.where(~whole).withColumn("tail", F.col("start") + F.col("lines") - F.expr("shiftleft(1, k)")).join(ends, ["doc", "tie", "k", "tail"])
+    ends = names.select(*DOC, "k", F.col("idx").alias("tail"), F.col("name").alias("there"))
+    tailed = started.where(~whole).withColumn("tail", F.col("start") + F.col("lines") - F.expr("shiftleft(1, k)")).join(ends, [*DOC, "k", "tail"])
     tailed = _grouped(materialize(tailed), ["lines", "here", "there"]).where("name <> pos")
-    return plain.select("doc", "tie", "start", "lines").union(tailed.select("doc", "tie", "start", "lines"))
+    return plain.select(*DOC, "start", "lines").union(tailed.select(*DOC, "start", "lines"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,19 +126,19 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     without words are no part of runs and always stay, and words are what blanks (space, tab, CR) separate.
 
     Null texts stay null, empty ones empty; a text of which every line goes becomes empty. Rows that repeat an id and a
-    text are one document and get the same result; other rows with the same id are ordered by a hash of the text; null
-    ids come first. Ids that are no whole numbers order as text. An empty table gives an empty result. All other columns stay (a
+    text are one document and get the same result; other rows with the same id are ordered by a hash of the text, and so are
+    those with null ids, which come first; 97 bits of hashes tell them apart. Ids that are no whole numbers order as text. An empty table gives an empty result. All other columns stay (a
     column ``deleted_lines`` is replaced). Lines are compared by 128-bit digests; a document may have 2^28 lines.
     """
     names = [c for c in docs.columns if c != "deleted_lines"]
-    doc, tie = _doc(F.col(id_col), docs.schema[id_col].dataType), _tie(F.col(id_col), F.col(text_col))
-    runs = repeated_runs(docs.select(doc.alias("doc"), tie.alias("tie"), F.col(text_col).alias("text")).where("text is not null"), min_words)
-    gone = runs.select("doc", "tie", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("lines") - 1)).alias("idx"))
+    doc, tie, more = _doc(F.col(id_col), docs.schema[id_col].dataType), _tie(F.col(id_col), F.col(text_col)), _more(F.col(text_col))
+    runs = repeated_runs(docs.select(doc.alias("doc"), tie.alias("tie"), more.alias("more"), F.col(text_col).alias("text")).where("text is not null"), min_words)
+    gone = runs.select(*DOC, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("lines") - 1)).alias("idx"))
     # Written before the join, so that rows of a document that is repeated very often are split over tasks; a merge join at every size.
-    gone = materialize(gone.groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_set("idx").alias("_gone"))).hint("merge")
+    gone = materialize(gone.groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), F.col("more").alias("_more")).agg(F.collect_set("idx").alias("_gone"))).hint("merge")
     # The input's columns travel in one struct, so that none can clash.
-    rows = docs.select(F.struct(*names).alias("_row"), doc.alias("_own_doc"), tie.alias("_own_tie"))
-    joined = rows.join(gone, (F.col("_own_doc") == F.col("_doc")) & (F.col("_own_tie") == F.col("_tie")), "left")
+    rows = docs.select(F.struct(*names).alias("_row"), doc.alias("_own_doc"), tie.alias("_own_tie"), more.alias("_own_more"))
+    joined = rows.join(gone, (F.col("_own_doc") == F.col("_doc")) & (F.col("_own_tie") == F.col("_tie")) & (F.col("_own_more") == F.col("_more")), "left")
     old = F.col("_row").getField(text_col)
     lines, counted = F.split(old, "\n", -1), F.transform(_numbered(old), lambda x: x["line"])
     joined = joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), lines)).withColumn("_numbers", F.when(F.col("_gone").isNotNull(), counted))

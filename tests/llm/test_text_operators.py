@@ -214,3 +214,22 @@ def test_heaviest_words_are_needed():
     kept = heaviest(vector, 0.7)
     norm = sum(x * x for x in vector.values()) ** 0.5
     assert sum(x * x for w, x in vector.items() if w not in kept) ** 0.5 / norm < 0.7
+
+
+def test_null_ids_whose_hashes_collide_in_part(spark):
+    """Texts that agree in 33 bits of their hash: the unique line of the second stays, its repeated one goes."""
+    rows = [(None, "a b c d e f\nu87224"), (None, "v146259\na b c d e f"), (7, "a b c d e f\nu87224"), (7, "v146259\na b c d e f")]
+    bits = spark.createDataFrame(rows[:2], "id long, text string").select(F.pmod(F.xxhash64("text"), F.lit(1 << 33)).alias("h"))
+    assert len({r.h for r in bits.collect()}) == 1
+    for ids in (rows[:2], rows[2:]):
+        got = {r.text: r.left for r in dedup_lines(spark.createDataFrame(ids, "doc_id long, text string").withColumn("left", F.col("text")), min_words=6, text_col="left").collect()}
+        assert sorted(got.values()) in (["a b c d e f\nu87224", "v146259"], ["u87224", "v146259\na b c d e f"])
+
+
+def test_many_rows_without_ids(spark):
+    """Twenty thousand null ids: a repeated line goes from all but one row, and every other line stays where it was."""
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("a b c d e f\nu"), "id")).otherwise(F.concat(F.lit("u"), "id", F.lit("\na b c d e f"))).alias("text"))
+    got = dedup_lines(docs, min_words=6)
+    kept = [r.text for r in got.collect()]
+    assert len(kept) == 20_000 and len(set(kept)) == 20_000
+    assert sum("a b c" in t for t in kept) == 1 and sorted(int(x[1:]) for t in kept for x in t.split("\n") if x[0] == "u") == list(range(20_000))
