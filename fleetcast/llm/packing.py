@@ -5,11 +5,11 @@ fractions, that hold every length as often as it occurs. Multiplicative weights
 over the prices (dynamic programming) says what the dearest configuration is worth, and a batch of configurations within
 ``SLACK`` of that is drawn, in proportion to what the rounds before left short. Prices of what a batch holds too often fall,
 others rise. The solution is the average of all batches; demand times prices over the dearest worth bounds every packing from
-below, so the gap is known.
+below, so the gap is known; rounds go on until ``GAP`` is reached or they no longer lower what is short.
 
 Rounding: configurations are used in whole numbers as long as their lengths last; what is left is solved again, ``PHASES``
 times in all. Lengths below an eighth of a sequence are left out of the program, as is usual: they, and what rounding
-leaves, go by best fit into the fullest sequence with room.
+leaves, go by best fit into the fullest sequence with room. If best fit alone makes fewer sequences of all, its plan is taken.
 
 Planning sees only the histogram (as many counts as a sequence has tokens). Pieces get a rank among those of their length,
 and the plan maps (length, rank) to a sequence and an offset.
@@ -34,10 +34,13 @@ from fleetcast.plans.staging import materialize
 
 #: A length's pieces are numbered in so many parts at once.
 RANK_BUCKETS = 512
-#: Batches are drawn among configurations worth so little less than the dearest; a round moves a price by so little, and by so much at most.
-SLACK, STEP, MOST_STEP = 0.001, 0.00003, 0.1
-#: Rounds of the first solution and of those for what is left, configurations of a batch, solutions in all.
-ROUNDS, MORE_ROUNDS, BATCH, PHASES = 40, 12, 1024, 3
+#: Batches are drawn among configurations worth so little less than the dearest: two tokens of a sequence, or where the solution is
+#: to be rounded less than half a token, so that hardly any room is lost. A round moves a price by so little, and by so much at most.
+SLACK, ROUNDED_SLACK, STEP, MOST_STEP = 0.001, 0.0002, 0.00003, 0.1
+#: Rounds go on until so little of the demand is short, or until so many of them lower what is short by less than such a share of it.
+GAP, TRIES, PAYS = 0.005, 10, 0.02
+#: Configurations of a batch, solutions of what is left in all.
+BATCH, PHASES = 1024, 3
 
 
 class Tokens:
@@ -96,9 +99,9 @@ def dearest(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarra
     return worth
 
 
-def draw(prices: np.ndarray, worth: np.ndarray, lengths: np.ndarray, wanted: np.ndarray, capacity: int, batch: int, rng: np.random.Generator) -> np.ndarray:
+def draw(prices: np.ndarray, worth: np.ndarray, lengths: np.ndarray, wanted: np.ndarray, capacity: int, batch: int, rng: np.random.Generator, within: float) -> np.ndarray:
     """``batch`` configurations near the dearest, as rows of places in ``lengths`` (-1: none); lengths go in proportion to ``wanted``."""
-    slack, room, value = SLACK * worth[capacity], np.full(batch, capacity), np.zeros(batch)
+    slack, room, value = within * worth[capacity], np.full(batch, capacity), np.zeros(batch)
     steps, live = [], np.arange(batch)
     while len(live):
         step = np.full(batch, -1)
@@ -121,33 +124,42 @@ def draw(prices: np.ndarray, worth: np.ndarray, lengths: np.ndarray, wanted: np.
 class Fractional:
     """A solution of the program: configurations (rows of ``lengths`` places) with their amounts, what they leave ``short`` of each length.
 
-    ``bound``: no packing of the lengths has fewer sequences. ``value``: sequences of the solution, the short rest in
-    sequences of its own.
+    ``bound``: no packing of the lengths has fewer sequences. ``value``: sequences of the solution, the short rest by best fit.
+    ``rounds``: how many it took.
     """
 
     configurations: list[tuple[np.ndarray, float]]
     short: np.ndarray
     bound: float
     value: float
+    rounds: int
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, batch: int = BATCH, seed: int = 1) -> Fractional:
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP, batch: int = BATCH, seed: int = 1, slack: float = SLACK) -> Fractional:
     """Multiplicative weights on the covering program, starting from prices in proportion to the lengths."""
     rng, demand, prices = np.random.default_rng(seed), counts.astype("float64"), lengths / capacity
     held, bound, made = np.zeros(len(lengths)), 0.0, []
     # The more draws a length gets in a batch, the more its share in the batch says.
     rate = np.minimum(MOST_STEP, STEP * np.maximum(1, batch * demand / max(1.0, prices @ demand)))
-    for t in range(rounds):
+    t, shares = 0, [1.0]
+    while True:
         worth = dearest(prices, lengths, capacity)
         bound = max(bound, float(prices @ demand / worth[capacity]))
         wanted = np.maximum((t + 1) * demand - held, 0) + 0.02 * demand
-        rows = draw(prices, worth, lengths, wanted, capacity, batch, rng)
+        rows = draw(prices, worth, lengths, wanted, capacity, batch, rng, slack)
         got = np.bincount(rows[rows >= 0], minlength=len(lengths)) * (bound / max(1, len(rows)))
         held += got
         made.append(rows)
         prices = prices * np.exp(-rate * np.clip(got / demand - 1, -1, 3))
-    short = np.maximum(0, demand - held / rounds)
-    return Fractional([(rows, bound / rounds / max(1, len(rows))) for rows in made], short, bound, bound + float((short / (capacity // lengths)).sum()))
+        t += 1
+        short = np.maximum(0, demand - held / t)
+        if t % TRIES == 0:
+            shares.append(float(lengths @ short / (lengths @ demand)))
+            if shares[-1] <= gap or shares[-1] > (1 - PAYS) * shares[-2]:
+                break
+    rest: list[list] = []
+    best_fit(rest, {int(n): int(c) for n, c in zip(lengths, np.ceil(short), strict=True)}, capacity)
+    return Fractional([(rows, bound / t / max(1, len(rows))) for rows in made], short, bound, bound + sum(times for _, times in rest), t)
 
 
 @dataclass
@@ -175,7 +187,7 @@ def plan(histogram: dict[int, int], capacity: int, seed: int = 1) -> Plan:
         at = np.nonzero(left)[0]
         if not len(at):
             break
-        found = solve(lengths[at], left[at], capacity, MORE_ROUNDS if phase else ROUNDS, seed=seed + phase)
+        found = solve(lengths[at], left[at], capacity, seed=seed + phase, slack=ROUNDED_SLACK)
         if not phase:
             bound, value = max(bound, full + found.bound), full + found.value
         # Amounts are rounded so that sums over the shuffled configurations are off by less than one.
@@ -195,6 +207,12 @@ def plan(histogram: dict[int, int], capacity: int, seed: int = 1) -> Plan:
     for n, c in zip(lengths.tolist(), left.tolist(), strict=True):
         rest[n] = c
     best_fit(bins, rest, capacity)
+    # A plan in whole numbers is a solution in fractions too, so the better of both plans is the least known value.
+    alone: list[list] = [[{capacity: 1}, full]] if full else []
+    best_fit(alone, {int(n): int(c) for n, c in histogram.items() if c > 0 and n != capacity}, capacity)
+    if sum(times for _, times in alone) < sum(times for _, times in bins):
+        bins, programmed = alone, full
+    value = min(value, float(sum(times for _, times in bins)))
     return Plan([(bins[i][0], bins[i][1]) for i in rng.permutation(len(bins)).tolist()], pieces, programmed, bound, value)
 
 
