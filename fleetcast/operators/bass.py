@@ -7,6 +7,7 @@ are a table with one row per series (and scenario or model).
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -196,13 +197,13 @@ def fit_bass(panel: DataFrame, by: list[str], date: str, stock: str, flow: str,
     return best.select(*by, "p", "q", (F.col("m") * F.col("top")).alias("M"), betas, "mse")
 
 
-def fit_models(panel: DataFrame, by: list[str], date: str, stock: str, flow: str, models: dict[str, list[str]] = MODELS, **grid) -> DataFrame:
-    """Fits of all models, one row for each (series, model); features are standardized on the given rows."""
+def fit_models(panel: DataFrame, by: list[str], date: str, stock: str, flow: str, models: dict[str, list[str]] = MODELS, fit: Callable[..., DataFrame] = fit_bass, **options) -> DataFrame:
+    """Fits of all models, one row for each (series, model); features are standardized on the given rows. ``fit``: by grids, or ``fit_bass_newton``."""
     out = None
     for name, features in models.items():
         rows = panel
         if features:
             rows = standardized(panel.dropna(subset=features), feature_moments(panel.dropna(subset=features), features, by), features, by)
-        fit = fit_bass(rows, by, date, stock, flow, [f"z_{c}" for c in features], **grid).withColumn("model", F.lit(name))
-        out = fit if out is None else out.unionByName(fit)
+        found = fit(rows, by, date, stock, flow, [f"z_{c}" for c in features], **options).withColumn("model", F.lit(name))
+        out = found if out is None else out.unionByName(found)
     return out
