@@ -14,6 +14,7 @@ from fleetcast.operators import bass as B
 from fleetcast.operators import flow, metrics, policy, regions, stock
 from fleetcast.operators import series as S
 from fleetcast.operators.newton import fit_bass_newton
+from fleetcast.operators.scenarios import policy_scenario_table
 from fleetcast.plans import panel as P
 from fleetcast.plans import standin as D
 from fleetcast.plans.staging import materialize, shared_dir
@@ -335,6 +336,32 @@ def policy_table(spark, d):
     return t.select(*exact, *r6(*names))
 
 
+#: (scenario, s30d, s25e, lease, used, factor of prices or none at all)
+_SCENARIO_ROWS = [("base", 0.85, 0.65, 0.30, 0.0, 1.0), ("tight", 0.6, 0.4, 0.2, 0.1, 1.25), ("ended", None, None, None, None, None)]
+
+
+@query(
+    "policy_table_scenarios",
+    f"""with {_PRICES}, {_MSRP}, {_CAL}, sc(scenario, s30, s25, lease, used, f) as (values ('base', 0.85, 0.65, 0.3, 0.0, 1.0), ('tight', 0.6, 0.4, 0.2, 0.1, 1.25), ('ended', 0.85, 0.65, 0.3, 0.0, null)),
+    pg as (select scenario, date, gas_price_t * f as g from pr, sc where f is not null), pm as (select scenario, date, price * f as p from ms, sc where f is not null),
+    c as (select * from cal, sc), j as (select c.*, g from c asof left join pg on c.scenario = pg.scenario and c.date >= pg.date), k as (select j.*, p from j asof left join pm on j.scenario = pm.scenario and j.date >= pm.date),
+    a as (select *, coalesce(g, (select arg_min(g, date) from pg where pg.scenario = k.scenario), 3.5) as gas, coalesce(p, (select arg_min(p, date) from pm where pm.scenario = k.scenario), 45000.0) as msrp,
+      {', '.join(f'{_steps(n)} as {n}' for n in policy.SCHEDULES if n not in ('zev_index_t', 'state_rebate_t'))}, case when scenario = 'ended' and date >= date '2018-06-01' and date < date '2024-03-01' then 0.0 when scenario = 'tight' and date < date '2019-01-01' then 500.0 else {_steps('state_rebate_t')} end as rebate from k),
+    b as (select *, case when date >= date '2023-01-01' then lease * 7500 + (1 - lease - used) * 7500 * s30 + used * 4000 * s25 else 0.39 * credit_tsla + 0.05 * credit_gm + 0.56 * credit_other end as fed from a)
+    select scenario, date, round(cast(gas as double), 6) as gas_price_t, round(cast(msrp as double), 6) as avg_msrp_t, cast(rebate as double) as state_rebate_t, round(cast(fed as double), 6) as fed_credit_avg_t, round(cast(rebate + delta_t * fed as double), 6) as total_subsidy_t,
+      round(cast((rebate + delta_t * fed) / msrp as double), 6) as subsidy_share_t, round(cast(gas / 28.0 - 0.22 * 0.30 as double), 6) as tco_adv_t from b""",
+)
+def policy_table_scenarios(spark, d):
+    """Three scenarios over the whole calendar: other shares and dearer prices, and one without series whose rebate ends for some years."""
+    scenarios = spark.createDataFrame(_SCENARIO_ROWS, "scenario string, s30d double, s25e double, lease double, used double, factor double")
+    factors = F.array(*[F.struct(F.lit(r[0]).alias("scenario"), F.lit(r[5]).alias("factor")) for r in _SCENARIO_ROWS if r[5]])
+    spread = lambda df, c: df.withColumn("_s", F.explode(factors)).select("_s.scenario", "date", (F.col(c) * F.col("_s.factor")).alias(c))
+    steps = [("ended", "state_rebate_t", "2018-06-01", "2024-03-01", 0.0), ("tight", "state_rebate_t", None, "2019-01-01", 500.0)]
+    schedule = spark.createDataFrame(steps, "scenario string, name string, f string, t string, value double").select("scenario", "name", F.to_date("f").alias("valid_from"), F.to_date("t").alias("valid_to"), "value")
+    t = policy_scenario_table(scenarios, "1995-01-01", "2030-12-01", spread(D.prices(spark, d), "gas_price_t"), spread(_msrp(spark, d), "avg_msrp_ev_stock_t"), schedule, ("state_rebate_t",))
+    return t.select("scenario", "date", "state_rebate_t", *r6("gas_price_t", "avg_msrp_t", "fed_credit_avg_t", "total_subsidy_t", "subsidy_share_t", "tco_adv_t"))
+
+
 _CREDITS = f"with {_BINS}, {_CAL} select county, date, round(cast(case when date >= date '2023-01-01' then 0.30 * 7500 + 0.60 * 7500 * share + 0.10 * 4000 * 0.65 end as double), 6) as credit from e, cal"
 
 
