@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetcast.plans.staging import materialize
 
 
+#: Rows that may meet in one window without keys, and points of a span, about; spans at most.
+SPAN_ROWS, SPANS = 1_000_000, 1 << 16
+
+
 def _w(by: list[str], order: str):
     if not by:
         raise ValueError("a window needs the keys of its series")
@@ -26,12 +31,15 @@ def bfill(df: DataFrame, cols: list[str], by: list[str], order: str) -> DataFram
 
 
 def _fill(df: DataFrame, cols: list[str], by: list[str], order: str, forward: bool) -> DataFrame:
-    """Without keys, rows are cut into ranges of ``order`` that are filled apart, and each takes over from those before (or after)."""
+    """Without keys, more than ``SPAN_ROWS`` rows are cut into ranges of ``order`` that are filled apart, and each takes over from those before (or after)."""
     pick = F.last if forward else F.first
     span = (W.unboundedPreceding, 0) if forward else (0, W.unboundedFollowing)
     if by:
         return df.withColumns({c: pick(c, ignorenulls=True).over(_w(by, order).rowsBetween(*span)) for c in cols})
-    ranged = materialize(df.repartitionByRange(F.col(order)).withColumn("_range", F.spark_partition_id()))
+    kept = materialize(df)
+    if kept.count() <= SPAN_ROWS:
+        return kept.withColumns({c: pick(c, ignorenulls=True).over(W.partitionBy(F.lit(0)).orderBy(order).rowsBetween(*span)) for c in cols})
+    ranged = materialize(kept.repartitionByRange(F.col(order)).withColumn("_range", F.spark_partition_id()))
     filled = ranged.withColumns({c: pick(c, ignorenulls=True).over(W.partitionBy("_range").orderBy(order).rowsBetween(*span)) for c in cols})
     # One row for each range.
     inside = lambda c: (F.max_by if forward else F.min_by)(c, F.when(F.col(c).isNotNull(), F.struct(order)))
@@ -42,39 +50,76 @@ def _fill(df: DataFrame, cols: list[str], by: list[str], order: str, forward: bo
     return joined.select(*[F.coalesce(c, f"_from_{c}").alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str] | None = None) -> DataFrame:
+def _number(time: Column, kind: T.DataType) -> Column:
+    """A time as a number in its own order."""
+    if isinstance(kind, T.DateType):
+        return F.unix_date(time).cast("double")
+    if isinstance(kind, T.NumericType):
+        return time.cast("double")
+    return F.unix_micros(time.cast("timestamp")).cast("double")
+
+
+def span_bounds(points: DataFrame, number: Column, rows: int, span_rows: int) -> list[float]:
+    """Boundaries between spans of about ``span_rows`` points each, from a quantile sketch of all of them."""
+    spans = min(SPANS, -(-rows // span_rows))
+    shares = [i / spans for i in range(1, spans)]
+    found = points.agg(F.percentile_approx(number, shares, max(10_000, 10 * spans)).alias("b")).first()["b"] if shares else []
+    return sorted(set(found or []))
+
+
+def span_of(number: Column, bounds: list[float]) -> Column:
+    """How many of ``bounds`` lie below: first among every 256th, then among the 255 that follow it."""
+    text = lambda xs: "array(" + ", ".join(f"{x!r}D" for x in xs) + ")"
+    below = lambda xs, t: F.size(F.filter(xs, lambda b: b < t))
+    if not bounds:
+        return F.lit(0)
+    coarse, parts = bounds[::256], [bounds[i + 1 : i + 256] for i in range(0, len(bounds), 256)]
+    first = below(F.expr(text(coarse)), number)
+    fine = F.expr("array(" + ", ".join(text(p) if p else "cast(array() as array<double>)" for p in parts) + ")")
+    # ``first`` boundaries of the coarse list stand for as many whole parts but the last, whose own ones are counted.
+    return F.when(first == 0, 0).otherwise((first - 1) * 256 + 1 + below(F.get(fine, first - 1), number))
+
+
+def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str] | None = None, span_rows: int = SPAN_ROWS) -> DataFrame:
     """``left`` with the columns of the latest ``right`` row at or before it; null where there is none.
 
-    Of several right rows at one time the one with the greatest values counts. Right rows without a time fit nothing.
+    Of several right rows at one time the one with the greatest values counts. Right rows without a time fit nothing, and a
+    null key meets no right row. A null inside the latest right row stays null.
 
-    Both sides are merged and the last right row is carried forward, as a struct, so that a null inside the latest row stays
-    null. They are cut into months that are merged apart; a month takes over the last right row of those before it. So one key
-    with a third of all rows, or a join without keys, is spread over the cluster; one row for each (key, month) meets in a
-    key's window.
+    What a row meets depends on its key and time alone, so both sides are first reduced to one point for each (key, time),
+    in every task before rows move: an instant that very many rows share is one point. Over ``span_rows`` points are cut by
+    time into spans of about as many, at the quantiles of both sides together, so that a crowded month or a hot key has many
+    and an empty decade none. The last right row is carried forward inside a span, and from the spans before it; one row for
+    each (key, span) meets in a key's window. The left rows then find their points by an equi-join.
     """
     by = by or []
     values = [c for c in right.columns if c not in (right_on, *by)]
-    kind = lambda df, names: df.select(F.struct(*names)).schema[0].dataType
-    none = lambda df, names: F.lit(None).cast(kind(df, names))
-    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
-    names = [*[f"_k{i}" for i in range(len(by))], "_month"]
-    l = left.select(*keys, F.date_trunc("month", left_on).alias("_month"), F.col(left_on).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), none(right, values).alias("_r"))
-    r = right.where(F.col(right_on).isNotNull()).select(*keys, F.date_trunc("month", right_on).alias("_month"), F.col(right_on).alias("_t"), F.lit(0).alias("_side"), none(left, left.columns).alias("_l"), F.struct(*values).alias("_r"))
-    both = l.unionByName(r)
-    w = W.partitionBy(*names).orderBy("_t", "_side", "_r").rowsBetween(W.unboundedPreceding, 0)
-    within = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
-    months = both.groupBy(*names).agg(F.max(F.when(F.col("_side") == 0, F.struct("_t", "_r"))).alias("_last"))
-    earlier = W.partitionBy(*(names[:-1] or [F.lit(0)])).orderBy("_month").rowsBetween(W.unboundedPreceding, -1)
-    carried = months.select(*[F.col(c).alias(f"_c{c}") for c in names], F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
-    same = F.lit(True)
-    for c in names:
-        same = same & F.col(c).eqNullSafe(F.col(f"_c{c}"))
-    # A null key meets no right row.
-    keyed = F.lit(True)
-    for c in names[:-1]:
-        keyed = keyed & F.col(c).isNotNull()
-    hit = F.when(keyed, F.coalesce("_r", F.col("_carry")["_r"]))
-    return within.join(carried, same).withColumn("_hit", hit).select("_l.*", *[F.col(f"_hit.{v}").alias(v) for v in values])
+    names = [f"_k{i}" for i in range(len(by))]
+    kind = left.schema[left_on].dataType
+    keyed = lambda df, time: df.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col(time).cast(kind).alias("_t"), *([F.struct(*values).alias("_r")] if df is right else [])).na.drop(subset=[*names, "_t"])
+    known = keyed(right, right_on).withColumn("_asked", F.lit(False))
+    asked = keyed(left, left_on).select(*names, "_t", F.lit(None).cast(known.schema["_r"].dataType).alias("_r"), F.lit(True).alias("_asked"))
+    points = materialize(known.unionByName(asked).groupBy(*names, "_t").agg(F.max("_r").alias("_r"), F.bool_or("_asked").alias("_asked")))
+    rows = points.count()
+    latest = lambda keys: F.last("_r", ignorenulls=True).over(W.partitionBy(*(keys or [F.lit(0)])).orderBy("_t").rowsBetween(W.unboundedPreceding, 0))
+    if rows <= span_rows:
+        hits = points.withColumn("_hit", latest(names)).where("_asked")
+    else:
+        number = _number(F.col("_t"), kind)
+        spanned = points.withColumn("_span", span_of(number, span_bounds(points, number, rows, span_rows)))
+        within = spanned.withColumn("_hit", latest([*names, "_span"])).where("_asked")
+        ends = spanned.where("_r is not null").groupBy(*names, "_span").agg(F.max_by("_r", "_t").alias("_end"))
+        # Spans that hold no right row of a key take over too, so every span of a key that asks has a row here.
+        spans = spanned.select(*names, "_span").distinct().join(ends, [*names, "_span"], "left")
+        earlier = W.partitionBy(*(names or [F.lit(0)])).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+        carried = materialize(spans.select(*names, "_span", F.last("_end", ignorenulls=True).over(earlier).alias("_carry")))
+        hits = materialize(within.join(carried, [*names, "_span"], "left").withColumn("_hit", F.coalesce("_hit", "_carry")))
+    hits = hits.select(*[F.col(n).alias(f"_h{n}") for n in names], F.col("_t").alias("_ht"), "_hit")
+    same = F.col("_t") == F.col("_ht")
+    for n in names:
+        same = same & (F.col(n) == F.col(f"_h{n}"))
+    rows_left = left.select(F.struct(*left.columns).alias("_l"), *[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col(left_on).alias("_t"))
+    return rows_left.join(hits, same, "left").select("_l.*", *[F.col(f"_hit.{v}").alias(v) for v in values])
 
 
 def lag_stock(df: DataFrame, value: str, by: list[str], order: str, name: str = "y_prev", default: float = 0.0) -> DataFrame:

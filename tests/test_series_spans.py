@@ -5,7 +5,7 @@ import random
 
 import pytest
 from fleetcast.operators import policy
-from fleetcast.operators.series import asof_join, bfill, ffill
+from fleetcast.operators.series import _number, asof_join, bfill, ffill, span_bounds, span_of
 from pyspark.sql import functions as F
 
 DAY = dt.date(2020, 1, 1)
@@ -70,3 +70,39 @@ def test_blank_vehicle_keys_meet_nothing(spark):
     rows = spark.createDataFrame([(" ",), ("",), (None,), (" a ",)], "vin_key string")
     got = join_drivetrain(rows, spark.createDataFrame([("a", "BEV"), ("", "PHEV")], "vin_key string, drivetrain string"))
     assert sorted(r.drivetrain for r in got.select(F.col("drivetrain")).collect()) == ["BEV", "UNKNOWN", "UNKNOWN", "UNKNOWN"]
+
+
+@pytest.mark.parametrize("keyed", [True, False])
+@pytest.mark.parametrize("span_rows", [1, 7, 40])
+def test_sampled_spans_equal_one_window(spark, keyed, span_rows):
+    """Dates, times and numbers, cut into spans of a few points, give what one window gives."""
+    rng = random.Random(span_rows)
+    by = ["k"] if keyed else None
+    for make, kind in ((lambda d: DAY + dt.timedelta(days=d), "date"), (lambda d: dt.datetime(2020, 1, 1) + dt.timedelta(seconds=977 * d), "timestamp"), (lambda d: d / 3, "double")):
+        left = [(i, rng.choice("abz"), make(rng.randrange(300))) for i in range(200)]
+        right = [(rng.choice("ab"), make(rng.randrange(300)), rng.choice([None, 1, 2])) for _ in range(80)]
+        l, r = spark.createDataFrame(left, f"i int, k string, t {kind}"), spark.createDataFrame(right, f"k string, u {kind}, v int")
+        r = r if keyed else r.drop("k")
+        rows = lambda df: sorted((x.i, x.v is not None, x.v or 0) for x in df.collect())
+        assert rows(asof_join(l, r, "t", "u", by, span_rows=span_rows)) == rows(asof_join(l, r, "t", "u", by))
+
+
+def test_a_hot_month_is_cut(spark):
+    """Nine of ten rows lie in one month and half of all on one instant of it: spans stay near their size, the instant is one point."""
+    times = F.when(F.col("id") % 2 == 0, F.lit(1_600_000_000)).when(F.col("id") % 20 < 18, 1_599_000_000 + F.col("id") * 50).otherwise(F.col("id") * 70_000)
+    points = spark.range(40_000).select(F.timestamp_seconds(times).alias("_t")).distinct()
+    number = _number(F.col("_t"), points.schema["_t"].dataType)
+    n = points.count()
+    bounds = span_bounds(points, number, n, 1000)
+    sizes = [r["count"] for r in points.groupBy(span_of(number, bounds)).count().collect()]
+    assert n < 21_000 and len(sizes) >= 19 and max(sizes) <= 1300
+    months = [r["count"] for r in points.groupBy(F.trunc("_t", "MM")).count().collect()]
+    assert max(months) > 10_000
+
+
+def test_places_among_many_boundaries(spark):
+    """The two-step search is right below, on and above every boundary, for more than one block of 256."""
+    for n in (1, 255, 256, 257, 600):
+        bounds = [float(3 * i) for i in range(n)]
+        got = spark.range(-2, 3 * n + 3).select("id", span_of(F.col("id").cast("double"), bounds).alias("s")).collect()
+        assert [r.s for r in got] == [sum(b < r.id for b in bounds) for r in got]
