@@ -15,6 +15,7 @@ from fleetcast.operators import flow, metrics, policy, regions, stock
 from fleetcast.operators import series as S
 from fleetcast.operators.newton import fit_bass_newton
 from fleetcast.operators.scenarios import policy_scenario_table
+from fleetcast.plans import layout
 from fleetcast.plans import panel as P
 from fleetcast.plans import standin as D
 from fleetcast.plans.staging import materialize, shared_dir
@@ -748,6 +749,13 @@ def sink_run_summary(spark, d):
     return read.select("c.*", F.array_max(F.element_at("r", F.array_min(F.map_keys("r")))).alias("last_county"))
 
 
+@query("new_registrations_by_vehicle", ORACLES["new_registrations"])
+def new_registrations_by_vehicle(spark, d):
+    """New registrations from a table in buckets of the VIN, whose rows are not shuffled."""
+    name = layout.write_by_vehicle(D.enriched(spark, d), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return flow.new_registrations(layout.read_by_vehicle(spark, name)).withColumn("ev_share_pct", F.round("ev_share_pct", 6))
+
+
 @query(
     "stock_with_counters",
     f"""with s as ({ORACLES['stock_exact_snapshot']}), o as ({ORACLES['row_outcomes_snapshot']}) select s.*, o.* from s cross join o""",
