@@ -79,13 +79,6 @@ def finite(x: Column) -> Column:
     return F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False))
 
 
-def dot(xs: list[Column], betas: list[Column]) -> Column:
-    out = F.lit(0.0)
-    for x, b in zip(xs, betas, strict=True):
-        out = out + x * b
-    return out
-
-
 def array_dot(xs: Column, betas: Column) -> Column:
     return F.aggregate(F.zip_with(xs, betas, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
 

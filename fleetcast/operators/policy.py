@@ -47,7 +47,8 @@ def apply_schedules(df: DataFrame, date: str = "date", names: list[str] | None =
 
 
 def apply_schedule(df: DataFrame, schedule: DataFrame, date: str = "date") -> DataFrame:
-    """A column for each name of a table (name, valid_from, valid_to exclusive, value); a null bound is open."""
+    """A column for each name of a table (name, valid_from, valid_to exclusive, value); a null bound is open, a row without a name says nothing."""
+    schedule = schedule.where("name is not null")
     names = sorted(r[0] for r in schedule.select("name").distinct().collect())
     days = df.select(F.col(date).cast("date").alias("_d")).where("_d is not null").distinct().withColumn("_m", F.trunc("_d", "MM"))
     # Steps are spread over the months that occur, so that days find them by equality, however many steps there are.

@@ -53,3 +53,10 @@ def test_shares_out_of_bounds(spark, bad):
 
 def test_no_scenarios(spark):
     assert policy_scenario_table(spark.createDataFrame([], "scenario string"), FIRST, LAST, None, None).collect() == []
+
+
+def test_a_schedule_row_without_a_name(spark):
+    days = spark.createDataFrame([(dt.date(2024, 1, 5),)], "date date")
+    steps = spark.createDataFrame([(None, None, None, 1.0), ("x", None, None, 2.0)], "name string, valid_from date, valid_to date, value double")
+    row = policy.apply_schedule(days, steps).first()
+    assert row.x == 2.0 and set(row.asDict()) == {"date", "x"}
