@@ -3,7 +3,7 @@ from collections import Counter
 from fractions import Fraction
 
 import pytest
-from fleetcast.llm.mixing import mix_sources, one_period, phases, whole_shares
+from fleetcast.llm.mixing import counts, mix_sources, one_period, phase_plan, phases, spans, whole_shares
 
 
 def simulate(blocks, weights):
@@ -101,3 +101,71 @@ def test_many_sources():
     made = expanded(bounds, places)
     assert sorted(made) == sorted((s, b) for s, n in rows.items() for b in range(n))
     assert len(places) <= 2 * sum(rows.values())
+
+
+def check_windows(order, rows, weights):
+    """Each phase, slot by slot, against exact weights: every source within a block of its share."""
+    left, exact = {s: n for s, n in rows.items() if n}, None
+    for s in order:
+        if exact is None:
+            total = sum(Fraction(str(weights[x])) for x in left)
+            exact, had, t = {x: Fraction(str(weights[x])) / total for x in left}, Counter(), 0
+        had[s], t = had[s] + 1, t + 1
+        assert all(abs(had[x] - w * t) < 1 for x, w in exact.items())
+        left[s] -= 1
+        if not left[s]:
+            del left[s]
+            exact = None
+    assert not left
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_spans_keep_the_windows(seed):
+    rng = random.Random(seed)
+    weights = {f"s{i}": rng.choice([1, 2, 3.5, 10, 0.25, 0.37, 7.77]) for i in range(rng.randint(1, 9))}
+    rows = {s: rng.randint(1, 300) for s in weights}
+    bounds, places = phases(rows, weights, 1, span=rng.choice([1, 4, 16, 64]))
+    assert all(r <= slot < d for *_, slot, r, d in places)
+    assert len({(s, phase, j) for s, phase, j, *_ in places}) == len(places)
+    check_windows([s for s, _ in expanded(bounds, places)], rows, weights)
+
+
+def test_a_span_over_a_whole_period_is_plain_earliest_deadline_first():
+    shares = whole_shares({"a": 0.37, "b": 0.2, "c": 0.43})
+    bounds, places = phases(dict(shares), {"a": 0.37, "b": 0.2, "c": 0.43}, 1)
+    first = [(s, j, slot, r, d) for s, phase, j, slot, r, d in places if phase == 0]
+    assert first and first == one_period(shares)[: len(first)]
+
+
+def test_counts_of_shares_beyond_64_bits():
+    shares = [3 * 10**18 + 1, 5 * 10**18 + 7, 2 * 10**18 + 3]
+    period = sum(shares)
+    for t in (1, 2, 10**9 + 7, period // 3):
+        had = counts(shares, t)
+        assert sum(had) == t and all(abs(n * period - s * t) < period for n, s in zip(had, shares, strict=True))
+
+
+def test_long_periods_cost_the_driver_a_row_for_each_span():
+    rows = {"a": 16_000_000, "b": 16_000_000, "c": 16_000_000}
+    plan = list(phase_plan(rows, whole_shares({"a": 0.3333333, "b": 0.2718281, "c": 0.3948386}), 16, 1 << 16))
+    assert sum(run[1] for _, run in plan) > 2_000_000
+    assert sum(len(part) + len(spans(run)) for part, run in plan) < 100
+
+
+def test_spans_in_tasks_joined_to_rows(spark):
+    """Weights of seven decimals, a hot source, spans and tables of bounds that are written and joined by shuffles."""
+    weights = {"hot": 0.3333333, "b": 0.2718281, "c": 0.3948386}
+    rows = {"hot": 4000, "b": 1500, "c": 1700}
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(s for s, n in rows.items() for _ in range(n))], "doc_id long, source string")
+    from fleetcast.llm import mixing
+
+    kept = mixing.BROADCAST_ROWS, mixing.KEY_BLOCKS
+    mixing.BROADCAST_ROWS, mixing.KEY_BLOCKS = 2, 64
+    try:
+        got = mix_sources(df, weights, block_rows=1, span=128).collect()
+    finally:
+        mixing.BROADCAST_ROWS, mixing.KEY_BLOCKS = kept
+    assert sorted(r.doc_id for r in got) == list(range(7200))
+    assert sorted(r.position for r in got) == list(range(7200))
+    assert all(r.release <= r.slot < r.deadline for r in got)
+    check_windows([r.source for r in sorted(got, key=lambda r: r.position)], rows, weights)
