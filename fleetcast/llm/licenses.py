@@ -109,23 +109,30 @@ def detect_licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLAT
     idf = {w: _idf(total, counts.get(w, 0)) for w in vocabulary}
     other = _idf(total, 0)
     vectors = _vectors(templates, idf)
-    keys = "(?<![a-z0-9])(?:" + "|".join(sorted({w for _, v in vectors for w in heaviest(v, threshold)})) + ")(?![a-z0-9])"
+    # A little less, as scores are rounded to six digits.
+    heavy = [heaviest(v, threshold - 1e-6) for _, v in vectors]
+    keys = "(?<![a-z0-9])(?:" + "|".join(sorted({w for h in heavy for w in h})) + ")(?![a-z0-9])"
     has_key = lambda c: F.lower(c).rlike(keys)
-    spark = files.sparkSession
-    # As many rows as the templates have words, and as there are templates.
-    weights = spark.createDataFrame([(w, i, idf[w], x) for i, (_, v) in enumerate(vectors) for w, x in v.items()], "word string, template int, idf double, weight double")
-    norms = spark.createDataFrame([(i, n, math.sqrt(sum(x * x for x in v.values()))) for i, (n, v) in enumerate(vectors)], "template int, license string, norm double")
+    table = lambda rows: F.expr("array(" + ", ".join("array(" + ", ".join(f"{float(x)!r}D" for x in r) + ")" for r in rows) + ")")
+    # Constants of the templates: their words' weights by template and word, and by word the templates that have it among their heaviest.
+    idfs = F.element_at(table([[idf[w] for w in vocabulary]]), 1)
+    products = table([[idf[w] * v.get(w, 0.0) for w in vocabulary] for _, v in vectors])
+    norms = F.element_at(table([[math.sqrt(sum(x * x for x in v.values())) for _, v in vectors]]), 1)
+    names = F.array(*[F.lit(n) for n, _ in vectors])
+    able = F.expr("array(" + ", ".join("cast(array(" + ", ".join(str(i) for i, h in enumerate(heavy) if w in h) + ") as array<int>)" for w in vocabulary) + ")")
     units = F.array_distinct(F.concat(F.array("text"), F.split("text", PARAGRAPH, -1), F.split("text", "\n", -1)))
-    hit = slim.where(has_key("text")).select("path", F.explode(F.filter(units, has_key)).alias("unit")).distinct()
-    token = F.explode(F.regexp_extract_all(F.lower("unit"), F.lit("[a-z0-9]+"), 0)).alias("word")
-    tf = hit.select("path", F.xxhash64("unit").alias("unit"), token)
-    single = weights.select("word", "idf").distinct()
+    tokens = F.transform(F.filter(units, has_key), lambda u: F.regexp_extract_all(F.lower(u), F.lit("[a-z0-9]+"), 0))
+    # A unit is scored in its own row: what moves between tasks is the best of each path, whatever the words of a unit share with templates.
+    hit = slim.where(has_key("text")).select("path", F.explode(tokens).alias("words")).withColumn("own", F.array_intersect("words", known))
+    times = lambda w: F.size("words") - F.size(F.array_remove("words", w))
+    tf = hit.withColumn("tf", F.transform("own", lambda w: F.struct((F.array_position(known, w) - 1).cast("int").alias("at"), times(w).alias("n"))))
     # Words outside the templates only count, whatever they are.
-    tf = tf.join(F.broadcast(single), "word", "left").groupBy("path", "unit", F.when(F.col("idf").isNotNull(), F.col("word")).alias("word"), "idf").count()
-    square = F.when(F.col("word").isNotNull(), F.pow(F.col("count") * F.col("idf"), 2)).otherwise(F.col("count") * other**2)
-    lengths = tf.groupBy("path", "unit").agg(F.sqrt(F.sum(square)).alias("length"))
-    dots = tf.where("word is not null").join(F.broadcast(weights.drop("idf")), "word").groupBy("path", "unit", "template").agg(F.sum(F.col("count") * F.col("idf") * F.col("weight")).alias("dot"))
-    scored = dots.join(lengths, ["path", "unit"]).join(F.broadcast(norms), "template").withColumn("score", F.round(F.col("dot") / F.col("length") / F.col("norm"), 6))
+    rest = F.size("words") - F.aggregate("tf", F.lit(0), lambda s, t: s + t["n"])
+    square = F.aggregate("tf", F.lit(0.0), lambda s, t: s + F.pow(t["n"] * F.get(idfs, t["at"]), F.lit(2.0)))
+    met = F.array_distinct(F.flatten(F.transform("tf", lambda t: F.get(able, t["at"]))))
+    tf = tf.select("path", "tf", F.sqrt(square + rest * other**2).alias("length"), met.alias("met"))
+    dot = lambda i: F.aggregate("tf", F.lit(0.0), lambda s, t: s + t["n"] * F.get(F.get(products, i), t["at"]))
+    scored = tf.select("path", F.explode(F.transform("met", lambda i: F.struct(F.get(names, i).alias("license"), F.round(dot(i) / F.col("length") / F.get(norms, i), 6).alias("score")))).alias("s")).select("path", "s.*")
     best = scored.where(F.col("score") >= threshold).groupBy("path").agg(F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("license"))).alias("best"))
     return best.select("path", "best.license", "best.score")
 

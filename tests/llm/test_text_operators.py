@@ -233,3 +233,16 @@ def test_many_rows_without_ids(spark):
     kept = [r.text for r in got.collect()]
     assert len(kept) == 20_000 and len(set(kept)) == 20_000
     assert sum("a b c" in t for t in kept) == 1 and sorted(int(x[1:]) for t in kept for x in t.split("\n") if x[0] == "u") == list(range(20_000))
+
+
+def test_license_units_stay_in_their_rows(spark):
+    """Every line has words of many templates; no unit, word or pair of unit and template moves between tasks, only each path's best."""
+    common = "this license and the software with a copy of the public version of {}"
+    rows = [(f"d/{i}.txt", "\n".join(common.format(j) for j in range(40)) + ("\nThe MIT License (MIT)" if i % 10 == 0 else "")) for i in range(100)]
+    # Rows of one path are one file; a line that both have, or one twice, scores as it does once.
+    rows += [("d/1.txt", "The MIT License (MIT)\nThe MIT License (MIT)"), ("d/1.txt", "The MIT License (MIT)")]
+    found = detect_licenses(spark.createDataFrame(rows, "path string, text string").repartition(4))
+    got = {r.path: (r.license, r.score) for r in found.collect()}
+    assert got == dict.fromkeys([f"d/{i}.txt" for i in (*range(0, 100, 10), 1)], ("MIT", 1.0))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
