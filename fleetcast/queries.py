@@ -795,11 +795,16 @@ def ingest_files(spark, d):
 # Streams
 
 
-def _arrivals(df: DataFrame, files: int, by: list[str] | None = None) -> str:
-    """``df`` as files for a stream: in ``files`` parts, of ranges of ``by`` if given."""
+#: Rows of an arriving file and of a bucket of state, about; each is one task's.
+TASK_ROWS = 500_000
+
+
+def _arrivals(df: DataFrame, batches: int, rows: int, by: list[str] | None = None) -> tuple[str, int]:
+    """``df`` (of some ``rows`` rows) as files for a stream, of ranges of ``by`` if given, and how many files make one of ``batches`` batches."""
     path = f"{shared_dir(df.sparkSession)}/stream_{uuid.uuid4().hex}/in"
-    (df.repartitionByRange(files, *by) if by else df.repartition(files)).write.parquet(path)
-    return path
+    each = max(1, -(-rows // (batches * TASK_ROWS)))
+    (df.repartitionByRange(batches * each, *by) if by else df.repartition(batches * each)).write.parquet(path)
+    return path, each
 
 
 def _run(stream: DataFrame, path: str, write, mode: str = "append") -> list[int]:
@@ -808,11 +813,12 @@ def _run(stream: DataFrame, path: str, write, mode: str = "append") -> list[int]
 
 @query("stream_stock", ORACLES["stock_approx_snapshot"])
 def stream_stock(spark, d):
-    """Registrations arrive in four files; each batch's sketches are united with the stored ones of the periods it brings."""
+    """Registrations arrive in four batches; each batch's sketches are united with the stored ones of the periods it brings."""
     rows = D.registrations(spark, d)
-    path = _arrivals(rows, 4, ["dmv_id"])
+    # By order as well, so that a period with very many rows is several files.
+    path, files = _arrivals(rows, 4, D.table(spark, d, "lineitem").count(), ["dmv_id", "l_orderkey"])
     out = f"{path.removesuffix('/in')}/sketches"
-    stream = T.read_arrivals(spark, path, rows.schema)
+    stream = T.read_arrivals(spark, path, rows.schema, files)
     _run(regions.enrich(stream, D.vehicles(spark, d), D.zips(spark, d), "snapshot", D.EV_TYPES), path, T.merge_stock_sketches(out, buckets=16))
     exact = stock.stock_counts(D.enriched(spark, d), exact=True).withColumnRenamed("approx_unique_vins", "exact")
     both = T.read_stock_sketches(spark, out).join(exact, stock.KEYS, "full")
@@ -822,12 +828,13 @@ def stream_stock(spark, d):
 
 @query("stream_first_seen", "select cast(l_suppkey as varchar) as region, cast(l_partkey as varchar) as vin, min((year(l_shipdate) - 1995) * 12 + month(l_shipdate)) as snapshot_id from lineitem group by 1, 2")
 def stream_first_seen(spark, d):
-    """Four files, a batch each; vehicles that a batch brings are merged into the buckets it touches."""
+    """Four batches; vehicles that a batch brings are merged into the buckets it touches, as many buckets as the rows need tasks."""
     month = (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate")
     rows = D.table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("region"), F.col("l_partkey").cast("string").alias("vin"), month.cast("long").alias("snapshot_id"))
-    path = _arrivals(rows, 4)
+    count = rows.count()
+    path, files = _arrivals(rows, 4, count)
     out = f"{path.removesuffix('/in')}/buckets"
-    _run(T.read_arrivals(spark, path, rows.schema), path, T.upsert_min(out, buckets=16))
+    _run(T.read_arrivals(spark, path, rows.schema, files), path, T.upsert_min(out, buckets=max(16, -(-count // TASK_ROWS))))
     return read_buckets(spark, out, "region string, vin string, snapshot_id long")
 
 

@@ -54,8 +54,8 @@ def merge_into_buckets(path: str, keys: list[str], combine: list[Column], bucket
     bucket = bucket_of(bucket_by or keys, buckets)
 
     def merged(rows: DataFrame) -> DataFrame:
-        # Bucket is among the grouping keys, so one shuffle by it serves the aggregation and the files.
-        return rows.withColumn("bucket", bucket).repartition(buckets, "bucket").groupBy("bucket", *keys).agg(*combine)
+        # Bucket is among the grouping keys, so one shuffle by it serves the aggregation and the files; it names its task, so no task has two.
+        return rows.withColumn("bucket", bucket).repartitionById(buckets, "bucket").groupBy("bucket", *keys).agg(*combine)
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark, done = batch.sparkSession, committed(batch.sparkSession, path)

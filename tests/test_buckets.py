@@ -125,3 +125,35 @@ def test_state_is_bounded_by_the_watermark(spark, tmp_path, delay, days):
     assert len(epochs) >= days and got == sorted(f"{d}-{i}" for d in range(days) for i in range(30))
     held = [s["numRowsTotal"] for p in seen for s in p["stateOperators"]]
     assert max(held) <= 5 * 30 < days * 30
+
+
+def test_files_and_buckets_follow_the_rows(spark, tmp_path, monkeypatch):
+    """Arriving files and buckets hold a task's rows each, so that more rows are more tasks; one period is several files, and batches stay four."""
+    from fleetcast import queries as Q
+    from fleetcast.streaming.incremental import upsert_min
+
+    d, found = str(tmp_path), {}
+    row = "cast(id % 7000 as long) as l_orderkey, id % 500 as l_partkey, id % 40 as l_suppkey, date_add(date '1995-01-01', cast(id % 300 as int)) as l_shipdate"
+    spark.range(20_000).selectExpr(*row.split(", ", 3)).write.parquet(f"{d}/lineitem.parquet")
+    monkeypatch.setattr(Q, "TASK_ROWS", 500)
+    monkeypatch.setattr(Q.T, "upsert_min", lambda path, buckets: found.update(path=path, buckets=buckets) or upsert_min(path, buckets))
+    seen = Q.stream_first_seen(spark, d)
+    assert found["buckets"] == 40 and committed(spark, found["path"])[-1] == 3
+    files = [f.name for f in pathlib.Path(found["path"].removeprefix("file:")).glob("../in/part-*")]
+    assert len(files) == 40
+    line = spark.read.parquet(f"{d}/lineitem.parquet")
+    month = ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate")).cast("long")
+    want = line.groupBy(F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string")).agg(F.min(month))
+    assert sorted(map(tuple, seen.collect())) == sorted(map(tuple, want.collect()))
+    one = spark.range(4_000).select(F.lit("5").alias("dmv_id"), F.col("id").alias("l_orderkey"))
+    path, each = Q._arrivals(one, 4, 4_000, ["dmv_id", "l_orderkey"])
+    counts = [r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
+    assert each == 2 and len(counts) == 8 and max(counts) < 1_000
+
+
+def test_a_bucket_is_a_task(spark, tmp_path):
+    """No task of a batch has two buckets, and so none is idle beside one that has several."""
+    path = str(tmp_path / "state")
+    T.upsert_min(path, buckets=16)(spark.createDataFrame([(f"r{i}", str(i), 5) for i in range(400)], SEEN), 0)
+    parts = [int(f.name.split("-")[1]) for f in pathlib.Path(path, "data").glob("0/bucket=*/part-*.parquet")]
+    assert len(parts) == len(set(parts)) == 16
