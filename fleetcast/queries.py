@@ -403,9 +403,11 @@ def price_coverage(spark, d):
 )
 def panel(spark, d):
     rows = materialize(D.enriched(spark, d))
-    counts = stock.stock_counts(rows, exact=True)
+    # A few rows for each region and period, which several steps read: each is counted from all registrations once.
+    counts = materialize(stock.stock_counts(rows, exact=True))
+    new = materialize(flow.new_registrations(rows))
     calendar = counts.select(F.col("group").alias("snapshot_id")).distinct().withColumn("snapshot_date", F.expr("date_sub(add_months(date '1995-01-01', snapshot_id), 1)"))
-    built = P.build_panel(counts, flow.new_registrations(rows), calendar, D.prices(spark, d), min_date="1996-01-01")
+    built = P.build_panel(counts, new, calendar, D.prices(spark, d), min_date="1996-01-01")
     return built.select("region", "group", "date", "stock_ev_t", "stock_all_t", "flow_ev_t", "gas_price_t", F.round("tco_adv_t", 6).alias("tco_adv_t"))
 
 
