@@ -23,6 +23,9 @@ from fleetcast.sources import ingest, readers, writers
 from fleetcast.streaming import incremental as T
 from fleetcast.streaming.buckets import read_buckets
 
+#: Rows of an arriving file and of a bucket of state, about; each is one task's.
+TASK_ROWS = 500_000
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -754,7 +757,9 @@ def sink_run_summary(spark, d):
 @query("new_registrations_by_vehicle", ORACLES["new_registrations"])
 def new_registrations_by_vehicle(spark, d):
     """New registrations from a table in buckets of the VIN, whose rows are not shuffled."""
-    name = layout.write_by_vehicle(D.enriched(spark, d), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # A bucket has a file for each period, so buckets go by the rows and not by the session's shuffle partitions.
+    buckets = max(8, -(-D.table(spark, d, "lineitem").count() // (4 * TASK_ROWS)))
+    name = layout.write_by_vehicle(D.enriched(spark, d), buckets)
     return flow.new_registrations(layout.read_by_vehicle(spark, name)).withColumn("ev_share_pct", F.round("ev_share_pct", 6))
 
 
@@ -797,10 +802,6 @@ def ingest_files(spark, d):
 # Streams
 
 
-#: Rows of an arriving file and of a bucket of state, about; each is one task's.
-TASK_ROWS = 500_000
-
-
 def _arrivals(df: DataFrame, batches: int, rows: int, by: list[str] | None = None) -> tuple[str, int]:
     """``df`` (of some ``rows`` rows) as files for a stream, of ranges of ``by`` if given, and how many files make one of ``batches`` batches."""
     path = f"{shared_dir(df.sparkSession)}/stream_{uuid.uuid4().hex}/in"
