@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_FILES = 100_000
 #: Folders written by ``materialize``, one list for each open ``scratch``.
 _OPEN: list[list[str]] = []
+#: With it a query's shuffle files go as it ends; else they stay until the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def write(df: DataFrame, path: str) -> None:
+    """``df`` as Parquet. What its plan shuffled is deleted then, so a chain of writes holds the shuffles of one of them."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back.
 
@@ -36,7 +49,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    write(df, path)
     if _OPEN:
         _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
