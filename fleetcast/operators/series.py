@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from fleetcast.plans.staging import materialize
 
 #: Rows that may meet in one window without keys, and points of a span, about; spans at most.
 SPAN_ROWS, SPANS = 1_000_000, 1 << 16
+#: Branches of the search among boundaries; buckets that keys are first counted in.
+FAN, BUCKETS = 8, 1 << 16
 
 
 def _w(by: list[str], order: str):
@@ -68,16 +72,32 @@ def span_bounds(points: DataFrame, number: Column, rows: int, span_rows: int) ->
 
 
 def span_of(number: Column, bounds: list[float]) -> Column:
-    """How many of ``bounds`` lie below: first among every 256th, then among the 255 that follow it."""
-    text = lambda xs: "array(" + ", ".join(f"{x!r}D" for x in xs) + ")"
-    below = lambda xs, t: F.size(F.filter(xs, lambda b: b < t))
+    """How many of ``bounds`` lie below: a search in a tree of ``FAN`` branches, so some ``FAN`` comparisons for each level."""
     if not bounds:
         return F.lit(0)
-    coarse, parts = bounds[::256], [bounds[i + 1 : i + 256] for i in range(0, len(bounds), 256)]
-    first = below(F.expr(text(coarse)), number)
-    fine = F.expr("array(" + ", ".join(text(p) if p else "cast(array() as array<double>)" for p in parts) + ")")
-    # ``first`` boundaries of the coarse list stand for as many whole parts but the last, whose own ones are counted.
-    return F.when(first == 0, 0).otherwise((first - 1) * 256 + 1 + below(F.get(fine, first - 1), number))
+    n, stride, levels = len(bounds), 1, []
+    while True:
+        blocks = [bounds[q + stride - 1 : min(n, q + (FAN - 1) * stride) : stride] for q in range(0, n + 1, FAN * stride)]
+        text = ", ".join("array(" + ", ".join(f"{x!r}D" for x in b) + ")" if b else "cast(array() as array<double>)" for b in blocks)
+        levels.insert(0, f"named_struct('stride', {stride}, 'at', array({text}))")
+        if len(blocks) == 1:
+            break
+        stride *= FAN
+    below = lambda p, level: F.size(F.filter(F.get(level["at"], F.floor(p / (level["stride"] * FAN)).cast("int")), lambda b: b < number))
+    return F.aggregate(F.expr(f"array({', '.join(levels)})"), F.lit(0), lambda p, level: p + level["stride"] * below(p, level))
+
+
+def _hot_keys(rows: DataFrame, names: list[str], most: int) -> DataFrame | None:
+    """The keys of more than ``most`` rows; None where there are none. Only keys of crowded buckets are counted one by one."""
+    bucket = F.pmod(F.xxhash64(*names), F.lit(BUCKETS)).cast("int")
+    crowded = rows.groupBy(bucket.alias("_bucket")).count().where(F.col("count") > most).select("_bucket")
+    found = [r["_bucket"] for r in crowded.collect()]
+    if not found:
+        return None
+    some = F.broadcast(rows.sparkSession.createDataFrame([(b,) for b in found], "_bucket int"))
+    counted = rows.withColumn("_bucket", bucket).join(some, "_bucket", "left_semi").groupBy(*names).count()
+    hot = materialize(counted.where(F.col("count") > most).select(*[F.col(n).alias(f"_h{n}") for n in names]))
+    return None if hot.isEmpty() else hot
 
 
 def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str] | None = None, span_rows: int = SPAN_ROWS) -> DataFrame:
@@ -86,20 +106,51 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by
     Of several right rows at one time the one with the greatest values counts. Right rows without a time fit nothing, and a
     null key meets no right row. A null inside the latest right row stays null.
 
-    What a row meets depends on its key and time alone, so both sides are first reduced to one point for each (key, time),
-    in every task before rows move: an instant that very many rows share is one point. Over ``span_rows`` points are cut by
-    time into spans of about as many, at the quantiles of both sides together, so that a crowded month or a hot key has many
-    and an empty decade none. The last right row is carried forward inside a span, and from the spans before it; one row for
-    each (key, span) meets in a key's window. The left rows then find their points by an equi-join.
+    Rows of a key meet in its window, sorted once. Keys of more than ``span_rows`` rows, and joins without keys, go by points
+    (``_asof_by_points``), so neither a hot key nor a hot instant is one task.
     """
     by = by or []
     values = [c for c in right.columns if c not in (right_on, *by)]
     names = [f"_k{i}" for i in range(len(by))]
+    keys = [F.col(c).alias(n) for c, n in zip(by, names, strict=True)]
     kind = left.schema[left_on].dataType
-    keyed = lambda df, time: df.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col(time).cast(kind).alias("_t"), *([F.struct(*values).alias("_r")] if df is right else [])).na.drop(subset=[*names, "_t"])
-    known = keyed(right, right_on).withColumn("_asked", F.lit(False))
-    asked = keyed(left, left_on).select(*names, "_t", F.lit(None).cast(known.schema["_r"].dataType).alias("_r"), F.lit(True).alias("_asked"))
-    points = materialize(known.unionByName(asked).groupBy(*names, "_t").agg(F.max("_r").alias("_r"), F.bool_or("_asked").alias("_asked")))
+    known = right.select(*keys, F.col(right_on).cast(kind).alias("_t"), F.struct(*values).alias("_r")).na.drop(subset=[*names, "_t"])
+    asked = left.select(*keys, F.col(left_on).alias("_t"), F.struct(*left.columns).alias("_l"))
+    if not by:
+        return _asof_by_points(asked, known, names, values, span_rows)
+    known = materialize(known.groupBy(*names, "_t").agg(F.max("_r").alias("_r")))
+    hot = _hot_keys(known.select(*names).unionByName(asked.na.drop(subset=[*names, "_t"]).select(*names)), names, span_rows)
+    if hot is None:
+        return _asof_by_keys(asked, known, names, values)
+    same = functools.reduce(Column.__and__, [F.col(n) == F.col(f"_h{n}") for n in names])
+    # At most one row for every ``span_rows`` of both sides.
+    split = lambda df, how: df.join(F.broadcast(hot), same, how)
+    cold = _asof_by_keys(split(asked, "left_anti"), split(known, "left_anti"), names, values)
+    return cold.union(_asof_by_points(split(asked, "left_semi"), split(known, "left_semi"), names, values, span_rows))
+
+
+def _asof_by_keys(asked: DataFrame, known: DataFrame, names: list[str], values: list[str]) -> DataFrame:
+    """Both sides in one window for each key, the right row first; left rows without a key or a time stay in windows of their tasks."""
+    real = {f.name for f in asked.schema if isinstance(f.dataType, T.FloatType | T.DoubleType)}
+    lacking = functools.reduce(Column.__or__, [F.col(n).isNull() | (F.isnan(n) if n in real else F.lit(False)) for n in [*names, "_t"]])
+    asked = asked.select("*", F.lit(None).cast(known.schema["_r"].dataType).alias("_r"), F.when(lacking, F.spark_partition_id()).alias("_apart"))
+    known = known.select("*", F.lit(None).cast(asked.schema["_l"].dataType).alias("_l"), F.lit(None).cast("int").alias("_apart"))
+    so_far = W.partitionBy(*names, "_apart").orderBy("_t", F.col("_l").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    met = known.unionByName(asked).withColumn("_hit", F.last("_r", ignorenulls=True).over(so_far)).where("_l is not null")
+    return met.select("_l.*", *[F.col(f"_hit.{v}").alias(v) for v in values])
+
+
+def _asof_by_points(asked: DataFrame, known: DataFrame, names: list[str], values: list[str], span_rows: int) -> DataFrame:
+    """What a row meets depends on its key and time alone, so both sides are first reduced to one point for each (key, time),
+    in every task before rows move: an instant that very many rows share is one point. Over ``span_rows`` points are cut by
+    time into spans of about as many, at the quantiles of both sides together, so that a crowded month or a hot key has many
+    and an empty decade none. The last right row is carried forward inside a span, and from the spans before it; one row for
+    each (key, span) meets in a key's window. The left rows then find their points by an equi-join.
+    """
+    kind = asked.schema["_t"].dataType
+    times = asked.select(*names, "_t", F.lit(None).cast(known.schema["_r"].dataType).alias("_r"), F.lit(True).alias("_asked")).na.drop(subset=[*names, "_t"])
+    both = known.withColumn("_asked", F.lit(False)).unionByName(times)
+    points = materialize(both.groupBy(*names, "_t").agg(F.max("_r").alias("_r"), F.bool_or("_asked").alias("_asked")))
     rows = points.count()
     latest = lambda keys: F.last("_r", ignorenulls=True).over(W.partitionBy(*(keys or [F.lit(0)])).orderBy("_t").rowsBetween(W.unboundedPreceding, 0))
     if rows <= span_rows:
@@ -108,9 +159,8 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by
         number = _number(F.col("_t"), kind)
         spanned = points.withColumn("_span", span_of(number, span_bounds(points, number, rows, span_rows)))
         within = spanned.withColumn("_hit", latest([*names, "_span"])).where("_asked")
-        ends = spanned.where("_r is not null").groupBy(*names, "_span").agg(F.max_by("_r", "_t").alias("_end"))
         # Spans that hold no right row of a key take over too, so every span of a key that asks has a row here.
-        spans = spanned.select(*names, "_span").distinct().join(ends, [*names, "_span"], "left")
+        spans = spanned.groupBy(*names, "_span").agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col("_t"))).alias("_end"))
         earlier = W.partitionBy(*(names or [F.lit(0)])).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
         carried = materialize(spans.select(*names, "_span", F.last("_end", ignorenulls=True).over(earlier).alias("_carry")))
         hits = materialize(within.join(carried, [*names, "_span"], "left").withColumn("_hit", F.coalesce("_hit", "_carry")))
@@ -118,8 +168,7 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by
     same = F.col("_t") == F.col("_ht")
     for n in names:
         same = same & (F.col(n) == F.col(f"_h{n}"))
-    rows_left = left.select(F.struct(*left.columns).alias("_l"), *[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col(left_on).alias("_t"))
-    return rows_left.join(hits, same, "left").select("_l.*", *[F.col(f"_hit.{v}").alias(v) for v in values])
+    return asked.join(hits, same, "left").select("_l.*", *[F.col(f"_hit.{v}").alias(v) for v in values])
 
 
 def lag_stock(df: DataFrame, value: str, by: list[str], order: str, name: str = "y_prev", default: float = 0.0) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from fleetcast.operators import policy
@@ -106,3 +107,39 @@ def test_places_among_many_boundaries(spark):
         bounds = [float(3 * i) for i in range(n)]
         got = spark.range(-2, 3 * n + 3).select("id", span_of(F.col("id").cast("double"), bounds).alias("s")).collect()
         assert [r.s for r in got] == [sum(b < r.id for b in bounds) for r in got]
+
+
+def test_only_hot_keys_go_by_points(spark, monkeypatch):
+    """Keys of few rows meet in one window each, however many rows there are; a hot key goes by points, with the same result."""
+    from fleetcast.operators import series
+
+    seen = []
+    by_points = series._asof_by_points
+    monkeypatch.setattr(series, "_asof_by_points", lambda asked, *rest: seen.append(sorted({r._k0 for r in asked.collect()})) or by_points(asked, *rest))
+    rng = random.Random(8)
+    left = [(i, rng.choice(["hot"] * 6 + ["a", "b", "c", None]), d if rng.random() < 0.9 else None) for i, d in enumerate(days(rng, 300))]
+    right = [(rng.choice(["hot", "a", "b"]), d, rng.choice([None, 1, 2])) for d in days(rng, 60)]
+    l, r = spark.createDataFrame(left, "i int, k string, t date"), spark.createDataFrame(right, "k string, u date, v int")
+    rows = lambda df: sorted((x.i, x.v is not None, x.v or 0) for x in df.collect())
+    want = rows(asof_join(l, r, "t", "u", ["k"]))
+    assert len(want) == 300 and seen == []
+    assert rows(asof_join(l, r, "t", "u", ["k"], span_rows=100)) == want and seen == [["hot"]]
+
+
+def test_places_take_few_comparisons(spark):
+    """A place among thousands of boundaries is found in a few dozen comparisons, on, below and above each of them."""
+    bounds = [float(3 * i) for i in range(4097)]
+    place = span_of(F.col("id").cast("double"), bounds)
+    got = spark.range(-2, 3 * 4097 + 3).select("id", place.alias("s")).collect()
+    assert [r.s for r in got] == [min(4097, max(0, -(-r.id // 3))) for r in got]
+    # No list of boundaries that a row is compared with is longer than a node of the tree.
+    tree = spark.range(1).select(place.alias("s"))._jdf.queryExecution().analyzed().toString()
+    assert max(len(a.split(",")) for a in re.findall(r"array\(([-0-9.,E ]+)\)", tree)) <= 7
+
+
+@pytest.mark.parametrize("span_rows", [1, 1000])
+def test_not_a_number_meets_nothing(spark, span_rows):
+    nan = float("nan")
+    l = spark.createDataFrame([(1, 1.0, nan), (2, nan, 5.0), (3, 1.0, 5.0), (4, None, 5.0)], "i int, k double, t double")
+    r = spark.createDataFrame([(1.0, 4.0, 7), (nan, 4.0, 8), (1.0, nan, 9), (1.0, 2.0, None)], "k double, u double, v int")
+    assert {x.i: x.v for x in asof_join(l, r, "t", "u", ["k"], span_rows=span_rows).collect()} == {1: None, 2: None, 3: 7, 4: None}
